@@ -47,6 +47,25 @@ def heavy_keys(
     return df.sparkSession.createDataFrame(rows, schema)
 
 
+def salt(
+    df: DataFrame, keys: Sequence[str], spread: Sequence[str | Column], heavy: DataFrame | None
+) -> DataFrame:
+    """Add a salt that spreads a heavy key's rows by a hash of ``spread``; 0 for other keys."""
+    if heavy is None:
+        return df.withColumn(SALT, F.lit(0))
+    return (
+        _with_salt_count(df, keys, heavy)
+        .withColumn(SALT, F.coalesce(F.pmod(F.xxhash64(*spread), F.col("_salts")), F.lit(0)).cast("int"))
+        .drop("_salts")
+    )
+
+
+def _with_salt_count(df: DataFrame, keys: Sequence[str], heavy: DataFrame) -> DataFrame:
+    listed = heavy.select(*[F.col(k).alias(f"_h_{k}") for k in keys], "_salts")
+    condition = reduce(Column.__and__, [df[k] == listed[f"_h_{k}"] for k in keys])
+    return df.join(F.broadcast(listed), condition, "left").drop(*[f"_h_{k}" for k in keys])
+
+
 def salted_join(
     left: DataFrame,
     right: DataFrame,
@@ -64,19 +83,13 @@ def salted_join(
         raise ValueError("salted_join supports inner and left joins")
     if heavy is None:
         return left.join(right, list(keys), how)
-    salts = heavy.select(*[F.col(k).alias(f"_h_{k}") for k in keys], "_salts")
-
-    def with_salts(df: DataFrame) -> DataFrame:
-        condition = reduce(Column.__and__, [df[k] == salts[f"_h_{k}"] for k in keys])
-        return df.join(F.broadcast(salts), condition, "left").drop(*[f"_h_{k}" for k in keys])
-
-    spread_left = with_salts(left).withColumn(
-        SALT, F.coalesce(F.pmod(F.xxhash64(*spread), F.col("_salts")), F.lit(0)).cast("int")
-    )
-    repeated = with_salts(right).withColumn(
-        SALT, F.explode(F.sequence(F.lit(0), F.coalesce("_salts", F.lit(1)) - 1))
+    last = F.coalesce("_salts", F.lit(1)) - 1
+    repeated = (
+        _with_salt_count(right, keys, heavy)
+        .withColumn(SALT, F.explode(F.sequence(F.lit(0), last)))
+        .drop("_salts")
     )
-    return spread_left.drop("_salts").join(repeated.drop("_salts"), [*keys, SALT], how).drop(SALT)
+    return salt(left, keys, spread, heavy).join(repeated, [*keys, SALT], how).drop(SALT)
 
 
 def without_match(left: DataFrame, right: DataFrame, left_key: str, right_key: str) -> DataFrame:

@@ -196,8 +196,9 @@ def neighbours(frame: Ordered, before: int, after: int, aggs: dict[str, Column])
         return frame.rows.withColumns({name: agg.over(near) for name, agg in aggs.items()})
     edge = F.lit(False).alias("_edge")
     rows = frame.rows.select("*", edge)
-    for copies in (_edge_rows(frame, before, True), _edge_rows(frame, after, False)):
-        rows = rows.unionByName(copies)
+    for count, backward in ((before, True), (after, False)):
+        if count:
+            rows = rows.unionByName(_edge_rows(frame, count, backward))
     return (
         rows.withColumns({name: agg.over(near) for name, agg in aggs.items()})
         .where(~F.col("_edge"))
@@ -220,7 +221,7 @@ def _edge_rows(frame: Ordered, count: int, backward: bool) -> DataFrame:
     # every chunk has a row, so the nearest `count` chunks hold enough of them
     span = (-count, -1) if backward else (1, count)
     found = F.flatten(F.collect_list("_rows").over(frame.chunks_of_group().rowsBetween(*span)))
-    nearest = F.slice(F.sort_array(found, asc=not backward), 1, count) if count else F.array()
+    nearest = F.slice(F.sort_array(found, asc=not backward), 1, count)
     return (
         ends.select(*frame.keys, CHUNK, nearest.alias("_near"))
         .select(*frame.keys, CHUNK, F.explode("_near").alias("_near"))

@@ -15,9 +15,9 @@ def transitions(
 ) -> DataFrame:
     """How often each step directly follows each other within a group."""
     frame = ordered(df.select(*keys, *order, step), keys, order, rows_per_chunk=rows_per_chunk)
-    paired = last_seen(frame, F.struct(step), "_before", include_current=False)
+    paired = last_seen(frame, F.struct(step), "_previous", include_current=False)
     return (
-        paired.where(F.col("_before").isNotNull())
-        .groupBy(F.col(f"_before.{step}").alias("from_step"), F.col(step).alias("to_step"))
+        paired.where(F.col("_previous").isNotNull())
+        .groupBy(F.col(f"_previous.{step}").alias("from_step"), F.col(step).alias("to_step"))
         .agg(F.count(F.lit(1)).alias("n"))
     )

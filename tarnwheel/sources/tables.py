@@ -29,5 +29,6 @@ def stream_table(
     reader = spark.readStream.schema(load_table(spark, folder, name).schema)
     if files_per_batch:
         reader = reader.option("maxFilesPerTrigger", files_per_batch)
-    rows = reader.parquet(f"{folder.rstrip('/')}/{name}.parquet")
+    # as a glob, the path may be one file or a folder of files
+    rows = reader.parquet(f"{folder.rstrip('/')}/{{{name}}}.parquet")
     return rows.withColumn(event_time, F.col(event_time).cast("timestamp")) if event_time else rows

@@ -11,7 +11,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tarnwheel.operators.ordered import last_seen, ordered, running_sum
+from tarnwheel.operators.ordered import arrange, cut_points, last_seen, running_sum
 
 ADD, READ, EXPIRE = 1, 2, 3
 EXPIRE_FIRST = 0
@@ -38,25 +38,29 @@ def interval_totals(
     ``profile`` may name a scan with the key and time columns of both sides, from which
     large groups are found more cheaply than from the two sides.
     """
-    # rows of one instant are added up before the shuffle, so no instant can be large
-    instants = adds.groupBy(*keys, time).agg(*[F.sum(v).alias(n) for n, v in sums.items()])
+    order = (time, "_kind", *ids)
     no_ids = [F.lit(None).cast(reads.schema[c].dataType).alias(c) for c in ids]
-    starts = instants.select(*keys, time, F.lit(ADD).alias("_kind"), *no_ids, *sums)
-    ends = instants.select(
-        *keys,
+    if profile is None:
+        profile = reads.select(*keys, time).unionByName(adds.select(*keys, time))
+    profile = profile.select(*keys, time, F.lit(READ).alias("_kind"), *no_ids)
+    cuts = cut_points(profile, keys, order, rows_per_chunk)
+    amounts = adds.select(*keys, time, *[v.alias(n) for n, v in sums.items()])
+    if cuts:
+        # no cut goes through an instant, so a large one is added up before the shuffle
+        amounts = amounts.groupBy(*keys, time).agg(*[F.sum(n).alias(n) for n in sums])
+    added = F.struct(F.col(time), F.lit(ADD).alias("_kind"), *[F.col(n) for n in sums])
+    expired = F.struct(
         (F.col(time) + length).alias(time),
         F.lit(EXPIRE if closed else EXPIRE_FIRST).alias("_kind"),
-        *no_ids,
         *[(-F.col(n)).alias(n) for n in sums],
     )
+    changes = amounts.select(*keys, F.explode(F.array(added, expired)).alias("_change")).select(
+        *keys, "_change.*", *no_ids
+    )
     asked = reads.select(
-        *keys, time, F.lit(READ).alias("_kind"), *ids, *[F.lit(0).alias(n) for n in sums]
+        *keys, time, F.lit(READ).alias("_kind"), *[F.lit(0).alias(n) for n in sums], *ids
     )
-    line = starts.unionByName(ends).unionByName(asked)
-    if profile is None:
-        profile = reads.select(*keys, time).unionByName(adds.select(*keys, time))
-    profile = profile.select(*keys, time, F.lit(READ).alias("_kind"), *no_ids)
-    frame = ordered(line, keys, (time, "_kind", *ids), profile, rows_per_chunk)
+    frame = arrange(changes.unionByName(asked), keys, order, cuts)
     totals = running_sum(frame, {f"_total_{n}": F.col(n) for n in sums})
     return totals.where(F.col("_kind") == READ).select(
         *keys, time, *ids, *[F.col(f"_total_{n}").alias(n) for n in sums]
@@ -100,6 +104,7 @@ def latest_before(
     if profile is None:
         profile = rows.select(*keys, time, *ids).unionByName(source.select(*keys, time, *ids))
     profile = profile.select(*keys, time, F.lit(row_kind).alias("_kind"), *ids)
-    frame = ordered(line, keys, (time, "_kind", *ids), profile, rows_per_chunk)
+    order = (time, "_kind", *ids)
+    frame = arrange(line, keys, order, cut_points(profile, keys, order, rows_per_chunk))
     out = last_seen(frame, F.col("_found"), "latest").where(F.col("_kind") == row_kind)
     return out.select(*keys, time, *ids, *[F.col(f"_row.{c}").alias(c) for c in kept], "latest")

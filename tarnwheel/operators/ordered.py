@@ -86,51 +86,56 @@ def _same(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> Column:
 
 
 def ordered(
-    df: DataFrame,
-    keys: Sequence[str],
-    order: Sequence[str],
-    profile: DataFrame | None = None,
-    rows_per_chunk: int | None = None,
+    df: DataFrame, keys: Sequence[str], order: Sequence[str], rows_per_chunk: int | None = None
 ) -> Ordered:
     """Cut the groups of ``df`` that exceed ``rows_per_chunk`` rows.
 
-    ``order`` must be ascending columns that together with ``keys`` identify a row.
-    ``profile`` may name a cheaper frame with the same key and order columns to
-    measure instead of ``df``, such as the scan ``df`` was computed from.
+    ``order`` must be ascending columns without NULLs that together with ``keys``
+    identify a row.
     """
-    keys, order = tuple(keys), tuple(order)
-    cuts = _cut_points(profile if profile is not None else df, keys, order, rows_per_chunk or ROWS_PER_CHUNK)
-    if not cuts:
-        return Ordered(df, keys, order, None)
-    fields = T.StructType([T.StructField(c, df.schema[c].dataType) for c in (*keys, *order)])
-    rows = df.withColumn(CHUNK, _position(cuts, fields))
-    groups = T.StructType([T.StructField(k, df.schema[k].dataType) for k in keys])
-    distinct = {tuple(cut[: len(keys)]) for cut in cuts}
-    large = df.sparkSession.createDataFrame([tuple(g) for g in distinct], groups) if keys else rows
-    return Ordered(rows, keys, order, large)
+    return arrange(df, keys, order, cut_points(df, keys, order, rows_per_chunk))
 
 
-def _cut_points(
-    profile: DataFrame, keys: tuple[str, ...], order: tuple[str, ...], rows_per_chunk: int
+def cut_points(
+    df: DataFrame, keys: Sequence[str], order: Sequence[str], rows_per_chunk: int | None = None
 ) -> list[tuple]:
-    """Every ``rows_per_chunk``-th place inside large groups, in sorted order."""
-    total = profile.count()
+    """Every ``rows_per_chunk``-th place inside large groups, in sorted order.
+
+    Empty exactly if no group looks larger than ``rows_per_chunk`` in the sample.
+    """
+    rows_per_chunk = rows_per_chunk or ROWS_PER_CHUNK
+    total = df.count()
     if total <= rows_per_chunk:
         return []
     per_chunk = max(rows_per_chunk, math.ceil(total / MAX_CHUNKS))
     fraction = min(1.0, SAMPLES_PER_CHUNK / per_chunk)
     step = max(1, round(per_chunk * fraction))
+    # the sample holds about SAMPLES_PER_CHUNK * MAX_CHUNKS rows at most
     nth = F.row_number().over(Window.partitionBy(*keys).orderBy(*order))
     points = (
-        profile.select(*keys, *order)
+        df.select(*keys, *order)
         .sample(fraction, SEED)
-        .distinct()
         .withColumn("_nth", nth)
         .where(F.col("_nth") % step == 0)
         .drop("_nth")
+        .distinct()
         .orderBy(*keys, *order)
     )
-    return [tuple(row) for row in points.collect()]  # at most about MAX_CHUNKS rows
+    return [tuple(row) for row in points.collect()]  # about MAX_CHUNKS rows at most
+
+
+def arrange(df: DataFrame, keys: Sequence[str], order: Sequence[str], cuts: list[tuple]) -> Ordered:
+    """Rows with the chunk that the cut points put them in."""
+    keys, order = tuple(keys), tuple(order)
+    if not cuts:
+        return Ordered(df, keys, order, None)
+    fields = T.StructType([T.StructField(c, df.schema[c].dataType) for c in (*keys, *order)])
+    rows = df.withColumn(CHUNK, _position(cuts, fields))
+    if not keys:
+        return Ordered(rows, keys, order, rows)
+    groups = T.StructType([T.StructField(k, df.schema[k].dataType) for k in keys])
+    large = df.sparkSession.createDataFrame([*{cut[: len(keys)] for cut in cuts}], groups)
+    return Ordered(rows, keys, order, large)
 
 
 def _position(cuts: list[tuple], fields: T.StructType) -> Column:
@@ -146,27 +151,37 @@ def _position(cuts: list[tuple], fields: T.StructType) -> Column:
     )
 
 
-def running_sum(frame: Ordered, sums: dict[str, Column]) -> DataFrame:
-    """Totals of each row and all rows of its group before it."""
-    w = frame.upto_here()
-    rows = frame.rows.withColumns({name: F.sum(value).over(w) for name, value in sums.items()})
+def running_sum(
+    frame: Ordered, sums: dict[str, Column], group_sums: dict[str, Column] | None = None
+) -> DataFrame:
+    """Totals of each row and all rows of its group before it.
+
+    ``group_sums`` adds totals of the whole group to each of its rows.
+    """
+    group_sums = group_sums or {}
+    upto, whole = frame.upto_here(), Window.partitionBy(*frame.partition)
+    rows = frame.rows.withColumns(
+        {name: F.sum(value).over(upto) for name, value in sums.items()}
+        | {name: F.sum(value).over(whole) for name, value in group_sums.items()}
+    )
     if not frame.split:
         return rows
-    before = frame.summary(*[F.sum(value).alias(f"_sum_{name}") for name, value in sums.items()])
-    before = before.select(
+    both = sums | group_sums
+    chunks = frame.summary(*[F.sum(value).alias(f"_sum_{name}") for name, value in both.items()])
+    group = Window.partitionBy(*frame.keys)
+    carry = chunks.select(
         *frame.keys,
         CHUNK,
-        *[F.sum(f"_sum_{name}").over(frame.chunks_before()).alias(f"_before_{name}") for name in sums],
+        *[F.sum(f"_sum_{name}").over(frame.chunks_before()).alias(f"_carry_{name}") for name in sums],
+        *[F.sum(f"_sum_{name}").over(group).alias(f"_carry_{name}") for name in group_sums],
     )
     # NULL plus nothing stays NULL, as in a plain running sum over NULLs only
-    carried = {
-        name: F.coalesce(F.col(name) + F.col(f"_before_{name}"), F.col(name), F.col(f"_before_{name}"))
+    joined = {
+        name: F.coalesce(F.col(name) + F.col(f"_carry_{name}"), F.col(name), F.col(f"_carry_{name}"))
         for name in sums
-    }
+    } | {name: F.coalesce(f"_carry_{name}", name) for name in group_sums}
     return (
-        frame.attach(rows, before)
-        .withColumns(carried)
-        .drop(CHUNK, *[f"_before_{name}" for name in sums])
+        frame.attach(rows, carry).withColumns(joined).drop(CHUNK, *[f"_carry_{name}" for name in both])
     )
 
 

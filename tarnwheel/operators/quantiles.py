@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tarnwheel.operators.ordered import ordered, running_sum
+from tarnwheel.operators.ordered import arrange, cut_points, running_sum
 
 
 def exact_quantiles(
@@ -21,10 +21,10 @@ def exact_quantiles(
     """
     present = df.where(F.col(value).isNotNull())
     counts = present.groupBy(*keys, value).agg(F.count(F.lit(1)).alias("_c"))
-    sizes = present.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
-    frame = ordered(counts, keys, (value,), present, rows_per_chunk)
-    upto = running_sum(frame, {"_upto": F.col("_c")})
-    sized = upto.join(sizes, list(keys))
+    # measured on the rows themselves: a group of few distinct values is cut for nothing,
+    # which costs less than computing the counts once more
+    frame = arrange(counts, keys, (value,), cut_points(present, keys, (value,), rows_per_chunk))
+    sized = running_sum(frame, {"_upto": F.col("_c")}, group_sums={"_n": F.col("_c")})
     picks = []
     for name, q in quantiles.items():
         place = (F.col("_n") - 1) * F.lit(float(q))

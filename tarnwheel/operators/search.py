@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tarnwheel.functions.text import tokens
@@ -36,6 +36,10 @@ def tf_idf(
     )
 
 
+def _occurrences(words: str, term: str) -> Column:
+    return F.size(F.filter(words, lambda word: word == term))
+
+
 def bm25(
     docs: DataFrame,
     terms: Sequence[str],
@@ -51,9 +55,7 @@ def bm25(
     """
     terms = list(dict.fromkeys(t.lower() for t in terms))
     words = docs.select(id_col, tokens(text_col).alias("_words"))
-    hits = {
-        f"_tf{i}": F.size(F.filter("_words", lambda w, t=t: w == t)) for i, t in enumerate(terms)
-    }
+    hits = {f"_tf{i}": _occurrences("_words", term) for i, term in enumerate(terms)}
     scored = words.select(id_col, F.size("_words").alias("_len"), *[h.alias(n) for n, h in hits.items()])
     corpus = scored.agg(
         F.struct(

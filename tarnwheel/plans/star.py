@@ -145,18 +145,16 @@ def big_spenders(spark: SparkSession, folder: str) -> DataFrame:
 def small_quantity_lines(spark: SparkSession, folder: str) -> DataFrame:
     """Lines below a fifth of their part's mean quantity.
 
-    Lines of a part that dominates the table are spread over salts by their place in
-    the file before they meet the part's mean.
+    Lines of a part that dominates the table are spread over salts by their order
+    before they meet the part's mean.
     """
     table = load_table(spark, folder, "lineitem")
-    lines = table.select(
-        "l_orderkey", "l_partkey", "l_suppkey", "l_quantity", F.col("_metadata.row_index").alias("_row")
-    )
+    lines = table.select("l_orderkey", "l_partkey", "l_suppkey", "l_quantity")
     means = table.groupBy("l_partkey").agg(money.mean(money.exact("l_quantity")).alias("mean_qty"))
     joined = salted_join(
-        lines, means, ["l_partkey"], ["_row"], heavy_keys(table.select("l_partkey"), ["l_partkey"])
+        lines, means, ["l_partkey"], ["l_orderkey"], heavy_keys(table.select("l_partkey"), ["l_partkey"])
     )
-    return joined.where(F.col("l_quantity") < 0.2 * F.col("mean_qty")).drop("_row")
+    return joined.where(F.col("l_quantity") < 0.2 * F.col("mean_qty"))
 
 
 @query(

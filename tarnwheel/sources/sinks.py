@@ -10,6 +10,20 @@ from pyspark.sql import types as T
 
 FORMATS = ("parquet", "orc", "json", "csv", "xml", "text")
 
+# text formats write milliseconds unless told otherwise
+TIMES = {
+    "timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX",
+    "timestampNTZFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSS",
+}
+# NULL needs a mark of its own, as empty text is a value; a quote is escaped by doubling it
+CSV = {
+    "header": "true",
+    "escape": '"',
+    "nullValue": "\u0001",
+    "ignoreLeadingWhiteSpace": "false",
+    "ignoreTrailingWhiteSpace": "false",
+}
+
 
 def write_partitioned(df: DataFrame, path: str, by: Sequence[str], mode: str = "errorifexists") -> str:
     """One folder per value of ``by``.
@@ -25,30 +39,33 @@ def export(df: DataFrame, path: str, fmt: str, mode: str = "errorifexists") -> s
     """Write in an exchange format. ``text`` writes one JSON document per line."""
     if fmt not in FORMATS:
         raise ValueError(f"unknown format {fmt!r}; known formats: {', '.join(FORMATS)}")
-    writer = df.write.mode(mode)
-    if fmt == "csv":
-        # quote everything that is not NULL, so empty text and NULL stay apart
-        writer.options(header="true", quoteAll="true", escape='"', nullValue="").csv(path)
-    elif fmt == "xml":
-        writer.options(rowTag="row").xml(path)
-    elif fmt == "text":
-        df.select(F.to_json(F.struct("*")).alias("value")).write.mode(mode).text(path)
-    else:
-        writer.format(fmt).save(path)
+    if fmt == "text":
+        lines = df.select(F.to_json(F.struct("*"), TIMES).alias("value"))
+        lines.write.mode(mode).text(path)
+        return path
+    df.write.mode(mode).format(fmt).options(**_options(fmt)).save(path)
     return path
 
 
-def import_rows(spark: SparkSession, path: str, fmt: str, schema: T.StructType) -> DataFrame:
-    """Read back what ``export`` wrote. The schema is given, never inferred by a scan."""
+def import_rows(
+    spark: SparkSession, path: str, fmt: str, schema: T.StructType, line_breaks: bool = False
+) -> DataFrame:
+    """Read back what ``export`` wrote. The schema is given, never inferred by a scan.
+
+    ``line_breaks`` says that CSV fields may hold line breaks; such files are read by
+    one task each, others are split.
+    """
     if fmt not in FORMATS:
         raise ValueError(f"unknown format {fmt!r}; known formats: {', '.join(FORMATS)}")
     if fmt == "text":
         lines = spark.read.text(path)
-        return lines.select(F.from_json("value", schema).alias("r")).select("r.*")
-    reader = spark.read.schema(schema)
-    if fmt == "csv":
-        # large quoted fields may hold line breaks
-        return reader.options(header="true", multiLine="true", escape='"', nullValue="").csv(path)
-    if fmt == "xml":
-        return reader.options(rowTag="row").xml(path)
-    return reader.format(fmt).load(path)
+        return lines.select(F.from_json("value", schema, TIMES).alias("r")).select("r.*")
+    reader = spark.read.schema(schema).format(fmt).options(**_options(fmt))
+    if fmt == "csv" and line_breaks:
+        reader = reader.option("multiLine", "true")
+    return reader.load(path)
+
+
+def _options(fmt: str) -> dict[str, str]:
+    extra = {"csv": CSV, "xml": {"rowTag": "row", "ignoreSurroundingSpaces": "false"}}.get(fmt, {})
+    return extra | TIMES if fmt in ("csv", "json", "xml") else {}

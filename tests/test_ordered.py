@@ -105,9 +105,8 @@ def test_rankings(rows, first):
 
 def test_exact_quantiles(rows):
     wanted = {"p0": 0.0, "p25": 0.25, "p50": 0.5, "p99": 0.99, "p100": 1.0}
-    present = rows.where("key is not null")
-    plain = present.groupBy("key").agg(*[F.percentile("at", F.lit(q)).alias(n) for n, q in wanted.items()])
-    got = exact_quantiles(present, ["key"], "at", wanted, rows_per_chunk=SMALL)
+    plain = rows.groupBy("key").agg(*[F.percentile("at", F.lit(q)).alias(n) for n, q in wanted.items()])
+    got = exact_quantiles(rows, ["key"], "at", wanted, rows_per_chunk=SMALL)
     rounded = [F.round(n, 6).alias(n) for n in wanted]
     same(got.select("key", *rounded), plain.select("key", *rounded))
 
@@ -148,6 +147,14 @@ def test_latest_before(rows, strict, per_chunk):
     assert sorted(map(repr, out)) == sorted(map(repr, expected))
 
 
+def test_interval_totals_of_one_instant(spark):
+    """All rows of the large group share one instant, which no cut can divide."""
+    adds = spark.range(900).select(F.lit("k").alias("key"), F.lit(7).cast("long").alias("at"), F.lit(2).alias("v"))
+    reads = spark.createDataFrame([("k", 6), ("k", 7), ("k", 17), ("k", 18)], "key string, at long")
+    got = interval_totals(reads, adds, ["key"], "at", 10, {"t": F.col("v")}, rows_per_chunk=SMALL)
+    assert sorted((r["at"], r["t"] or 0) for r in got.collect()) == [(6, 0), (7, 1800), (17, 1800), (18, 0)]
+
+
 def test_transitions(rows):
     same(
         transitions(rows, ["key"], ["at", "id"], "step", rows_per_chunk=SMALL),

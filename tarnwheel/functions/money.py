@@ -1,29 +1,59 @@
 """Exact money arithmetic over columns stored as double.
 
-Sums of doubles depend on the order of the rows, which a shuffle does not fix.
-Decimals do not, so a total is the same on every run and at every scale.
+Sums of doubles depend on the order of the rows, which a shuffle does not fix. Here
+amounts of two decimals become whole units (cents, or finer after a product), so a
+total is the same on every run. Whole units stay in generated code, which decimals
+of more than 18 digits leave.
 """
 
 from __future__ import annotations
 
+from decimal import Decimal
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+LOW_BITS = 20
+
 
-def exact(column: str | Column) -> Column:
+def cents(column: str | Column) -> Column:
+    """An amount of at most two decimals as whole cents."""
     column = F.col(column) if isinstance(column, str) else column
-    return column.cast("decimal(12,2)")
+    return F.rint(column * 100).cast("long")
+
 
+def net(price: str = "l_extendedprice", discount: str = "l_discount") -> Column:
+    """price * (1 - discount) in units of 1 / 10,000."""
+    return cents(price) * (F.lit(100) - cents(discount))
 
-def total(amount: Column) -> Column:
-    """Exact sum, given back as a double."""
-    return F.sum(amount).cast("double")
 
+def parts(units: Column, name: str) -> list[Column]:
+    """Aggregates for a total in two halves, neither of which can overflow.
 
-def mean(amount: Column) -> Column:
-    """Exact sum over the count; no rounding to a decimal scale in between."""
-    return F.sum(amount).cast("double") / F.count(amount)
+    A single sum of whole units may exceed 64 bits over a trillion rows; the sums of
+    the high and of the low bits do not.
+    """
+    return [
+        F.sum(F.shiftright(units, LOW_BITS)).alias(f"{name}_high"),
+        F.sum(units.bitwiseAND((1 << LOW_BITS) - 1)).alias(f"{name}_low"),
+    ]
 
 
-def net(price: str = "l_extendedprice", discount: str = "l_discount") -> Column:
-    return exact(price) * (F.lit(1) - exact(discount))
+def merged(name: str) -> list[Column]:
+    """Aggregates that add up the halves ``parts`` gave, in a later grouping."""
+    return [F.sum(f"{name}_{half}").alias(f"{name}_{half}") for half in ("high", "low")]
+
+
+def joined(high: Column, low: Column, decimals: int = 2) -> Column:
+    """The total of both halves as a double."""
+    units = high.cast("decimal(38,0)") * F.lit(1 << LOW_BITS) + low.cast("decimal(20,0)")
+    return (units * F.lit(Decimal(1).scaleb(-decimals))).cast("double")
+
+
+def total(units: Column, decimals: int = 2) -> Column:
+    high, low = parts(units, "total")
+    return joined(high, low, decimals)
+
+
+def mean(units: Column, decimals: int = 2) -> Column:
+    return total(units, decimals) / F.count(units)

@@ -7,11 +7,12 @@ from pyspark.sql import SparkSession
 from tarnwheel.sources.tables import TABLES, load_table
 
 SQL_FUNCTIONS = {
-    "exact_money(amount DOUBLE) RETURNS DECIMAL(12,2)": "CAST(amount AS DECIMAL(12,2))",
-    "net_price(price DOUBLE, discount DOUBLE) RETURNS DECIMAL(26,4)": (
-        "CAST(price AS DECIMAL(12,2)) * (1 - CAST(discount AS DECIMAL(12,2)))"
+    "cents(amount DOUBLE) RETURNS BIGINT": "CAST(rint(amount * 100) AS BIGINT)",
+    # price * (1 - discount) in units of 1 / 10,000
+    "net_units(price DOUBLE, discount DOUBLE) RETURNS BIGINT": (
+        "CAST(rint(price * 100) AS BIGINT) * (100 - CAST(rint(discount * 100) AS BIGINT))"
     ),
-    "words(content STRING) RETURNS ARRAY<STRING>": r"filter(split(lower(content), '\\s+'), w -> w <> '')",
+    "words(content STRING) RETURNS ARRAY<STRING>": r"array_remove(split(lower(content), '\\s+'), '')",
 }
 
 

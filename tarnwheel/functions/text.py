@@ -8,4 +8,4 @@ from pyspark.sql import functions as F
 
 def tokens(text: str | Column) -> Column:
     """Lower-cased words of the whole text, split on white space; none for empty text."""
-    return F.filter(F.split(F.lower(text), r"\s+"), lambda word: word != "")
+    return F.array_remove(F.split(F.lower(text), r"\s+"), "")

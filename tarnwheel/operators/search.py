@@ -22,7 +22,12 @@ def tf_idf(
 ) -> DataFrame:
     """tf * ln(N / df) for every word of every text."""
     counts = term_counts(docs, id_col, text_col)
-    per_term = counts.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    # a text is one row, so its distinct words are found without a shuffle
+    per_term = (
+        docs.select(F.explode(F.array_distinct(tokens(text_col))).alias("term"))
+        .groupBy("term")
+        .agg(F.count(F.lit(1)).alias("df"))
+    )
     # a common word is in nearly every text, so its rows are spread before the join
     heavy = heavy_keys(
         docs.select(text_col),
@@ -37,7 +42,7 @@ def tf_idf(
 
 
 def _occurrences(words: str, term: str) -> Column:
-    return F.size(F.filter(words, lambda word: word == term))
+    return F.size(words) - F.size(F.array_remove(words, term))
 
 
 def bm25(
@@ -56,7 +61,9 @@ def bm25(
     terms = list(dict.fromkeys(t.lower() for t in terms))
     words = docs.select(id_col, tokens(text_col).alias("_words"))
     hits = {f"_tf{i}": _occurrences("_words", term) for i, term in enumerate(terms)}
-    scored = words.select(id_col, F.size("_words").alias("_len"), *[h.alias(n) for n, h in hits.items()])
+    counted = F.struct(F.size("_words").alias("_len"), *[h.alias(n) for n, h in hits.items()])
+    # exploded, so that the filter below reads the counts and does not split the text again
+    scored = words.select(id_col, F.inline(F.array(counted)))
     corpus = scored.agg(
         F.struct(
             F.count(F.lit(1)).cast("double").alias("n"),

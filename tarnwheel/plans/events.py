@@ -32,7 +32,7 @@ def events_tumbling(spark: SparkSession, folder: str) -> DataFrame:
     events = load_table(spark, folder, "events")
     return (
         events.groupBy(F.window("ts", "1 hour").alias("w"), "event_type")
-        .agg(F.count(F.lit(1)).alias("n"), money.total(money.exact("value")).alias("total"))
+        .agg(F.count(F.lit(1)).alias("n"), money.total(money.cents("value")).alias("total"))
         .select(naive("w.start").alias("window_start"), "event_type", "n", "total")
     )
 
@@ -54,13 +54,17 @@ def events_sliding(spark: SparkSession, folder: str) -> DataFrame:
     slots = (
         load_table(spark, folder, "events")
         .groupBy(F.window("ts", "15 minutes").alias("w"))
-        .agg(F.count(F.lit(1)).alias("n"), F.sum(money.exact("value")).alias("total"))
-        .select(F.col("w.start").alias("slot"), "n", "total")
+        .agg(F.count(F.lit(1)).alias("n"), *money.parts(money.cents("value"), "total"))
+        .select(F.col("w.start").alias("slot"), "n", "total_high", "total_low")
     )
     return (
         slots.groupBy(F.window("slot", "1 hour", "15 minutes").alias("w"))
-        .agg(F.sum("n").alias("n"), money.total(F.col("total")).alias("total"))
-        .select(naive("w.start").alias("window_start"), "n", "total")
+        .agg(F.sum("n").alias("n"), *money.merged("total"))
+        .select(
+            naive("w.start").alias("window_start"),
+            "n",
+            money.joined(F.col("total_high"), F.col("total_low")).alias("total"),
+        )
     )
 
 
@@ -76,14 +80,14 @@ SESSIONS_SQL = """
 
 @query(SESSIONS_SQL)
 def user_sessions(spark: SparkSession, folder: str) -> DataFrame:
-    events = _timed(spark, folder, "user_id", money.exact("value").alias("value"))
-    found = sessions(events, ["user_id"], "at", 30 * MINUTE, {"n": F.lit(1), "total": F.col("value")})
+    events = _timed(spark, folder, "user_id", money.cents("value").alias("cents"))
+    found = sessions(events, ["user_id"], "at", 30 * MINUTE, {"n": F.lit(1), "total": F.col("cents")})
     return found.select(
         "user_id",
         from_micros("session_start").alias("session_start"),
         from_micros("session_end").alias("session_end"),
         "n",
-        F.col("total").cast("double").alias("total"),
+        (F.col("total") / 100).alias("total"),
     )
 
 
@@ -98,18 +102,18 @@ def user_sessions(spark: SparkSession, folder: str) -> DataFrame:
 )
 def rolling_spend(spark: SparkSession, folder: str) -> DataFrame:
     """What each user did in the day up to each of their instants."""
-    events = _timed(spark, folder, "user_id", money.exact("value").alias("value"))
+    events = _timed(spark, folder, "user_id", money.cents("value").alias("cents"))
     totals = interval_totals(
         events.select("user_id", "at").distinct(),
         events,
         ["user_id"],
         "at",
         DAY,
-        {"events_1d": F.lit(1), "spend_1d": F.col("value")},
+        {"events_1d": F.lit(1), "spend_1d": F.col("cents")},
         profile=events,
     )
     return totals.select(
-        "user_id", from_micros("at").alias("ts"), "events_1d", F.col("spend_1d").cast("double").alias("spend_1d")
+        "user_id", from_micros("at").alias("ts"), "events_1d", (F.col("spend_1d") / 100).alias("spend_1d")
     )
 
 
@@ -122,12 +126,12 @@ def rolling_spend(spark: SparkSession, folder: str) -> DataFrame:
     """
 )
 def smoothed_value(spark: SparkSession, folder: str) -> DataFrame:
-    events = _timed(spark, folder, "event_id", "user_id", money.exact("value").alias("value"))
+    events = _timed(spark, folder, "event_id", "user_id", money.cents("value").alias("cents"))
     near = neighbours(
         ordered(events, ["user_id"], ["at", "event_id"]), 2, 2,
-        {"_sum": F.sum("value"), "_n": F.count("value")},
+        {"_sum": F.sum("cents"), "_n": F.count("cents")},
     )
-    return near.select("event_id", "user_id", (F.col("_sum").cast("double") / F.col("_n")).alias("smoothed"))
+    return near.select("event_id", "user_id", (F.col("_sum") / 100 / F.col("_n")).alias("smoothed"))
 
 
 _LATEST_VIEW_SQL = """
@@ -236,12 +240,10 @@ def signup_funnel(spark: SparkSession, folder: str) -> DataFrame:
 )
 def spend_by_type(spark: SparkSession, folder: str) -> DataFrame:
     """Event types as columns; the values are named, so no extra pass looks for them."""
+    types = ["click", "error", "purchase", "signup", "view"]
     events = load_table(spark, folder, "events")
-    return (
-        events.groupBy("user_id")
-        .pivot("event_type", ["click", "error", "purchase", "signup", "view"])
-        .agg(money.total(money.exact("value")))
-    )
+    spent = events.groupBy("user_id").pivot("event_type", types).agg(F.sum(money.cents("value")))
+    return spent.select("user_id", *[(F.col(t) / 100).alias(t) for t in types])
 
 
 @query("SELECT event_id, event_type, CAST(json_extract_string(props, '$.k') AS INTEGER) AS k FROM events")

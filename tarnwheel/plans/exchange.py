@@ -27,7 +27,7 @@ def _round_trip(fmt: str):
             F.count(F.lit(1)).alias("n"),
             F.min("o_orderdate").alias("first_order"),
             F.max("o_orderkey").alias("last_key"),
-            money.total(money.exact("o_totalprice")).alias("total"),
+            money.total(money.cents("o_totalprice")).alias("total"),
         )
 
     orders_through.__name__ = f"orders_through_{fmt}"
@@ -51,7 +51,7 @@ def returned_lines(spark: SparkSession, folder: str) -> DataFrame:
     path = write_partitioned(lines, scratch_path(spark, "lines"), ["l_returnflag"])
     copy = spark.read.schema(lines.schema).parquet(path).where(F.col("l_returnflag") == "R")
     return copy.groupBy("l_linestatus").agg(
-        F.count(F.lit(1)).alias("n"), money.total(money.exact("l_quantity")).alias("quantity")
+        F.count(F.lit(1)).alias("n"), money.total(money.cents("l_quantity")).alias("quantity")
     )
 
 
@@ -73,9 +73,9 @@ def brand_revenue_sql(spark: SparkSession, folder: str) -> DataFrame:
     return spark.sql(
         """
         WITH per_part AS (
-          SELECT l_partkey, count(*) AS n, sum(net_price(l_extendedprice, l_discount)) AS net
+          SELECT l_partkey, count(*) AS n, sum(CAST(net_units(l_extendedprice, l_discount) AS DECIMAL(20, 0))) AS net
           FROM lineitem GROUP BY l_partkey)
-        SELECT p_brand, sum(n) AS n, CAST(sum(net) AS DOUBLE) AS revenue
+        SELECT p_brand, sum(n) AS n, CAST(sum(net) * 0.0001 AS DOUBLE) AS revenue
         FROM per_part JOIN part ON p_partkey = l_partkey GROUP BY p_brand
         """
     )

@@ -43,12 +43,12 @@ def pricing_summary(spark: SparkSession, folder: str) -> DataFrame:
     lines = load_table(spark, folder, "lineitem").where(
         F.col("l_shipdate") <= F.lit("2001-08-01").cast("timestamp_ntz")
     )
-    qty, price, disc = money.exact("l_quantity"), money.exact("l_extendedprice"), money.exact("l_discount")
+    qty, price, disc = money.cents("l_quantity"), money.cents("l_extendedprice"), money.cents("l_discount")
     return lines.groupBy("l_returnflag", "l_linestatus").agg(
         money.total(qty).alias("sum_qty"),
         money.total(price).alias("sum_base_price"),
-        money.total(money.net()).alias("sum_disc_price"),
-        money.total(money.net() * (F.lit(1) + money.exact("l_tax"))).alias("sum_charge"),
+        money.total(money.net(), 4).alias("sum_disc_price"),
+        money.total(money.net() * (F.lit(100) + money.cents("l_tax")), 6).alias("sum_charge"),
         money.mean(qty).alias("avg_qty"),
         money.mean(price).alias("avg_price"),
         money.mean(disc).alias("avg_disc"),
@@ -83,7 +83,7 @@ def nation_revenue(spark: SparkSession, folder: str) -> DataFrame:
     per_order = (
         lines.join(suppliers, F.col("l_suppkey") == F.col("s_suppkey"))
         .groupBy("l_orderkey", "s_nationkey")
-        .agg(F.sum("net").alias("net"))
+        .agg(*money.parts(F.col("net"), "net"))
     )
     orders = load_table(spark, folder, "orders").select("o_orderkey", "o_custkey")
     customers = load_table(spark, folder, "customer").select("c_custkey", "c_nationkey")
@@ -93,14 +93,15 @@ def nation_revenue(spark: SparkSession, folder: str) -> DataFrame:
         (F.col("l_orderkey") == F.col("o_orderkey")) & (F.col("s_nationkey") == F.col("c_nationkey")),
     )
     # at most one row per nation from here on
-    per_nation = matched.groupBy("s_nationkey").agg(F.sum("net").alias("net"))
+    per_nation = matched.groupBy("s_nationkey").agg(*money.merged("net"))
     nations = load_table(spark, folder, "nation").join(
         load_table(spark, folder, "region"), F.col("n_regionkey") == F.col("r_regionkey")
     )
     return (
         per_nation.join(nations, F.col("s_nationkey") == F.col("n_nationkey"))
         .groupBy("r_name", "n_name")
-        .agg(money.total(F.col("net")).alias("revenue"))
+        .agg(*money.merged("net"))
+        .select("r_name", "n_name", money.joined(F.col("net_high"), F.col("net_low"), 4).alias("revenue"))
     )
 
 
@@ -150,7 +151,7 @@ def small_quantity_lines(spark: SparkSession, folder: str) -> DataFrame:
     """
     table = load_table(spark, folder, "lineitem")
     lines = table.select("l_orderkey", "l_partkey", "l_suppkey", "l_quantity")
-    means = table.groupBy("l_partkey").agg(money.mean(money.exact("l_quantity")).alias("mean_qty"))
+    means = table.groupBy("l_partkey").agg(money.mean(money.cents("l_quantity")).alias("mean_qty"))
     joined = salted_join(
         lines, means, ["l_partkey"], ["l_orderkey"], heavy_keys(table.select("l_partkey"), ["l_partkey"])
     )
@@ -188,7 +189,7 @@ _GROUPED_CUSTOMERS = """
 def _customer_totals():
     return (
         F.count(F.lit(1)).alias("n_customers"),
-        money.total(money.exact("c_acctbal")).alias("total_balance"),
+        money.total(money.cents("c_acctbal")).alias("total_balance"),
         F.grouping_id().alias("grouping_level"),
     )
 

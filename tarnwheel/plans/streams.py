@@ -24,7 +24,7 @@ _CLOSED_TUMBLING_SQL = (
 def _tumbling(events: DataFrame) -> DataFrame:
     return (
         events.groupBy(F.window("ts", "1 hour").alias("w"), "event_type")
-        .agg(F.count(F.lit(1)).alias("n"), money.total(money.exact("value")).alias("total"))
+        .agg(F.count(F.lit(1)).alias("n"), money.total(money.cents("value")).alias("total"))
         .select("w", "event_type", "n", "total")
     )
 
@@ -55,7 +55,7 @@ def stream_sliding(spark: SparkSession, folder: str) -> DataFrame:
     """Sliding windows in update mode; the last update of a window counts."""
     events = stream_table(spark, folder, "events", "ts").withWatermark("ts", "1 hour")
     windows = events.groupBy(F.window("ts", "1 hour", "15 minutes").alias("w")).agg(
-        F.count(F.lit(1)).alias("n"), money.total(money.exact("value")).alias("total")
+        F.count(F.lit(1)).alias("n"), money.total(money.cents("value")).alias("total")
     )
     return _with_start(update_table(spark, windows, ["w"], "sliding"))
 
@@ -66,7 +66,7 @@ def stream_sessions(spark: SparkSession, folder: str) -> DataFrame:
     spark.conf.set("spark.sql.streaming.sessionWindow.merge.sessions.in.local.partition", "true")
     events = stream_table(spark, folder, "events", "ts").withWatermark("ts", "1 hour")
     found = events.groupBy(F.session_window("ts", "30 minutes").alias("w"), "user_id").agg(
-        F.count(F.lit(1)).alias("n"), money.total(money.exact("value")).alias("total")
+        F.count(F.lit(1)).alias("n"), money.total(money.cents("value")).alias("total")
     )
     table = append_table(spark, found.select("w", "user_id", "n", "total"), "sessions")
     return table.select(
@@ -134,7 +134,7 @@ def stream_enrich(spark: SparkSession, folder: str) -> DataFrame:
 def stream_user_totals(spark: SparkSession, folder: str) -> DataFrame:
     """Running totals per user held in custom state."""
     events = stream_table(spark, folder, "events").select(
-        "user_id", "event_id", (money.exact("value") * 100).cast("long").alias("cents")
+        "user_id", "event_id", money.cents("value").alias("cents")
     )
     heavy = heavy_keys(load_table(spark, folder, "events").select("user_id"), ["user_id"])
     updates = append_table(

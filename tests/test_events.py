@@ -2,10 +2,12 @@
 
 import math
 import random
+from decimal import Decimal
 
 import pytest
 from pyspark.sql import functions as F
 
+from tarnwheel.functions import money
 from tarnwheel.functions.text import tokens
 from tarnwheel.functions.vectors import cosine, dot, norm
 from tarnwheel.operators.sampling import hash_sample
@@ -39,6 +41,20 @@ def test_sessions_join_at_exactly_the_gap(spark):
     )
 
 
+def test_totals_do_not_overflow(spark):
+    """Whole units near the top of 64 bits, of both signs, as single rows and merged."""
+    big = 2**62
+    df = spark.createDataFrame([(i % 2, big + i) for i in range(10)] + [(2, -5), (2, -big)], "g int, u long")
+    got = {r["g"]: r["t"] for r in df.groupBy("g").agg(money.total(F.col("u"), 4).alias("t")).collect()}
+    assert got == {
+        0: float(Decimal(5 * big + 20) / 10**4), 1: float(Decimal(5 * big + 25) / 10**4),
+        2: float(Decimal(-big - 5) / 10**4),
+    }
+    twice = df.groupBy("g").agg(*money.parts(F.col("u"), "u")).agg(*money.merged("u"))
+    whole = twice.select(money.joined(F.col("u_high"), F.col("u_low"), 0)).first()[0]
+    assert whole == float(9 * big + 40)
+
+
 def test_tokens(spark):
     df = spark.createDataFrame([("  The\tend\n of IT ",), ("",), (None,)], "t string")
     assert [r[0] for r in df.select(tokens("t")).collect()] == [["the", "end", "of", "it"], [], None]

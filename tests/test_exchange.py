@@ -52,8 +52,8 @@ def test_partitioned_copy(spark, tmp_path):
 
 def test_sql_functions(spark):
     register_functions(spark)
-    row = spark.sql("SELECT words(' A  b ') AS w, net_price(10.0D, 0.25D) AS n, exact_money(1.239D) AS m").first()
-    assert row["w"] == ["a", "b"] and float(row["n"]) == 7.5 and float(row["m"]) == 1.24
+    row = spark.sql("SELECT words(' A  b ') AS w, net_units(10.0D, 0.25D) AS n, cents(1.15D) AS c").first()
+    assert row["w"] == ["a", "b"] and row["n"] == 75000 and row["c"] == 115
 
 
 class Session:

@@ -9,12 +9,12 @@ from pyspark.sql import functions as F
 
 from tarnwheel.functions.text import tokens
 from tarnwheel.operators.joins import heavy_keys, salted_join
+from tarnwheel.operators.rowcounts import count_in_rows
 
 
 def term_counts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(id, term, tf): how often each word occurs in each text."""
-    words = docs.select(id_col, F.explode(tokens(text_col)).alias("term"))
-    return words.groupBy(id_col, "term").agg(F.count(F.lit(1)).alias("tf"))
+    """(id, term, tf): how often each word occurs in each text, one text per row."""
+    return count_in_rows(docs, [id_col], tokens(text_col), "term", "tf")
 
 
 def tf_idf(

@@ -2,12 +2,18 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tarnwheel.operators.rowcounts import count_in_rows
 from tarnwheel.operators.search import bm25, tf_idf
 from tarnwheel.plans.registry import query
-from tarnwheel.sources.tables import load_table
+from tarnwheel.sources.tables import load_table, spread
+
+
+def _texts(spark: SparkSession, folder: str) -> DataFrame:
+    return spread(load_table(spark, folder, "documents").select("doc_id", "text"), "doc_id")
+
 
 _WORDS = r"list_filter(regexp_split_to_array(lower(text), '\s+'), lambda w: w <> '')"
 
@@ -23,7 +29,7 @@ _WORDS = r"list_filter(regexp_split_to_array(lower(text), '\s+'), lambda w: w <>
     """
 )
 def document_tf_idf(spark: SparkSession, folder: str) -> DataFrame:
-    weights = tf_idf(load_table(spark, folder, "documents"))
+    weights = tf_idf(_texts(spark, folder))
     return weights.withColumn("weight", F.round("weight", 8))
 
 
@@ -44,7 +50,7 @@ def document_tf_idf(spark: SparkSession, folder: str) -> DataFrame:
 )
 def document_search(spark: SparkSession, folder: str) -> DataFrame:
     """BM25 score of every document for two words."""
-    found = bm25(load_table(spark, folder, "documents"), ["the", "and"])
+    found = bm25(_texts(spark, folder), ["the", "and"])
     return found.select("doc_id", F.round("score", 8).alias("score"))
 
 
@@ -68,20 +74,20 @@ def document_report(spark: SparkSession, folder: str) -> DataFrame:
 _LINKS = """SELECT page_id, unnest(regexp_extract_all(html, 'href="([^"]*)"', 1)) AS href FROM pages"""
 
 
+def _hrefs() -> Column:
+    return F.regexp_extract_all("html", F.lit('href="([^"]*)"'), F.lit(1))
+
+
 @query(_LINKS)
 def page_links(spark: SparkSession, folder: str) -> DataFrame:
     """The link graph as an edge table."""
-    links = F.regexp_extract_all("html", F.lit('href="([^"]*)"'), F.lit(1))
-    return load_table(spark, folder, "pages").select("page_id", F.explode(links).alias("href"))
+    return load_table(spark, folder, "pages").select("page_id", F.explode(_hrefs()).alias("href"))
 
 
 @query(f"SELECT href, count(*) AS links, count(DISTINCT page_id) AS pages FROM ({_LINKS}) GROUP BY href")
 def link_targets(spark: SparkSession, folder: str) -> DataFrame:
-    """How many links and pages point to each target.
-
-    Links are counted per page first, so a page's repeats merge before the shuffle.
-    """
-    per_page = page_links(spark, folder).groupBy("href", "page_id").agg(F.count(F.lit(1)).alias("n"))
+    """How many links and pages point to each target; links are first counted in each page."""
+    per_page = count_in_rows(load_table(spark, folder, "pages"), [], _hrefs(), "href", "n")
     return per_page.groupBy("href").agg(F.sum("n").alias("links"), F.count(F.lit(1)).alias("pages"))
 
 

@@ -18,6 +18,15 @@ def load_table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder.rstrip('/')}/{name}.parquet")
 
 
+def spread(scan: DataFrame, by: str) -> DataFrame:
+    """For heavy work per row: use every core when a scan has fewer splits than cores.
+
+    A large table has more splits than cores and is returned as it is.
+    """
+    cores = scan.sparkSession.sparkContext.defaultParallelism
+    return scan if scan.rdd.getNumPartitions() >= cores else scan.repartition(cores, by)
+
+
 def stream_table(
     spark: SparkSession, folder: str, name: str, event_time: str | None = None,
     files_per_batch: int | None = None,

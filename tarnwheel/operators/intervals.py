@@ -18,7 +18,7 @@ EXPIRE_FIRST = 0
 
 
 def interval_totals(
-    reads: DataFrame,
+    reads: DataFrame | None,
     adds: DataFrame,
     keys: Sequence[str],
     time: str,
@@ -33,21 +33,24 @@ def interval_totals(
 
     The interval is ``[t - length, t]``, or ``(t - length, t]`` when not ``closed``.
     ``time`` is in whole units (microseconds) on both sides and ``ids`` with ``keys``
-    and ``time`` identifies a row of ``reads``. ``sums`` are amounts over ``adds``
-    without NULLs, of an exact type: amounts are taken away again when they expire.
-    ``profile`` may name a scan with the key and time columns of both sides, from which
-    large groups are found more cheaply than from the two sides.
+    and ``time`` identifies a row of ``reads``; without ``ids`` the result has one row
+    per instant. ``reads`` may be None to read at every instant of ``adds``.
+    ``sums`` are amounts over ``adds`` without NULLs, of an exact type: amounts are
+    taken away again when they expire. ``profile`` may name one scan with the key, time
+    and id columns of both sides, to find large groups more cheaply.
     """
     order = (time, "_kind", *ids)
     no_ids = [F.lit(None).cast(reads.schema[c].dataType).alias(c) for c in ids]
     if profile is None:
-        profile = reads.select(*keys, time).unionByName(adds.select(*keys, time))
-    profile = profile.select(*keys, time, F.lit(READ).alias("_kind"), *no_ids)
+        profile = adds.select(*keys, time, *no_ids)
+        profile = profile if reads is None else profile.unionByName(reads.select(*keys, time, *ids))
+    profile = profile.select(*keys, time, F.lit(READ).alias("_kind"), *ids)
     cuts = cut_points(profile, keys, order, rows_per_chunk)
     amounts = adds.select(*keys, time, *[v.alias(n) for n, v in sums.items()])
     if cuts:
-        # no cut goes through an instant, so a large one is added up before the shuffle
+        # no cut goes through an instant, so a large one is folded before the shuffle
         amounts = amounts.groupBy(*keys, time).agg(*[F.sum(n).alias(n) for n in sums])
+        reads = reads if ids or reads is None else reads.select(*keys, time).distinct()
     added = F.struct(F.col(time), F.lit(ADD).alias("_kind"), *[F.col(n) for n in sums])
     expired = F.struct(
         (F.col(time) + length).alias(time),
@@ -57,14 +60,18 @@ def interval_totals(
     changes = amounts.select(*keys, F.explode(F.array(added, expired)).alias("_change")).select(
         *keys, "_change.*", *no_ids
     )
-    asked = reads.select(
-        *keys, time, F.lit(READ).alias("_kind"), *[F.lit(0).alias(n) for n in sums], *ids
-    )
-    frame = arrange(changes.unionByName(asked), keys, order, cuts)
-    totals = running_sum(frame, {f"_total_{n}": F.col(n) for n in sums})
-    return totals.where(F.col("_kind") == READ).select(
+    line, asked = changes, ADD
+    if reads is not None:
+        nothing = [F.lit(0).alias(n) for n in sums]
+        line = changes.unionByName(reads.select(*keys, time, F.lit(READ).alias("_kind"), *nothing, *ids))
+        asked = READ
+    frame = arrange(line, keys, order, cuts)
+    totals = running_sum(frame, {f"_total_{n}": F.col(n) for n in sums}, peers=reads is None)
+    found = totals.where(F.col("_kind") == asked).select(
         *keys, time, *ids, *[F.col(f"_total_{n}").alias(n) for n in sums]
     )
+    # groups left whole are already together, so this distinct needs no shuffle
+    return found if ids or cuts else found.distinct()
 
 
 def latest_before(

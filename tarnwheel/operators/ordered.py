@@ -51,8 +51,11 @@ class Ordered:
     def window(self, order: Sequence[str | Column] | None = None):
         return Window.partitionBy(*self.partition).orderBy(*(order or self.order))
 
-    def upto_here(self):
-        return self.window().rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    def upto_here(self, peers: bool = False):
+        """All rows up to each row; with ``peers`` also those that tie with it."""
+        window = self.window()
+        between = window.rangeBetween if peers else window.rowsBetween
+        return between(Window.unboundedPreceding, Window.currentRow)
 
     def chunks_of_group(self):
         """Window over the summary rows of one group; at most MAX_CHUNKS rows."""
@@ -130,14 +133,23 @@ def arrange(df: DataFrame, keys: Sequence[str], order: Sequence[str], cuts: list
     if not cuts:
         return Ordered(df, keys, order, None)
     fields = T.StructType([T.StructField(c, df.schema[c].dataType) for c in (*keys, *order)])
-    rows = df.withColumn(CHUNK, _position(cuts, fields))
+    place = _position(cuts, fields)
     if not keys:
+        rows = df.withColumn(CHUNK, place)
         return Ordered(rows, keys, order, rows)
+    # only rows that may be of a large group look for their place
+    near = reduce(Column.__and__, [_one_of(k, {cut[i] for cut in cuts}) for i, k in enumerate(keys)])
+    rows = df.withColumn(CHUNK, F.when(near, place).otherwise(0))
     groups = T.StructType([T.StructField(k, df.schema[k].dataType) for k in keys])
     large = df.sparkSession.createDataFrame([*{cut[: len(keys)] for cut in cuts}], groups)
     return Ordered(rows, keys, order, large)
 
 
+def _one_of(column: str, values: set) -> Column:
+    present = F.col(column).isin([v for v in values if v is not None])
+    return present | F.col(column).isNull() if None in values else present
+
+
 def _position(cuts: list[tuple], fields: T.StructType) -> Column:
     """How many cut points lie at or below the row, by binary search."""
     packed = json.dumps([dict(zip(fields.names, cut)) for cut in cuts])
@@ -152,14 +164,18 @@ def _position(cuts: list[tuple], fields: T.StructType) -> Column:
 
 
 def running_sum(
-    frame: Ordered, sums: dict[str, Column], group_sums: dict[str, Column] | None = None
+    frame: Ordered,
+    sums: dict[str, Column],
+    group_sums: dict[str, Column] | None = None,
+    peers: bool = False,
 ) -> DataFrame:
     """Totals of each row and all rows of its group before it.
 
-    ``group_sums`` adds totals of the whole group to each of its rows.
+    ``peers`` counts in rows that tie with it. ``group_sums`` adds totals of the whole
+    group to each of its rows.
     """
     group_sums = group_sums or {}
-    upto, whole = frame.upto_here(), Window.partitionBy(*frame.partition)
+    upto, whole = frame.upto_here(peers), Window.partitionBy(*frame.partition)
     rows = frame.rows.withColumns(
         {name: F.sum(value).over(upto) for name, value in sums.items()}
         | {name: F.sum(value).over(whole) for name, value in group_sums.items()}

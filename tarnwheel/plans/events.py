@@ -104,7 +104,7 @@ def rolling_spend(spark: SparkSession, folder: str) -> DataFrame:
     """What each user did in the day up to each of their instants."""
     events = _timed(spark, folder, "user_id", money.cents("value").alias("cents"))
     totals = interval_totals(
-        events.select("user_id", "at").distinct(),
+        None,
         events,
         ["user_id"],
         "at",

@@ -155,6 +155,15 @@ def test_interval_totals_of_one_instant(spark):
     assert sorted((r["at"], r["t"] or 0) for r in got.collect()) == [(6, 0), (7, 1800), (17, 1800), (18, 0)]
 
 
+@pytest.mark.parametrize("per_chunk", [SMALL, None])
+def test_interval_totals_at_every_instant(rows, per_chunk):
+    """The same as a RANGE window over the rows themselves."""
+    adds = rows.where("v is not null").select("key", "at", "v")
+    got = interval_totals(None, adds, ["key"], "at", 30, {"total": F.col("v")}, rows_per_chunk=per_chunk)
+    w = Window.partitionBy("key").orderBy("at").rangeBetween(-30, 0)
+    same(got, adds.select("key", "at", F.sum("v").over(w).alias("total")).distinct())
+
+
 def test_transitions(rows):
     same(
         transitions(rows, ["key"], ["at", "id"], "step", rows_per_chunk=SMALL),

@@ -13,7 +13,6 @@ group get the plain window plan.
 
 from __future__ import annotations
 
-import json
 import math
 from collections.abc import Sequence
 from dataclasses import dataclass
@@ -30,6 +29,12 @@ SEED = 17
 
 CHUNK = "_chunk"
 
+# times in a cut point keep their microseconds
+TIMES = {
+    "timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX",
+    "timestampNTZFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSS",
+}
+
 
 @dataclass(frozen=True)
 class Ordered:
@@ -104,7 +109,7 @@ def cut_points(
 ) -> list[tuple]:
     """Every ``rows_per_chunk``-th place inside large groups, in sorted order.
 
-    Empty exactly if no group looks larger than ``rows_per_chunk`` in the sample.
+    A cut point is the group's key values and, as JSON, the row it lies at. Empty exactly if no group looks larger than ``rows_per_chunk`` in the sample.
     """
     rows_per_chunk = rows_per_chunk or ROWS_PER_CHUNK
     total = df.count()
@@ -123,6 +128,7 @@ def cut_points(
         .drop("_nth")
         .distinct()
         .orderBy(*keys, *order)
+        .select(*keys, F.to_json(F.struct(*keys, *order), TIMES))
     )
     return [tuple(row) for row in points.collect()]  # about MAX_CHUNKS rows at most
 
@@ -141,7 +147,7 @@ def arrange(df: DataFrame, keys: Sequence[str], order: Sequence[str], cuts: list
     near = reduce(Column.__and__, [_one_of(k, {cut[i] for cut in cuts}) for i, k in enumerate(keys)])
     rows = df.withColumn(CHUNK, F.when(near, place).otherwise(0))
     groups = T.StructType([T.StructField(k, df.schema[k].dataType) for k in keys])
-    large = df.sparkSession.createDataFrame([*{cut[: len(keys)] for cut in cuts}], groups)
+    large = df.sparkSession.createDataFrame([*{cut[:-1] for cut in cuts}], groups)
     return Ordered(rows, keys, order, large)
 
 
@@ -152,8 +158,8 @@ def _one_of(column: str, values: set) -> Column:
 
 def _position(cuts: list[tuple], fields: T.StructType) -> Column:
     """How many cut points lie at or below the row, by binary search."""
-    packed = json.dumps([dict(zip(fields.names, cut)) for cut in cuts])
-    bounds = F.from_json(F.lit(packed), T.ArrayType(fields))
+    packed = "[" + ",".join(cut[-1] for cut in cuts) + "]"
+    bounds = F.from_json(F.lit(packed), T.ArrayType(fields), TIMES)
     here = F.struct(*fields.names)
     steps = [1 << bit for bit in reversed(range(len(cuts).bit_length()))]
     return F.aggregate(

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 def count_in_rows(
     df: DataFrame, keep: Sequence[str], items: Column, item: str, count: str
 ) -> DataFrame:
-    """One row per distinct item of each row's array, with how often it occurs there.
+    """One row per distinct item of each row's array, NULL aside, with how often it occurs there.
 
     The counts are the run lengths of the sorted array. Pairs of row and item, which
     can be far larger than the rows, are so not shuffled to be counted.
@@ -21,7 +21,9 @@ def count_in_rows(
     starts = listed.select(
         *keep,
         "_items",
-        F.filter(places, lambda i: (i == 0) | (F.get("_items", i) != F.get("_items", i - 1))).alias("_starts"),
+        F.filter(
+            places, lambda i: (i == 0) | ~F.get("_items", i).eqNullSafe(F.get("_items", i - 1))
+        ).alias("_starts"),
     )
     runs = F.transform(
         "_starts",
@@ -30,5 +32,5 @@ def count_in_rows(
             (F.coalesce(F.get("_starts", i + 1), F.size("_items")) - start).cast("long").alias(count),
         ),
     )
-    # an empty array has one run of no item
+    # drops NULL items, and the one run of no item that an empty array has
     return starts.select(*keep, F.inline(runs)).where(F.col(item).isNotNull())

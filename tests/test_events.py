@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from tarnwheel.functions import money
 from tarnwheel.functions.text import tokens
 from tarnwheel.functions.vectors import cosine, dot, norm
+from tarnwheel.operators.rowcounts import count_in_rows
 from tarnwheel.operators.sampling import hash_sample
 from tarnwheel.operators.search import bm25, tf_idf
 from tarnwheel.operators.sessions import sessions
@@ -55,6 +56,12 @@ def test_totals_do_not_overflow(spark):
     assert whole == float(9 * big + 40)
 
 
+def test_count_in_rows(spark):
+    df = spark.createDataFrame([(1, ["b", None, "a", "b"]), (2, []), (3, None), (4, [None])], "k int, v array<string>")
+    got = count_in_rows(df, ["k"], F.col("v"), "item", "n")
+    assert sorted(map(tuple, got.collect())) == [(1, "a", 1), (1, "b", 2)]
+
+
 def test_tokens(spark):
     df = spark.createDataFrame([("  The\tend\n of IT ",), ("",), (None,)], "t string")
     assert [r[0] for r in df.select(tokens("t")).collect()] == [["the", "end", "of", "it"], [], None]

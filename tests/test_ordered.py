@@ -76,6 +76,24 @@ def test_running_sum_without_key(rows):
     same(running_sum(cut, {"t": F.col("v")}), rows.withColumn("t", F.sum("v").over(w)))
 
 
+def test_keys_and_order_of_many_types(spark):
+    """Cut points keep dates, decimals, microseconds, quotes and halves exactly."""
+    df = spark.range(2000).select(
+        F.when(F.col("id") % 2 == 0, F.to_date(F.lit("2024-02-29"))).alias("day"),
+        (F.col("id") % 3 / 10).cast("decimal(20,3)").alias("price"),
+        F.concat(F.lit('say "'), F.lit("\u00e9\n\\"), F.col("id") % 2).alias("name"),
+        F.timestamp_micros(F.col("id") * 37).cast("timestamp_ntz").alias("naive"),
+        F.timestamp_micros(F.col("id") * 41).alias("zoned"),
+        (F.col("id") / 7).alias("half"),
+        "id",
+    )
+    for keys, order in ((["day", "price", "name"], ["naive", "id"]), (["name"], ["half", "zoned", "id"])):
+        cut = ordered(df, keys, order, rows_per_chunk=SMALL)
+        assert cut.split and cut.rows.select(mod.CHUNK).distinct().count() >= 20
+        w = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+        same(running_sum(cut, {"t": F.col("id")}), df.withColumn("t", F.sum("id").over(w)))
+
+
 @pytest.mark.parametrize("current", [True, False])
 def test_last_seen(rows, frame, current):
     w = Window.partitionBy("key").orderBy("at", "id").rowsBetween(Window.unboundedPreceding, 0 if current else -1)

@@ -25,6 +25,7 @@ from pyspark.sql import types as T
 ROWS_PER_CHUNK = 4_000_000
 MAX_CHUNKS = 8_192
 SAMPLES_PER_CHUNK = 64
+MAX_NEIGHBOURS = 1_000
 SEED = 17
 
 CHUNK = "_chunk"
@@ -227,7 +228,13 @@ def last_seen(frame: Ordered, value: Column, out: str, include_current: bool = T
 
 
 def neighbours(frame: Ordered, before: int, after: int, aggs: dict[str, Column]) -> DataFrame:
-    """Aggregates over the rows from ``before`` places back to ``after`` places ahead."""
+    """Aggregates over the rows from ``before`` places back to ``after`` places ahead.
+
+    At most MAX_NEIGHBOURS places each way: that many rows of a chunk are copied to its
+    neighbour. Sums over longer frames are differences of two running sums.
+    """
+    if max(before, after) > MAX_NEIGHBOURS:
+        raise ValueError(f"frames reach at most {MAX_NEIGHBOURS} rows each way")
     near = frame.window().rowsBetween(-before, after)
     if not frame.split:
         return frame.rows.withColumns({name: agg.over(near) for name, agg in aggs.items()})

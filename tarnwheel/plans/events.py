@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tarnwheel.functions import money
@@ -302,6 +302,30 @@ def distinct_users_approx(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+@query(
+    """
+    SELECT event_type, count(DISTINCT user_id) AS users, true AS users_close, true AS users_hll_close
+    FROM events GROUP BY event_type
+    """
+)
+def sketch_audit(spark: SparkSession, folder: str) -> DataFrame:
+    """The sketches against exact counts: each must lie within three standard errors."""
+    exact = load_table(spark, folder, "events").groupBy("event_type").agg(
+        F.count_distinct("user_id").alias("exact_users")
+    )
+    sketched = distinct_users_approx(spark, folder)
+
+    def close(estimate: str, standard_error: float) -> Column:
+        return F.abs(F.col(estimate) - F.col("exact_users")) <= 3 * standard_error * F.col("exact_users")
+
+    return exact.join(sketched, "event_type").select(
+        "event_type",
+        F.col("exact_users").alias("users"),
+        close("users", 0.02).alias("users_close"),
+        close("users_hll", 0.0163).alias("users_hll_close"),
+    )
+
+
 @query(
     """
     SELECT event_type AS item, count(*) AS n FROM events GROUP BY 1 ORDER BY n DESC, item LIMIT 3

@@ -25,12 +25,15 @@ def prepare(spark: SparkSession) -> SparkSession:
     spark.conf.set("spark.sql.adaptive.enabled", "true")
     spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
     spark.conf.set("spark.sql.adaptive.skewJoin.enabled", "true")
+    # split a skewed join even where that costs one more shuffle after it
+    spark.conf.set("spark.sql.adaptive.forceOptimizeSkewedJoin", "true")
     return spark
 
 
 @cache
-def _local_scratch() -> str:
-    return tempfile.mkdtemp(prefix="tarnwheel-")
+def _local_scratch() -> tempfile.TemporaryDirectory:
+    """A folder that goes away with the process."""
+    return tempfile.TemporaryDirectory(prefix="tarnwheel-", ignore_cleanup_errors=True)
 
 
 def scratch_path(spark: SparkSession, label: str) -> str:
@@ -45,5 +48,5 @@ def scratch_path(spark: SparkSession, label: str) -> str:
     if not root:
         if not spark.sparkContext.master.startswith("local"):
             raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-        root = _local_scratch()
+        root = _local_scratch().name
     return f"{root.rstrip('/')}/{label}-{uuid.uuid4().hex}"

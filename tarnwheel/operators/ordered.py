@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 ROWS_PER_CHUNK = 4_000_000
-MAX_CHUNKS = 8_192
+MAX_CHUNKS = 32_768
 SAMPLES_PER_CHUNK = 64
 MAX_NEIGHBOURS = 1_000
 SEED = 17
@@ -74,7 +74,8 @@ class Ordered:
         """Only the rows of groups that were cut."""
         if not self.keys:
             return self.rows
-        return self.rows.join(F.broadcast(self.large), _same(self.rows, self.large, self.keys), "left_semi")
+        same = reduce(Column.__and__, [self.rows[k].eqNullSafe(self.large[k]) for k in self.keys])
+        return self.rows.join(F.broadcast(self.large), same, "left_semi")
 
     def summary(self, *aggs: Column) -> DataFrame:
         """One row per chunk of the groups that were cut."""
@@ -90,10 +91,6 @@ class Ordered:
         return rows.join(F.broadcast(renamed), condition, "left").drop(*[f"_on_{c}" for c in on])
 
 
-def _same(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> Column:
-    return reduce(Column.__and__, [left[k].eqNullSafe(right[k]) for k in keys])
-
-
 def ordered(
     df: DataFrame, keys: Sequence[str], order: Sequence[str], rows_per_chunk: int | None = None
 ) -> Ordered:

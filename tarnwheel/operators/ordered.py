@@ -107,7 +107,8 @@ def cut_points(
 ) -> list[tuple]:
     """Every ``rows_per_chunk``-th place inside large groups, in sorted order.
 
-    A cut point is the group's key values and, as JSON, the row it lies at. Empty exactly if no group looks larger than ``rows_per_chunk`` in the sample.
+    A cut point is the group's key values and, as JSON, the row it lies at. There are
+    none exactly if no group looks larger than ``rows_per_chunk`` in the sample.
     """
     rows_per_chunk = rows_per_chunk or ROWS_PER_CHUNK
     total = df.count()
@@ -158,13 +159,17 @@ def _position(cuts: list[tuple], fields: T.StructType) -> Column:
     """How many cut points lie at or below the row, by binary search."""
     packed = "[" + ",".join(cut[-1] for cut in cuts) + "]"
     bounds = F.from_json(F.lit(packed), T.ArrayType(fields), TIMES)
-    here = F.struct(*fields.names)
-    steps = [1 << bit for bit in reversed(range(len(cuts).bit_length()))]
-    return F.aggregate(
-        F.array(*[F.lit(s) for s in steps]),
-        F.lit(0),
-        lambda at, jump: F.when(F.get(bounds, at + jump - 1) <= here, at + jump).otherwise(at),
-    )
+    steps = F.array(*[F.lit(1 << bit) for bit in reversed(range(len(cuts).bit_length()))])
+
+    def search(here: Column) -> Column:
+        return F.aggregate(
+            steps,
+            F.lit(0),
+            lambda at, jump: F.when(F.get(bounds, at + jump - 1) <= here, at + jump).otherwise(at),
+        )
+
+    # as an item of an array the row is put together once, not at every step
+    return F.get(F.transform(F.array(F.struct(*fields.names)), search), 0)
 
 
 def running_sum(

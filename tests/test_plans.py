@@ -5,17 +5,17 @@ import re
 
 import pytest
 
-import __spark_entry__ as entry_module
+from tarnwheel.plans import QUERIES
 from tarnwheel.sources.tables import load_table, spread
 
 FOLDER = "/root/testdata/sf0.001"
-BATCH = sorted(n for n in entry_module.queries() if not n.startswith("stream_"))
+BATCH = sorted(n for n in QUERIES if not n.startswith("stream_"))
 
 pytestmark = pytest.mark.skipif(not os.path.isdir(FOLDER), reason="no test tables here")
 
 
 def plan_of(spark, name):
-    return entry_module.queries()[name](spark, FOLDER)._jdf.queryExecution().executedPlan().toString()
+    return QUERIES[name](spark, FOLDER)._jdf.queryExecution().executedPlan().toString()
 
 
 @pytest.mark.parametrize("name", BATCH)

@@ -6,6 +6,7 @@ import pytest
 
 import __spark_entry__ as entry_module
 from tarnwheel.operators import joins, ordered
+from tarnwheel.plans import ORACLES, QUERIES
 from tarnwheel.sources.tables import TABLES
 
 FOLDER = os.environ.get("TARNWHEEL_TEST_DATA", "/root/testdata/sf0.001")
@@ -45,20 +46,20 @@ def test_query_with_large_groups(spark, duck, name, monkeypatch):
     check(spark, duck, name)
 
 
-@pytest.mark.parametrize("name", sorted(entry_module.queries()))
+@pytest.mark.parametrize("name", sorted(QUERIES))
 def test_query(spark, duck, name):
     check(spark, duck, name)
 
 
 def check(spark, duck, name):
-    df = entry_module.queries()[name](spark, FOLDER)
+    df = QUERIES[name](spark, FOLDER)
     columns = sorted(df.columns)
     got = sorted(map(repr, (tuple(r) for r in df.select(*columns).collect())))
     assert got or name in MAY_BE_EMPTY
-    if name not in entry_module.oracle_sql():
+    if name not in ORACLES:
         return
     picked = ", ".join(f'"{c}"' for c in columns)
-    result = duck.execute(f"SELECT {picked} FROM ({entry_module.oracle_sql()[name]})")
+    result = duck.execute(f"SELECT {picked} FROM ({ORACLES[name]})")
     types = [str(d[1]) for d in result.description]
     assert [DUCKDB_TYPES[df.schema[c].dataType.simpleString()] for c in columns] == types
     assert got == sorted(map(repr, result.fetchall()))

@@ -143,7 +143,8 @@ def differing_texts(rows: DataFrame, groups: DataFrame) -> DataFrame:
     Texts are compared within digest and salt, then one text per salt within the digest.
     """
     bounds = [F.min("text").alias("low"), F.max("text").alias("high")]
-    members = rows.join(_per_salt(groups).select("digest", "salt"), ["digest", "salt"])
+    # always the same join: a broadcast of the groups would not last as they grow
+    members = rows.join(_per_salt(groups).select("digest", "salt").hint("merge"), ["digest", "salt"])
     per_salt = members.groupBy("digest", "salt").agg(*bounds)
     per_digest = per_salt.groupBy("digest").agg(F.min("low").alias("low"), F.max("high").alias("high"))
     return per_digest.where("low <> high").select("digest")

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tarnwheel.llm import exact_dedup as dedup
+from tarnwheel.llm import langid, mixing, simhash
 from tarnwheel.sources.tables import load_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -38,3 +39,24 @@ def op1_exact_dedup(spark: SparkSession, folder: str) -> DataFrame:
     """Group of equal texts of every document; the largest doc_id of a group stays."""
     found = dedup.exact_dedup(load_table(spark, folder, "documents"))
     return found.select("doc_id", "keep_id", "group_size", "kept", F.lower(F.hex("digest")).alias("text_sha256"))
+
+
+@query()
+def op10_simhash_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    """Fingerprint and component of every document; three-word shingles, two bits apart at most."""
+    found = simhash.near_groups(load_table(spark, folder, "documents"))
+    return found.select("doc_id", F.lower(F.lpad(F.hex("fingerprint"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+@query()
+def op7_source_mix(spark: SparkSession, folder: str) -> DataFrame:
+    """Words of every document that a mix of the sources by weight takes."""
+    return mixing.mix(load_table(spark, folder, "documents"))
+
+
+@query()
+def op4_language_id(spark: SparkSession, folder: str) -> DataFrame:
+    """Language of every document, learned from the documents that are not held out."""
+    docs = load_table(spark, folder, "documents")
+    model = langid.train(docs.where(~langid.held_out()))
+    return langid.identify(docs, model).withColumn("held_out", langid.held_out())

@@ -199,7 +199,7 @@ def without_copies(docs: DataFrame) -> DataFrame:
     kept = stored(exact_dedup(docs).where("kept").select(F.col("doc_id").alias("_kept"), "digest"), "dedup-kept")
     rows = docs.withColumn("_digest", sha256(F.coalesce(F.col("text"), F.lit(""))))
     match = rows["doc_id"].cast("long").eqNullSafe(F.col("_kept")) & (rows["_digest"] == kept["digest"])
-    found = rows.join(kept, match, "left_semi")
+    found = rows.join(kept.hint("merge"), match, "left_semi")
     repeated = stored(_repeated_ids(docs), "dedup-repeated")
     if repeated.isEmpty():
         return found.drop("_digest")

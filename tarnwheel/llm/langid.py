@@ -299,6 +299,23 @@ def train(labelled: DataFrame) -> Model:
     return model
 
 
+def predict(model: Model, texts: list[str | None]) -> dict[str, np.ndarray]:
+    """lang_pred, score, loss and rejected of each text."""
+    texts = [t or "" for t in texts]
+    if model.langs:
+        means, letters = mean_losses(model, texts)
+    else:
+        means, letters = np.zeros((len(texts), 1)), np.zeros(len(texts), np.int64)
+    best, loss = means.argmin(axis=1), means.min(axis=1)
+    sure = np.exp(-(means - loss[:, None]) * np.minimum(letters, SCORE_LETTERS)[:, None])
+    rejected = letters == 0
+    if model.langs:
+        rejected |= loss > model.limits[best, length_class(letters)]
+    named = [model.langs[b] if n and model.langs else UNKNOWN for b, n in zip(best, letters)]
+    score = np.where([n != UNKNOWN for n in named], np.round(1 / sure.sum(axis=1), 6), 0.0)
+    return {"lang_pred": np.array(named, object), "score": score, "loss": loss, "rejected": rejected | (score == 0)}
+
+
 def identify(docs: DataFrame, model: Model) -> DataFrame:
     """doc_id, lang_pred, score, loss and rejected of every row of ``docs`` (doc_id, text).
 
@@ -310,22 +327,23 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = shared.value
         for batch in slices(batches):
-            texts = [t or "" for t in batch.column(1).to_pylist()]
-            if model.langs:
-                means, letters = mean_losses(model, texts)
-            else:
-                means, letters = np.zeros((len(texts), 1)), np.zeros(len(texts), np.int64)
-            best, loss = means.argmin(axis=1), means.min(axis=1)
-            sure = np.exp(-(means - loss[:, None]) * np.minimum(letters, SCORE_LETTERS)[:, None])
-            score = np.where(letters > 0, np.round(1 / sure.sum(axis=1), 6), 0.0)
-            rejected = letters == 0
-            if model.langs:
-                rejected |= loss > model.limits[best, length_class(letters)]
-            names = [model.langs[b] if n else UNKNOWN for b, n in zip(best, letters)]
-            arrays = [batch.column(0), pa.array(names, pa.string()), pa.array(score), pa.array(loss), pa.array(rejected)]
+            found = predict(shared.value, batch.column(1).to_pylist())
+            arrays = [batch.column(0), pa.array(found["lang_pred"], pa.string()), *(pa.array(found[c]) for c in ("score", "loss", "rejected"))]
             yield pa.RecordBatch.from_arrays(arrays, ["doc_id", "lang_pred", "score", "loss", "rejected"])
 
     texts = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     return texts.mapInArrow(run, "doc_id long, lang_pred string, score double, loss double, rejected boolean")
+
+
+def accepted(docs: DataFrame, model: Model) -> DataFrame:
+    """The rows of ``docs``, with all their columns, whose language is not rejected."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+    text = docs.columns.index("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches):
+            found = predict(shared.value, batch.column(text).to_pylist())
+            yield batch.filter(pa.array(~found["rejected"]))
+
+    return docs.mapInArrow(run, docs.schema)

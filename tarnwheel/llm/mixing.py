@@ -206,5 +206,5 @@ def mixed(docs: DataFrame, plan: Plan | None = None) -> DataFrame:
     copies = F.when(F.col("size") > 0, F.floor(share) + (drawn < share - F.floor(share)).cast("long")).otherwise(F.lit(1))
     counted = mix(docs, plan).select(F.col("doc_id").alias("_doc_id"), copies.alias("_copies"))
     counted = stored(counted.groupBy("_doc_id").agg(F.min("_copies").alias("_copies")).where("_copies > 0"), "mix-copies")
-    joined = docs.join(counted, F.col("doc_id").cast("long").eqNullSafe(F.col("_doc_id")))
+    joined = docs.join(counted.hint("merge"), F.col("doc_id").cast("long").eqNullSafe(F.col("_doc_id")))
     return joined.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies").cast("int")))).select(*docs.columns)

@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tarnwheel.llm import exact_dedup as dedup
-from tarnwheel.llm import langid, mixing, simhash
+from tarnwheel.llm import bpe, langid, mixing, simhash, token_counts
 from tarnwheel.sources.tables import load_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -60,3 +61,18 @@ def op4_language_id(spark: SparkSession, folder: str) -> DataFrame:
     docs = load_table(spark, folder, "documents")
     model = langid.train(docs.where(~langid.held_out()))
     return langid.identify(docs, model).withColumn("held_out", langid.held_out())
+
+
+@query()
+def op8_byte_bpe(spark: SparkSession, folder: str) -> DataFrame:
+    """Token ids of every document and the bytes they decode to, as digests."""
+    path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+    coded = bpe.decode(bpe.encode(load_table(spark, folder, "documents"), path), path)
+    return coded.select("doc_id", *bpe.digests())
+
+
+@query()
+def op5_token_counts(spark: SparkSession, folder: str) -> DataFrame:
+    """Number of tokens of every document."""
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    return token_counts.token_counts(load_table(spark, folder, "documents"), path)

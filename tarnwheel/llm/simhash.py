@@ -150,3 +150,14 @@ def near_groups(docs: DataFrame, words: int = 3) -> DataFrame:
         F.coalesce("component_id", "low").alias("component_id"),
     )
     return rows.join(groups, ["fingerprint", "salt"]).select("doc_id", "fingerprint", "component_id")
+
+
+def without_near_copies(docs: DataFrame, words: int = 3) -> DataFrame:
+    """The rows of ``docs``, with all their columns, whose doc_id names their group.
+
+    Rows without doc_id stay where no row of their group has one.
+    """
+    groups = near_groups(docs, words)
+    names = groups.where(F.col("doc_id").eqNullSafe(F.col("component_id")))
+    kept = stored(names.select(F.col("doc_id").alias("_kept")).distinct(), "simhash-kept")
+    return docs.join(kept.hint("merge"), docs["doc_id"].cast("long").eqNullSafe(kept["_kept"]), "left_semi")

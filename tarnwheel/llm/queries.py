@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tarnwheel.llm import exact_dedup as dedup
-from tarnwheel.llm import bpe, langid, mixing, simhash, token_counts
+from tarnwheel.llm import bpe, chat, langid, mixing, simhash, token_counts
 from tarnwheel.sources.tables import load_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -76,3 +76,45 @@ def op5_token_counts(spark: SparkSession, folder: str) -> DataFrame:
     """Number of tokens of every document."""
     path = public_tokenizers.path("byte_bpe_50k.json")
     return token_counts.token_counts(load_table(spark, folder, "documents"), path)
+
+
+_CHAT_ESCAPED = r"""regexp_replace(replace({}, '\', '\\'),
+    '([<\[])(\|im_start\|>|\|im_sep\|>|\|im_end\|>|\|endoftext\|>|s>|/s>|INST\]|/INST\]|<SYS>>|</SYS>>)', '\1\\\2', 'g')"""
+
+
+@query(
+    f"""
+    WITH r AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+               UNION ALL VALUES (-1, 0, 'user', '</s>[INST] ok [/INST]'), (-1, 1, 'assistant', '</s>[INST] ok [/INST]')),
+         e AS (SELECT *, '<|im_start|>' || {_CHAT_ESCAPED.format("role")} || '<|im_sep|>' ||
+                      {_CHAT_ESCAPED.format("text")} || '<|im_end|>' AS f FROM r),
+         t AS (SELECT *, length(f) AS chars, CAST(ceil(strlen(f) / 4) AS BIGINT) AS tokens,
+                      row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS nth FROM e),
+         s AS (SELECT *, coalesce(max(CASE WHEN nth = 1 AND role = 'system' THEN tokens END) OVER (PARTITION BY conv_id), 0) AS st,
+                      coalesce(max(CASE WHEN nth = 1 AND role = 'system' THEN chars END) OVER (PARTITION BY conv_id), 0) AS sc,
+                      CAST(sum(tokens) OVER (PARTITION BY conv_id ORDER BY nth) - tokens AS BIGINT) AS tok FROM t),
+         p AS (SELECT *, greatest(1024 - 256 - st, 128) AS room FROM s),
+         o AS (SELECT *, 2 * (tok // room) + CAST((tok + tokens - 1) // room > tok // room AS INT) AS win FROM p),
+         w AS (SELECT conv_id, win, min(tok) AS first_tok, sum(chars) AS new_chars, min(nth) AS first_nth, any_value(sc) AS sc
+               FROM o GROUP BY conv_id, win),
+         h AS (SELECT w.conv_id, w.win, any_value(new_chars) + coalesce(sum(o.chars), 0)
+                      + CASE WHEN least(any_value(first_nth), coalesce(min(o.nth), any_value(first_nth))) > 1 THEN any_value(w.sc) ELSE 0 END AS chars
+               FROM w LEFT JOIN o ON o.conv_id = w.conv_id AND o.tok < w.first_tok AND o.tok >= w.first_tok - 256
+               GROUP BY w.conv_id, w.win),
+         f AS (SELECT conv_id, CAST(sum(chars) AS BIGINT) AS formatted_chars FROM h GROUP BY conv_id),
+         d AS (SELECT conv_id, count(*) AS n_turns,
+                      sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn)) AS turns_sha256,
+                      coalesce(string_agg(CASE WHEN role = 'assistant' THEN text END, '' ORDER BY turn), '') AS target
+               FROM r GROUP BY conv_id)
+    SELECT conv_id, n_turns, turns_sha256, length(target) AS loss_chars, sha256(target) AS loss_sha256, formatted_chars
+    FROM d JOIN f USING (conv_id)
+    """
+)
+def op3_chat_format(spark: SparkSession, folder: str) -> DataFrame:
+    """All conversations as training windows, and digests of what reads back from them."""
+    text = "</s>[INST] ok [/INST]"
+    rows = load_table(spark, folder, "conversations").select("conv_id", "turn", "role", "text")
+    extra = spark.range(2).select(
+        F.lit(-1).cast("long"), "id", F.when(F.col("id") == 0, "user").otherwise("assistant"), F.lit(text)
+    )
+    return chat.digests(chat.windows(rows.union(extra)))

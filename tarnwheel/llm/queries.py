@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tarnwheel.llm import exact_dedup as dedup
-from tarnwheel.llm import bpe, chat, langid, mixing, simhash, token_counts
+from tarnwheel.llm import bpe, chat, langid, mixing, simhash, token_counts, topk_search
 from tarnwheel.sources.tables import load_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -118,3 +118,18 @@ def op3_chat_format(spark: SparkSession, folder: str) -> DataFrame:
         F.lit(-1).cast("long"), "id", F.when(F.col("id") == 0, "user").otherwise("assistant"), F.lit(text)
     )
     return chat.digests(chat.windows(rows.union(extra)))
+
+
+@query(
+    """
+    WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(64 * CAST(x AS DOUBLE))) AS v FROM embeddings
+               WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+         s AS (SELECT q.vec_id AS query_id, c.vec_id, CAST(list_dot_product(q.v, c.v) AS BIGINT) AS score
+               FROM v q, v c WHERE q.vec_id % 20 = 0 AND q.vec_id <> c.vec_id)
+    SELECT query_id, CAST(rank AS INT) AS rank, vec_id, score FROM
+      (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s) WHERE rank <= 20
+    """
+)
+def op2_exact_topk(spark: SparkSession, folder: str) -> DataFrame:
+    """The 20 best inner products of every twentieth vector among all others."""
+    return topk_search.top_k(load_table(spark, folder, "embeddings"), F.col("vec_id") % 20 == 0)

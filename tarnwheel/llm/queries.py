@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tarnwheel.llm import exact_dedup as dedup
-from tarnwheel.llm import bpe, chat, langid, mixing, simhash, token_counts, topk_search
+from tarnwheel.llm import bpe, chat, langid, lm_scoring, mixing, simhash, token_counts, topk_search
 from tarnwheel.sources.tables import load_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -133,3 +133,10 @@ def op3_chat_format(spark: SparkSession, folder: str) -> DataFrame:
 def op2_exact_topk(spark: SparkSession, folder: str) -> DataFrame:
     """The 20 best inner products of every twentieth vector among all others."""
     return topk_search.top_k(load_table(spark, folder, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
+@query()
+def op6_lm_scoring(spark: SparkSession, folder: str) -> DataFrame:
+    """Cross-entropy difference of every document; the target is the documents labelled good."""
+    good = load_table(spark, folder, "labels").where("quality = 1").select("doc_id")
+    return lm_scoring.lm_scores(load_table(spark, folder, "documents"), good)

@@ -6,7 +6,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import functions as F
 
 from tarnwheel.session import scratch_path
 
@@ -29,6 +30,20 @@ def task_salts(df: DataFrame) -> int:
     return max(16, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
 
 
+def numbered(df: DataFrame, order: list[Column], out: str) -> DataFrame:
+    """Number the rows of ``df`` from 0 in ``order`` as column ``out``.
+
+    Ranges of rows are numbered one by one, each after the rows of the ranges before it.
+    """
+    ranged = stored(df.repartitionByRange(*order).withColumn("_range", F.spark_partition_id()), "ranges")
+    before = F.sum("_n").over(Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1))
+    # one row per range: no more than there are shuffle partitions
+    offsets = ranged.groupBy("_range").agg(F.count(F.lit(1)).alias("_n")).withColumn("_before", F.coalesce(before, F.lit(0)))
+    place = F.row_number().over(Window.partitionBy("_range").orderBy(*order)) - 1
+    joined = ranged.withColumn("_place", place).join(F.broadcast(offsets.drop("_n")), "_range")
+    return joined.withColumn(out, F.col("_place") + F.col("_before")).drop("_range", "_place", "_before")
+
+
 def slices(batches: Iterator[pa.RecordBatch], rows: int = ROWS_PER_STEP) -> Iterator[pa.RecordBatch]:
     """Batches of at most ``rows`` rows, so that what a step makes of them stays small."""
     for batch in batches:

@@ -19,7 +19,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tarnwheel.llm.base import stored
+from tarnwheel.llm.base import numbered, stored
 
 WORD = r"[^\x20\x09-\x0D]+"
 WEIGHTS = (5, 2, 1)
@@ -59,21 +59,6 @@ def sizes(docs: DataFrame) -> DataFrame:
     )
 
 
-def numbered(sources: DataFrame) -> DataFrame:
-    """Number the rows from 0 in the order of ``source`` (code points, null last).
-
-    Ranges are numbered one by one, each after the rows of the ranges before it.
-    """
-    by = F.col("source").asc_nulls_last()
-    ranged = stored(sources.repartitionByRange(by).withColumn("range", F.spark_partition_id()), "mix-ranges")
-    before = F.sum("n").over(Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1))
-    offsets = ranged.groupBy("range").agg(F.count(F.lit(1)).alias("n")).withColumn("before", F.coalesce(before, F.lit(0)))
-    place = F.row_number().over(Window.partitionBy("range").orderBy(by)) - 1
-    # one row per range: no more than there are shuffle partitions
-    joined = ranged.withColumn("place", place).join(F.broadcast(offsets.drop("n")), "range")
-    return joined.withColumn("source_no", F.col("place") + F.col("before")).drop("range", "place", "before")
-
-
 def with_targets(sources: DataFrame, plan: Plan) -> DataFrame:
     """Add ``target``: a share of all words by weight, at most MOST times the source's own.
 
@@ -139,7 +124,7 @@ def mix(docs: DataFrame, plan: Plan | None = None) -> DataFrame:
     sized = stored(sizes(docs), "mix-sizes")
     sources = sized.groupBy("source").agg(F.sum("size").alias("source_size"))
     shards = F.least(F.greatest(F.ceil(F.col("source_size") / plan.shard_words), F.lit(1)), F.lit(MAX_SHARDS))
-    sources = with_targets(numbered(sources), plan).withColumn("shards", shards)
+    sources = with_targets(numbered(sources, [F.col("source").asc_nulls_last()], "source_no"), plan).withColumn("shards", shards)
     placed = sized.join(sources.withColumnRenamed("source", "_source"), F.col("source").eqNullSafe(F.col("_source")))
     placed = placed.select(
         "doc_id", "size", "source_size", "target", "source_no",

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tarnwheel.llm import exact_dedup as dedup
-from tarnwheel.llm import bpe, chat, langid, lm_scoring, mixing, simhash, token_counts, topk_search
+from tarnwheel.llm import bpe, chat, importance, langid, lm_scoring, mixing, simhash, token_counts, topk_search
 from tarnwheel.sources.tables import load_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -140,3 +140,10 @@ def op6_lm_scoring(spark: SparkSession, folder: str) -> DataFrame:
     """Cross-entropy difference of every document; the target is the documents labelled good."""
     good = load_table(spark, folder, "labels").where("quality = 1").select("doc_id")
     return lm_scoring.lm_scores(load_table(spark, folder, "documents"), good)
+
+
+@query()
+def op9_importance_selection(spark: SparkSession, folder: str) -> DataFrame:
+    """Importance weight of every document and which half of them a sample takes; the target is labelled good."""
+    good = load_table(spark, folder, "labels").where("quality = 1 and toxic = 0").select("doc_id")
+    return importance.importance(load_table(spark, folder, "documents"), good)

@@ -31,13 +31,14 @@ DISCOUNT = 0.75
 TRAINING_DOCS = 600
 # limits are set on this many other documents of each language at most
 CALIBRATION_DOCS = 1500
-# how far beyond the worst calibration text a text must lie to be rejected
-MARGIN = 0.35
+# nats per character beyond the worst calibration text at which a text is rejected: texts that
+# mix known languages stay, other languages and random letters lie beyond
+MARGIN = 1.0
 PIECE_CHARS = 1 << 19
 UNKNOWN = "und"
 BITS = np.uint64(16)
 CLASSES = 6
-SHORT_MARGIN = 1.0
+SHORT_MARGIN = 0.5
 SCORE_LETTERS = 100
 
 

@@ -11,15 +11,16 @@ applying the merges in order gives, without applying any.
 from __future__ import annotations
 
 import base64
+from array import array
 from collections.abc import Callable, Iterator
 from functools import cache
-from itertools import chain
 
 
 import ahocorasick
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
+import pyarrow.compute as pc
 import tiktoken
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -42,14 +43,14 @@ def read_ranks(path: str) -> list[bytes]:
 
 
 class Pieces(dict):
-    """The ids of pieces seen before; a new one is encoded and remembered."""
+    """The packed ids of pieces seen before; a new one is encoded and remembered."""
 
-    def __init__(self, encode: Callable[[str], tuple[int, ...]]):
+    def __init__(self, encode: Callable[[str], list[int]]):
         super().__init__()
         self.encode = encode
 
-    def __missing__(self, piece: str) -> tuple[int, ...]:
-        ids = self.encode(piece)
+    def __missing__(self, piece: str) -> bytes:
+        ids = array("i", self.encode(piece)).tobytes()
         if len(piece) <= LONG_PIECE:
             if len(self) >= KNOWN_PIECES:
                 self.clear()
@@ -69,44 +70,54 @@ class Encoder:
                 self.longest.add_word(token.decode("latin-1"), i)
         self.longest.make_automaton()
         self.pieces = Pieces(self._piece)
+        self.vocabulary = pa.array(tokens, pa.binary())
 
     def encode(self, text: str) -> np.ndarray:
         """Ids of a whole text, piece after piece."""
-        parts = (map(self.pieces.__getitem__, self.splitter.pieces(part)) for part in cut(text))
-        return np.fromiter(chain.from_iterable(chain.from_iterable(parts)), np.int32)
+        known = self.pieces.__getitem__
+        return np.frombuffer(b"".join([b"".join(map(known, self.splitter.pieces(part))) for part in cut(text)]), np.int32)
 
-    def _piece(self, piece: str) -> tuple[int, ...]:
+    def _piece(self, piece: str) -> list[int]:
         data = piece.encode("utf-8", "surrogatepass")
         whole = self.merges.ids.get(data)
-        return (whole,) if whole is not None else self._cover(data)
+        return [whole] if whole is not None else self._cover(data)
 
-    def _cover(self, data: bytes) -> tuple[int, ...]:
-        longest = [-1] * (len(data) + 1)
+    def _cover(self, data: bytes) -> list[int]:
+        merges = self.merges
+        sizes, shorter, agreed = merges.sizes, merges.next_usable, merges.agreed
+        n = len(data)
+        longest = [-1] * (n + 1)
         # of the matches that start at a byte the longest is found last
-        merges, sizes = self.merges, self.merges.sizes
         for end, i in self.longest.iter(data.decode("latin-1")):
             longest[end + 1 - sizes[i]] = i
-        taken: list[int] = []
-        dead = bytearray(len(data) + 1)
-        at, token = 0, longest[0]
-        while at < len(data):
+        taken = [longest[0]]
+        dead = set()
+        at = sizes[longest[0]]
+        token = longest[at]
+        while at < n:
+            left = taken[-1] << 32 if taken else -1
             while token >= 0:
                 end = at + sizes[token]
-                if merges.usable[token] and not dead[end] and (not taken or merges.compatible(taken[-1], token)):
+                if (left < 0 or agreed[left | token]) and end not in dead:
                     break
-                token = merges.shorter[token]
+                token = shorter[token]
             if token >= 0:
                 taken.append(token)
                 at, token = end, longest[end]
             else:
                 # nothing fits here: shorten what led here
-                dead[at] = 1
+                dead.add(at)
                 token = taken.pop()
                 at -= sizes[token]
-        return tuple(taken)
+                token = shorter[token]
+        return taken
 
-    def decode(self, ids: list[int]) -> bytes:
-        return b"".join(map(self.merges.tokens.__getitem__, ids))
+    def decode(self, offsets: np.ndarray, ids: np.ndarray) -> pa.Array:
+        """The bytes of each list of ids."""
+        if len(ids) and not (0 <= ids.min() and ids.max() < len(self.merges.tokens)):
+            raise ValueError("an id is outside the vocabulary")
+        parts = self.vocabulary.take(pa.array(ids))
+        return pc.binary_join(pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), parts), b"")
 
 
 @cache
@@ -157,8 +168,10 @@ def decode(encoded: DataFrame, path: str, pattern: str = public_tokenizers.PATTE
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = _encoder(path, pattern)
         for batch in slices(batches):
-            data = [None if ids is None else encoder.decode(ids) for ids in batch.column(1).to_pylist()]
-            arrays = [batch.column(0), batch.column(1), pa.array(data, pa.binary())]
+            ids = batch.column(1)
+            offsets = np.r_[0, np.cumsum(pc.fill_null(pc.list_value_length(ids), 0).to_numpy())]
+            data = encoder.decode(offsets, ids.flatten().to_numpy())
+            arrays = [batch.column(0), ids, pc.if_else(ids.is_valid(), data, pa.scalar(None, pa.binary()))]
             yield pa.RecordBatch.from_arrays(arrays, ["doc_id", "ids", "decoded"])
 
     return encoded.select("doc_id", "ids").mapInArrow(run, "doc_id long, ids array<int>, decoded binary")

@@ -9,9 +9,25 @@ on byte-pair encoding as a finite-state process builds on the same fact.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 MEMO = 1 << 20
 
 
+class Agreed(dict):
+    """Compatibility of pairs of tokens (left << 32 | right) asked before."""
+
+    def __init__(self, agree: Callable[[int, int], bool]):
+        super().__init__()
+        self.agree = agree
+
+    def __missing__(self, pair: int) -> bool:
+        if len(self) >= MEMO:
+            self.clear()
+        found = self[pair] = self.agree(pair >> 32, pair & 0xFFFFFFFF)
+        return found
+
+
 class Merges:
     """Tokens by id, the merge that makes each, and the compatibility of neighbours."""
 
@@ -22,16 +38,22 @@ class Merges:
         self.ids = {t: i for i, t in enumerate(tokens)}
         self.made: dict[tuple[int, int], int] = {}
         self.parts: dict[int, tuple[int, int]] = {}
-        self._memo: dict[int, bool] = {}
+        self.agreed = Agreed(self._agree)
         self.shorter = self._prefixes()
         for i, token in enumerate(tokens):
             pair = made_by.get(i) if made_by is not None else self._merge_of(i)
             if pair:
                 self.made[pair] = i
                 self.parts[i] = pair
-        self._memo.clear()
+        self.agreed.clear()
         # ids that merging can give; others are only found by a piece that is the whole token
         self.usable = [len(t) == 1 or i in self.parts for i, t in enumerate(tokens)]
+        # for each token the longest usable one it begins with; -1 for none
+        self.next_usable = []
+        for i in self.shorter:
+            while i >= 0 and not self.usable[i]:
+                i = self.shorter[i]
+            self.next_usable.append(i)
 
     def _prefixes(self) -> list[int]:
         """For each token the longest other token it begins with; -1 for none."""
@@ -54,13 +76,7 @@ class Merges:
 
     def compatible(self, left: int, right: int) -> bool:
         """Whether ``right`` may follow ``left`` in the result of merging; remembered."""
-        key = left << 32 | right
-        known = self._memo.get(key)
-        if known is None:
-            if len(self._memo) >= MEMO:
-                self._memo.clear()
-            known = self._memo[key] = self._agree(left, right)
-        return known
+        return self.agreed[left << 32 | right]
 
     def _agree(self, left: int, right: int) -> bool:
         """Undo merges at the seam from the latest back; fail if a pair there merges before that."""

@@ -7,6 +7,7 @@ part can be split by itself.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable, Iterator
 
 import regex
@@ -17,7 +18,7 @@ _CUT = regex.compile(r"(?<=\S)(?=\s)")
 # tokenizers agree below this code point and may know other Unicode versions above it
 _FIRST_UNSURE = 0x530
 _LAST_ASSIGNED = 0x40000
-_UNSURE = regex.compile(f"[{chr(_FIRST_UNSURE)}-\U0010ffff]")
+_UNSURE = re.compile(f"[{chr(_FIRST_UNSURE)}-\U0010ffff]")
 _CLASSES = {"letter": regex.compile(r"\p{L}"), "number": regex.compile(r"\p{N}"), "blank": regex.compile(r"\s")}
 # a character of each class to stand in for others; the letter is in no contraction, and
 # the blank is not the space that a piece may begin with
@@ -52,16 +53,41 @@ def class_fixes(joined: Callable[[str], bool]) -> dict[int, str]:
     return fixes
 
 
+# how byte-level tokenizers split: contractions, then letters, numbers and signs with one
+# space before them, then blanks
+BYTE_LEVEL = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+
+
+def _ranges(name: str) -> str:
+    """The sure characters of a class, for a character set."""
+    own = [c for c in range(_FIRST_UNSURE) if _CLASSES[name].match(chr(c))]
+    starts = [c for c in own if c - 1 not in own]
+    ends = [c for c in own if c + 1 not in own]
+    return "".join(f"\\u{a:04x}-\\u{b:04x}" for a, b in zip(starts, ends))
+
+
+def _plain_byte_level() -> re.Pattern:
+    """BYTE_LEVEL for texts of sure characters only: sets spelled out, likely pieces first.
+
+    Letters and numbers may go before contractions, as no piece of theirs begins alike.
+    """
+    letter, number, blank = map(_ranges, ("letter", "number", "blank"))
+    sign = f"[^{blank}{letter}{number}]"
+    return re.compile(f" ?[{letter}]+| ?[{number}]+|'(?:s|t|re|ve|m|ll|d)| ?{sign}+|[{blank}]+(?![^{blank}])|[{blank}]+")
+
+
 class Splitter:
     """Pieces of a text by ``pattern``, with the character classes of the tokenizer it stands for."""
 
-    def __init__(self, pattern: str, fixes: dict[int, str] | None = None):
+    def __init__(self, pattern: str = BYTE_LEVEL, fixes: dict[int, str] | None = None):
         self.find = regex.compile(pattern)
+        self.plain = _plain_byte_level() if pattern == BYTE_LEVEL else None
         self.fixes = fixes or {}
 
     def pieces(self, text: str) -> list[str]:
-        if self.fixes and _UNSURE.search(text):
-            stand_in = text.translate(self.fixes)
-            if stand_in != text:
-                return [text[m.start() : m.end()] for m in self.find.finditer(stand_in)]
-        return self.find.findall(text)
+        if not _UNSURE.search(text):
+            return (self.plain or self.find).findall(text)
+        stand_in = text.translate(self.fixes) if self.fixes else text
+        if stand_in == text:
+            return self.find.findall(text)
+        return [text[m.start() : m.end()] for m in self.find.finditer(stand_in)]

@@ -30,15 +30,12 @@ from tokenizers import pre_tokenizers
 
 from tarnwheel.llm.base import slices
 from tarnwheel.llm.merges import Merges
-from tarnwheel.llm.pretokens import Splitter, class_fixes
+from tarnwheel.llm.pretokens import BYTE_LEVEL, Splitter, class_fixes
 
 CHUNK_CHARS = 1 << 16
 MAX_STATES = 1 << 17
 KNOWN_PIECES = 1 << 19
 LONG_PIECE = 64
-# how byte-level tokenizers split: contractions, then letters, numbers and signs with one
-# space before them, then blanks
-BYTE_LEVEL = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 _PIECE_ENDS = regex.compile(r"(?<=\S)(?=\s)")
 
 
@@ -117,6 +114,22 @@ class ChunkMap:
     settled: bool = False
 
 
+class Known(dict):
+    """Counts of pieces seen before; a new one runs through the transducer and is remembered."""
+
+    def __init__(self, transducer: Transducer):
+        super().__init__()
+        self.transducer = transducer
+
+    def __missing__(self, piece: str) -> int:
+        n = self.transducer.count(piece.encode("utf-8", "surrogatepass"))
+        if len(piece) <= LONG_PIECE:
+            if len(self) >= KNOWN_PIECES:
+                self.clear()
+            self[piece] = n
+        return n
+
+
 class Counter:
     """Token counts of whole texts for one byte-level tokenizer file."""
 
@@ -142,20 +155,10 @@ class Counter:
         self.splitter = Splitter(BYTE_LEVEL, _byte_level_fixes())
         special = [t["content"] for t in spec.get("added_tokens", [])]
         self.special = regex.compile("|".join(map(regex.escape, sorted(special, key=len, reverse=True)))) if special else None
-        self.known: dict[str, int] = {}
+        self.known = Known(self.transducer)
 
     def _pieces(self, text: str) -> int:
-        total, known = 0, self.known
-        for piece in self.splitter.pieces(text):
-            n = known.get(piece)
-            if n is None:
-                n = self.transducer.count(piece.encode("utf-8", "surrogatepass"))
-                if len(piece) <= LONG_PIECE:
-                    if len(known) >= KNOWN_PIECES:
-                        known.clear()
-                    known[piece] = n
-            total += n
-        return total
+        return sum(map(self.known.__getitem__, self.splitter.pieces(text)))
 
     def between(self, text: str) -> int:
         """Tokens of a text at whose ends pieces end; a special string is one token."""

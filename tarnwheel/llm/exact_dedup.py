@@ -196,20 +196,24 @@ def exact_dedup(
 
 def without_copies(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` that stay, with all their columns; one row of each text."""
-    kept = stored(exact_dedup(docs).where("kept").select(F.col("doc_id").alias("_kept"), "digest"), "dedup-kept")
-    rows = docs.withColumn("_digest", sha256(F.coalesce(F.col("text"), F.lit(""))))
-    match = rows["doc_id"].cast("long").eqNullSafe(F.col("_kept")) & (rows["_digest"] == kept["digest"])
+    kept = stored(exact_dedup(docs).where("kept").select("doc_id", "digest"), "dedup-kept")
+    rows = docs.select(
+        F.struct("*").alias("whole"),
+        F.col("doc_id").cast("long").alias("id"),
+        sha256(F.coalesce(F.col("text"), F.lit(""))).alias("text_digest"),
+    )
+    match = rows["id"].eqNullSafe(kept["doc_id"]) & (rows["text_digest"] == kept["digest"])
     found = rows.join(kept.hint("merge"), match, "left_semi")
     repeated = stored(_repeated_ids(docs), "dedup-repeated")
     if repeated.isEmpty():
-        return found.drop("_digest")
+        return found.select("whole.*")
     # an id that occurs in several rows may have kept more than one row of its text
-    again = found["doc_id"].cast("long").eqNullSafe(repeated["_again"])
+    again = found["id"].eqNullSafe(repeated["again"])
     once = found.join(repeated, again, "left_anti")
-    more = found.join(repeated, again, "left_semi").dropDuplicates(["doc_id", "_digest"])
-    return once.union(more).drop("_digest")
+    more = found.join(repeated, again, "left_semi").dropDuplicates(["id", "text_digest"])
+    return once.union(more).select("whole.*")
 
 
 def _repeated_ids(docs: DataFrame) -> DataFrame:
-    ids = docs.groupBy(F.col("doc_id").cast("long").alias("_again")).agg(F.count(F.lit(1)).alias("n"))
-    return ids.where("n > 1").select("_again")
+    ids = docs.groupBy(F.col("doc_id").cast("long").alias("again")).agg(F.count(F.lit(1)).alias("n"))
+    return ids.where("n > 1").select("again")

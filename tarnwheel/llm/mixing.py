@@ -25,7 +25,7 @@ WORD = r"[^\x20\x09-\x0D]+"
 WEIGHTS = (5, 2, 1)
 SHARE = 1.5
 MOST = 2
-BLOCK_WORDS = 256
+BLOCK_WORDS = 64
 SHARD_WORDS = 1 << 20
 # keeps the ranking of one source's shards within a task; beyond it shards grow instead
 MAX_SHARDS = 1 << 16
@@ -189,7 +189,8 @@ def mixed(docs: DataFrame, plan: Plan | None = None) -> DataFrame:
     drawn = seeded(plan.seed, "copy", "doc_id") / F.lit(float(1 << 60))
     share = F.col("taken") / F.col("size")
     copies = F.when(F.col("size") > 0, F.floor(share) + (drawn < share - F.floor(share)).cast("long")).otherwise(F.lit(1))
-    counted = mix(docs, plan).select(F.col("doc_id").alias("_doc_id"), copies.alias("_copies"))
-    counted = stored(counted.groupBy("_doc_id").agg(F.min("_copies").alias("_copies")).where("_copies > 0"), "mix-copies")
-    joined = docs.join(counted.hint("merge"), F.col("doc_id").cast("long").eqNullSafe(F.col("_doc_id")))
-    return joined.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies").cast("int")))).select(*docs.columns)
+    counted = mix(docs, plan).select("doc_id", copies.alias("copies")).groupBy("doc_id").agg(F.min("copies").alias("copies"))
+    counted = stored(counted.where("copies > 0"), "mix-copies")
+    rows = docs.select(F.struct("*").alias("whole"), F.col("doc_id").cast("long").alias("id"))
+    joined = rows.join(counted.hint("merge"), rows["id"].eqNullSafe(counted["doc_id"]))
+    return joined.select("whole", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select("whole.*")

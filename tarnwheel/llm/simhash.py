@@ -155,9 +155,11 @@ def near_groups(docs: DataFrame, words: int = 3) -> DataFrame:
 def without_near_copies(docs: DataFrame, words: int = 3) -> DataFrame:
     """The rows of ``docs``, with all their columns, whose doc_id names their group.
 
-    Rows without doc_id stay where no row of their group has one.
+    Rows without doc_id cannot be named and all stay; rows that share a doc_id stay or go
+    together.
     """
-    groups = near_groups(docs, words)
-    names = groups.where(F.col("doc_id").eqNullSafe(F.col("component_id")))
-    kept = stored(names.select(F.col("doc_id").alias("_kept")).distinct(), "simhash-kept")
-    return docs.join(kept.hint("merge"), docs["doc_id"].cast("long").eqNullSafe(kept["_kept"]), "left_semi")
+    named = near_groups(docs, words).where("doc_id = component_id").select(F.col("doc_id").alias("kept")).distinct()
+    unnamed = docs.sparkSession.range(1).select(F.lit(None).cast("long"))
+    kept = stored(named.union(unnamed), "simhash-kept")
+    rows = docs.select(F.struct("*").alias("whole"), F.col("doc_id").cast("long").alias("id"))
+    return rows.join(kept.hint("merge"), rows["id"].eqNullSafe(kept["kept"]), "left_semi").select("whole.*")

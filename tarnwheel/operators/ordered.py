@@ -25,7 +25,6 @@ from pyspark.sql import types as T
 ROWS_PER_CHUNK = 4_000_000
 MAX_CHUNKS = 32_768
 SAMPLES_PER_CHUNK = 64
-MAX_NEIGHBOURS = 1_000
 SEED = 17
 
 CHUNK = "_chunk"
@@ -232,11 +231,9 @@ def last_seen(frame: Ordered, value: Column, out: str, include_current: bool = T
 def neighbours(frame: Ordered, before: int, after: int, aggs: dict[str, Column]) -> DataFrame:
     """Aggregates over the rows from ``before`` places back to ``after`` places ahead.
 
-    At most MAX_NEIGHBOURS places each way: that many rows of a chunk are copied to its
-    neighbour. Sums over longer frames are differences of two running sums.
+    That many rows beside a chunk are copied to it. Sums over long frames are cheaper as
+    differences of two running sums.
     """
-    if max(before, after) > MAX_NEIGHBOURS:
-        raise ValueError(f"frames reach at most {MAX_NEIGHBOURS} rows each way")
     near = frame.window().rowsBetween(-before, after)
     if not frame.split:
         return frame.rows.withColumns({name: agg.over(near) for name, agg in aggs.items()})
@@ -253,27 +250,29 @@ def neighbours(frame: Ordered, before: int, after: int, aggs: dict[str, Column])
 
 
 def _edge_rows(frame: Ordered, count: int, backward: bool) -> DataFrame:
-    """For each chunk the ``count`` rows just before it (or after it), as its own copies."""
+    """For each chunk the ``count`` rows just before it (or after it), as its own copies.
+
+    Each row near the end of its chunk is copied to those later chunks that begin within
+    ``count`` rows of it, one unless chunks are shorter than that; rows are never gathered.
+    """
     toward = [F.col(c).desc() if backward else F.col(c).asc() for c in frame.order]
-    content = [c for c in frame.rows.columns if c not in (*frame.keys, CHUNK)]
-    rank = F.row_number().over(frame.window(toward))
-    ends = (
-        frame.large_rows()
-        .withColumn("_rank", rank)
-        .where(F.col("_rank") <= count)
-        .groupBy(*frame.keys, CHUNK)
-        .agg(F.collect_list(F.struct(*frame.order, F.struct(*content).alias("_row"))).alias("_rows"))
-    )
-    # every chunk has a row, so the nearest `count` chunks hold enough of them
-    span = (-count, -1) if backward else (1, count)
-    found = F.flatten(F.collect_list("_rows").over(frame.chunks_of_group().rowsBetween(*span)))
-    nearest = F.slice(F.sort_array(found, asc=not backward), 1, count)
-    return (
-        ends.select(*frame.keys, CHUNK, nearest.alias("_near"))
-        .select(*frame.keys, CHUNK, F.explode("_near").alias("_near"))
-        .select(*frame.keys, CHUNK, "_near._row.*", F.lit(True).alias("_edge"))
-        .select(*frame.rows.columns, "_edge")
+    ends = frame.large_rows().withColumn("_rank", F.row_number().over(frame.window(toward)))
+    ends = ends.where(F.col("_rank") <= count)
+    group = frame.chunks_of_group()
+    last = F.sum("_n").over(group.rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    # where the chunk meets the next one (or the one before), as a number of rows
+    seam = last if backward else last - F.col("_n")
+    other = (F.lead if backward else F.lag)(CHUNK).over(group)
+    seams = frame.summary(F.count(F.lit(1)).alias("_n")).select(
+        *frame.keys, CHUNK, seam.alias("_seam"), other.alias("_other")
     )
+    span = (0, count - 1) if backward else (1 - count, 0)
+    reach = Window.partitionBy(*frame.keys).orderBy("_seam").rangeBetween(*span)
+    beyond = F.when(F.col("_other").isNotNull(), F.struct("_other", F.col("_seam").alias("_at")))
+    near = seams.select(*frame.keys, CHUNK, "_seam", F.collect_list(beyond).over(reach).alias("_near"))
+    within = F.filter("_near", lambda s: F.abs(s["_at"] - F.col("_seam")) <= count - F.col("_rank"))
+    copies = frame.attach(ends, near).withColumn("_to", F.explode(within))
+    return copies.withColumn(CHUNK, F.col("_to._other")).select(*frame.rows.columns, F.lit(True).alias("_edge"))
 
 
 RANKS = ("row_number", "rank", "dense_rank", "percent_rank", "cume_dist", "ntile", "previous")

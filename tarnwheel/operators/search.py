@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from tarnwheel.functions.text import tokens
 from tarnwheel.operators.joins import heavy_keys, salted_join
 from tarnwheel.operators.rowcounts import count_in_rows
+from tarnwheel.session import scratch_path
 
 
 def term_counts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -21,20 +22,14 @@ def tf_idf(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rows_per_task: int | None = None
 ) -> DataFrame:
     """tf * ln(N / df) for every word of every text."""
-    counts = term_counts(docs, id_col, text_col)
-    # a text is one row, so its distinct words are found without a shuffle
-    per_term = (
-        docs.select(F.explode(F.array_distinct(tokens(text_col))).alias("term"))
-        .groupBy("term")
-        .agg(F.count(F.lit(1)).alias("df"))
-    )
+    # every text is split once; document frequencies and common words come from the counts
+    path = scratch_path(docs.sparkSession, "terms")
+    counted = term_counts(docs, id_col, text_col)
+    counted.write.parquet(path)
+    counts = docs.sparkSession.read.schema(counted.schema).parquet(path)
+    per_term = counts.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     # a common word is in nearly every text, so its rows are spread before the join
-    heavy = heavy_keys(
-        docs.select(text_col),
-        ["term"],
-        rows_per_task,
-        lambda sample: sample.select(F.explode(F.array_distinct(tokens(text_col))).alias("term")),
-    )
+    heavy = heavy_keys(counts.select("term"), ["term"], rows_per_task)
     n_docs = docs.agg(F.count(F.lit(1)).alias("n")).scalar()
     return salted_join(counts, per_term, ["term"], [id_col], heavy).select(
         id_col, "term", "tf", "df", (F.col("tf") * F.log(n_docs / F.col("df"))).alias("weight")

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tarnwheel.functions.vectors import cosine
-from tarnwheel.operators.joins import heavy_keys, salted_join
+from tarnwheel.operators.joins import lookup_join
 from tarnwheel.operators.topk import top_k_per_group
 
 
@@ -24,7 +24,11 @@ def nearest_to_mean(
     vector: str = "embedding",
     rows_per_task: int | None = None,
 ) -> DataFrame:
-    """The k vectors of each label closest to its mean by cosine; linear in the table."""
+    """The k vectors of each label closest to its mean by cosine; linear in the table.
+
+    The means go to every task if they are small, so vectors are cut to k per label and task
+    before any of them moves.
+    """
     # one mean vector holds as many entries as the vectors have positions
     centre = (
         label_means(df, label, vector)
@@ -32,8 +36,11 @@ def nearest_to_mean(
         .agg(F.array_sort(F.collect_list(F.struct("pos", "mean"))).alias("_parts"))
         .select(label, F.transform("_parts", lambda p: p["mean"]).alias("_centre"))
     )
-    heavy = heavy_keys(df.select(label), [label], rows_per_task)
-    scored = salted_join(df, centre, [label], [id_col], heavy).select(
+    width = df.agg(F.max(F.size(vector))).first()[0] or 0
+    joined = lookup_join(
+        df.select(label, id_col, vector), centre, [label], [id_col], 64 + 8 * width, rows_per_task=rows_per_task
+    )
+    scored = joined.select(
         label, id_col, cosine(F.col(vector), F.col("_centre")).alias("similarity")
     )
     return top_k_per_group(scored, [label], [F.col("similarity").desc(), F.col(id_col)], k)

@@ -13,9 +13,10 @@ from tarnwheel.sources.sinks import FORMATS, export, import_rows, write_partitio
 from tarnwheel.sources.tables import load_table
 
 _ORDERS_SQL = """
-    SELECT o_orderpriority, count(*) AS n, min(o_orderdate) AS first_order, max(o_orderkey) AS last_key,
+    SELECT o_orderpriority, o_orderstatus, count(*) AS n, min(o_orderdate) AS first_order, max(o_orderkey) AS last_key,
+           CAST(sum(o_custkey) AS BIGINT) AS customer_sum,
            CAST(sum(CAST(o_totalprice AS DECIMAL(12,2))) AS DOUBLE) AS total
-    FROM orders GROUP BY o_orderpriority
+    FROM orders GROUP BY o_orderpriority, o_orderstatus
     """
 
 
@@ -23,10 +24,11 @@ def _round_trip(fmt: str):
     def orders_through(spark: SparkSession, folder: str) -> DataFrame:
         orders = load_table(spark, folder, "orders")
         path = export(orders, scratch_path(spark, f"orders-{fmt}"), fmt)
-        return import_rows(spark, path, fmt, orders.schema).groupBy("o_orderpriority").agg(
+        return import_rows(spark, path, fmt, orders.schema).groupBy("o_orderpriority", "o_orderstatus").agg(
             F.count(F.lit(1)).alias("n"),
             F.min("o_orderdate").alias("first_order"),
             F.max("o_orderkey").alias("last_key"),
+            F.sum("o_custkey").alias("customer_sum"),
             money.total(money.cents("o_totalprice")).alias("total"),
         )
 
@@ -68,14 +70,14 @@ def brand_revenue_sql(spark: SparkSession, folder: str) -> DataFrame:
 
     Lines are summed per part before the join, so a part of any size brings one row.
     """
-    register_tables(spark, folder)
+    register_tables(spark, folder, ["lineitem", "part"])
     register_functions(spark)
     return spark.sql(
         """
         WITH per_part AS (
-          SELECT l_partkey, count(*) AS n, sum(CAST(net_units(l_extendedprice, l_discount) AS DECIMAL(20, 0))) AS net
-          FROM lineitem GROUP BY l_partkey)
+          SELECT l_partkey, count(*) AS n, sum(CAST(tarnwheel_net_units(l_extendedprice, l_discount) AS DECIMAL(20, 0))) AS net
+          FROM tarnwheel_lineitem GROUP BY l_partkey)
         SELECT p_brand, sum(n) AS n, CAST(sum(net) * 0.0001 AS DOUBLE) AS revenue
-        FROM per_part JOIN part ON p_partkey = l_partkey GROUP BY p_brand
+        FROM per_part JOIN tarnwheel_part ON p_partkey = l_partkey GROUP BY p_brand
         """
     )

@@ -1,14 +1,14 @@
-"""Named queries over a folder of tables, each with the SQL that must give the same rows."""
+"""Named queries over a folder of tables, each with the SQL that must give the same rows.
+
+The queries change no setting of the session; its owner calls ``session.prepare`` once.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
-from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tarnwheel.session import prepare
-
 Query = Callable[[SparkSession, str], DataFrame]
 
 QUERIES: dict[str, Query] = {}
@@ -19,15 +19,11 @@ def query(sql: str | None = None) -> Callable[[Query], Query]:
     """Register a query under its function name, with its DuckDB twin where SQL has one."""
 
     def register(fn: Query) -> Query:
-        @wraps(fn)
-        def run(spark: SparkSession, folder: str) -> DataFrame:
-            return fn(prepare(spark), folder)
-
         if fn.__name__ in QUERIES:
             raise ValueError(f"query {fn.__name__} is registered twice")
-        QUERIES[fn.__name__] = run
+        QUERIES[fn.__name__] = fn
         if sql:
             ORACLES[fn.__name__] = sql
-        return run
+        return fn
 
     return register

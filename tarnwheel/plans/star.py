@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tarnwheel.functions import money
 from tarnwheel.functions.times import naive
-from tarnwheel.operators.joins import heavy_keys, salted_join, with_match, without_match
+from tarnwheel.operators.joins import heavy_keys, lookup_join, salted_join, with_match, without_match
 from tarnwheel.operators.multisets import except_all, intersect_all
 from tarnwheel.operators.ordered import ordered, rankings
 from tarnwheel.operators.quantiles import exact_quantiles
@@ -238,8 +238,7 @@ def customer_rankings(spark: SparkSession, folder: str) -> DataFrame:
     third = lowest.where(F.col("rank_in_group") == 3).select(
         "c_mktsegment", F.col("c_acctbal").alias("third_lowest")
     )
-    heavy = heavy_keys(customers.select("c_mktsegment"), ["c_mktsegment"])
-    return salted_join(ranked, third, ["c_mktsegment"], ["c_custkey"], heavy, "left")
+    return lookup_join(ranked, third, ["c_mktsegment"], ["c_custkey"], 64, "left")
 
 
 @query(

@@ -4,16 +4,23 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQuery
 
 from tarnwheel.functions import money
 from tarnwheel.functions.times import naive
-from tarnwheel.operators.joins import heavy_keys, salted_join
 from tarnwheel.plans.events import SESSIONS_SQL, SLIDING_SQL, TUMBLING_SQL
 from tarnwheel.plans.registry import query
 from tarnwheel.session import scratch_path
 from tarnwheel.sources.tables import load_table, stream_table
-from tarnwheel.streaming.operators import dedup, followed_within_hour, latest_totals, running_totals
-from tarnwheel.streaming.runs import append_table, append_to, complete_table, update_table
+from tarnwheel.streaming.operators import dedup, followed_within_hour
+from tarnwheel.streaming.runs import (
+    append_table,
+    append_to,
+    batch_table,
+    complete_table,
+    rows_dropped_as_late,
+    update_table,
+)
 
 _WATERMARK = "(SELECT max(ts) - INTERVAL '1 hour' FROM events)"
 _CLOSED_TUMBLING_SQL = (
@@ -63,7 +70,6 @@ def stream_sliding(spark: SparkSession, folder: str) -> DataFrame:
 @query(f"SELECT * FROM ({SESSIONS_SQL}) WHERE session_end <= {_WATERMARK}")
 def stream_sessions(spark: SparkSession, folder: str) -> DataFrame:
     """Sessions with a 30-minute gap, written once closed; merged in each task before the shuffle."""
-    spark.conf.set("spark.sql.streaming.sessionWindow.merge.sessions.in.local.partition", "true")
     events = stream_table(spark, folder, "events", "ts").withWatermark("ts", "1 hour")
     found = events.groupBy(F.session_window("ts", "30 minutes").alias("w"), "user_id").agg(
         F.count(F.lit(1)).alias("n"), money.total(money.cents("value")).alias("total")
@@ -115,14 +121,20 @@ def stream_interval_join(spark: SparkSession, folder: str) -> DataFrame:
     """
 )
 def stream_enrich(spark: SparkSession, folder: str) -> DataFrame:
-    """Events with the segment of their customer; Spark broadcasts the table only if it is small."""
+    """Events with the segment of their customer.
+
+    Each batch joins on its own: the table is broadcast only if Spark finds it small, and
+    otherwise a user that dominates the batch is split at run time.
+    """
     events = stream_table(spark, folder, "events").select("event_id", "user_id", "value")
     customers = load_table(spark, folder, "customer").select(
         F.col("c_custkey").alias("user_id"), "c_mktsegment"
     )
-    heavy = heavy_keys(load_table(spark, folder, "events").select("user_id"), ["user_id"])
-    joined = salted_join(events, customers, ["user_id"], ["event_id"], heavy)
-    return append_table(spark, joined.select("event_id", "user_id", "c_mktsegment", "value"), "enrich")
+
+    def enrich(batch: DataFrame) -> DataFrame:
+        return batch.join(customers, "user_id").select("event_id", "user_id", "c_mktsegment", "value")
+
+    return batch_table(spark, events, enrich, enrich(events).schema, "enrich")
 
 
 @query(
@@ -132,34 +144,39 @@ def stream_enrich(spark: SparkSession, folder: str) -> DataFrame:
     """
 )
 def stream_user_totals(spark: SparkSession, folder: str) -> DataFrame:
-    """Running totals per user held in custom state."""
-    events = stream_table(spark, folder, "events").select(
-        "user_id", "event_id", money.cents("value").alias("cents")
-    )
-    heavy = heavy_keys(load_table(spark, folder, "events").select("user_id"), ["user_id"])
-    updates = append_table(
-        spark, running_totals(events, "user_id", "event_id", "cents", heavy), "user-totals"
+    """Running totals per user; the last update of a user counts.
+
+    A user's rows are summed within each task before the shuffle, so a user that dominates
+    the stream brings one row per task.
+    """
+    events = stream_table(spark, folder, "events")
+    totals = events.groupBy("user_id").agg(
+        F.count(F.lit(1)).alias("n"), money.total(money.cents("value")).alias("total")
     )
-    return latest_totals(updates, "user_id").select("user_id", "n", (F.col("total") / 100).alias("total"))
+    return update_table(spark, totals, ["user_id"], "user-totals")
 
 
 @query(_CLOSED_TUMBLING_SQL)
 def stream_late_rows(spark: SparkSession, folder: str) -> DataFrame:
     """Hourly counts when the older half of the events is sent again, late, after a restart.
 
-    The watermark survives in the checkpoint, so the late copies change nothing.
+    The watermark survives in the checkpoint, so the late copies change nothing; that Spark
+    has counted them as late is asserted. Only the late half is written.
     """
-    source = scratch_path(spark, "late-source")
+    late = scratch_path(spark, "late-source")
     sink, checkpoint = scratch_path(spark, "late-sink"), scratch_path(spark, "late-checkpoint")
     events = load_table(spark, folder, "events").select("ts", "event_type", "value")
-    events.write.parquet(f"{source}/events.parquet")
+    events.where("false").write.parquet(f"{late}/events.parquet")
 
-    def run() -> DataFrame:
-        stream = _tumbling(stream_table(spark, source, "events", "ts").withWatermark("ts", "1 hour"))
-        append_to(stream, sink, checkpoint)
-        return spark.read.schema(stream.schema).parquet(sink)
+    def run() -> StreamingQuery:
+        sent = [stream_table(spark, f, "events", "ts").select("ts", "event_type", "value") for f in (folder, late)]
+        return append_to(_tumbling(sent[0].union(sent[1]).withWatermark("ts", "1 hour")), sink, checkpoint)
 
     run()
     middle = events.agg(F.expr("timestampadd(SECOND, timestampdiff(SECOND, min(ts), max(ts)) div 2, min(ts))"))
-    events.where(F.col("ts") < middle.scalar()).write.mode("append").parquet(f"{source}/events.parquet")
-    return _with_start(run())
+    older = events.where(F.col("ts") < middle.scalar())
+    older.write.mode("append").parquet(f"{late}/events.parquet")
+    query = run()
+    if not rows_dropped_as_late(query):
+        raise RuntimeError("no row was dropped as late")
+    return _with_start(spark.read.schema(_tumbling(events.withColumn("ts", F.col("ts").cast("timestamp"))).schema).parquet(sink))

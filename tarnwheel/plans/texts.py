@@ -99,7 +99,8 @@ def link_targets(spark: SparkSession, folder: str) -> DataFrame:
     """
 )
 def pages_per_host(spark: SparkSession, folder: str) -> DataFrame:
+    """Pages and characters per host; URLs that cannot be parsed count under NULL."""
     pages = load_table(spark, folder, "pages")
-    return pages.groupBy(F.parse_url("url", F.lit("HOST")).alias("host")).agg(
+    return pages.groupBy(F.try_parse_url("url", F.lit("HOST")).alias("host")).agg(
         F.count(F.lit(1)).alias("pages"), F.sum(F.length("html")).alias("chars")
     )

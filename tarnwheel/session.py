@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import tempfile
 import uuid
 from functools import cache
@@ -19,14 +20,28 @@ def build_session(app: str = "tarnwheel", master: str | None = None, **conf: str
     return prepare(builder.getOrCreate())
 
 
-def prepare(spark: SparkSession) -> SparkSession:
-    """Pin what results depend on (time zone) and turn on runtime re-planning."""
-    spark.conf.set("spark.sql.session.timeZone", "UTC")
-    spark.conf.set("spark.sql.adaptive.enabled", "true")
-    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
-    spark.conf.set("spark.sql.adaptive.skewJoin.enabled", "true")
+# settings that results or balance depend on
+SETTINGS = {
+    "spark.sql.session.timeZone": "UTC",
+    "spark.sql.adaptive.enabled": "true",
+    "spark.sql.adaptive.coalescePartitions.enabled": "true",
+    "spark.sql.adaptive.skewJoin.enabled": "true",
     # split a skewed join even where that costs one more shuffle after it
-    spark.conf.set("spark.sql.adaptive.forceOptimizeSkewedJoin", "true")
+    "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
+    # stream state on local disk and in the checkpoint, not in executor heap
+    "spark.sql.streaming.stateStore.providerClass": (
+        "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+    ),
+    # sessions are merged within each task before the shuffle
+    "spark.sql.streaming.sessionWindow.merge.sessions.in.local.partition": "true",
+}
+
+
+def prepare(spark: SparkSession) -> SparkSession:
+    """Pin the settings the queries rely on. Called by whoever owns the session, never by a query."""
+    for key, value in SETTINGS.items():
+        if spark.conf.get(key, None) != value:
+            spark.conf.set(key, value)
     return spark
 
 
@@ -36,11 +51,15 @@ def _local_scratch() -> tempfile.TemporaryDirectory:
     return tempfile.TemporaryDirectory(prefix="tarnwheel-", ignore_cleanup_errors=True)
 
 
+_made: list[tuple[SparkSession, str]] = []
+
+
 def scratch_path(spark: SparkSession, label: str) -> str:
     """A new folder name for tables and stream checkpoints every executor can reach.
 
-    It lies in the folder named by ``spark.checkpoint.dir``. Only a local session
-    that names none gets a temporary folder of this machine.
+    It lies in the folder named by ``spark.checkpoint.dir``. Only a local session that
+    names none gets a temporary folder of this machine. Results may be read from it
+    lazily, so it is kept until ``release`` or the end of the process.
     """
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get(
         "spark.checkpoint.dir"
@@ -49,4 +68,27 @@ def scratch_path(spark: SparkSession, label: str) -> str:
         if not spark.sparkContext.master.startswith("local"):
             raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         root = _local_scratch().name
-    return f"{root.rstrip('/')}/{label}-{uuid.uuid4().hex}"
+    path = f"{root.rstrip('/')}/{label}-{uuid.uuid4().hex}"
+    if not _made:
+        atexit.register(release)
+    _made.append((spark, path))
+    return path
+
+
+def release() -> int:
+    """Remove all scratch folders of this process; returns how many there were.
+
+    For the owner of the session, once nothing is read from results any more. A folder
+    that cannot be reached is left.
+    """
+    removed = 0
+    while _made:
+        spark, path = _made.pop()
+        for folder in (path, f"{path}-checkpoint"):
+            try:
+                target = spark._jvm.org.apache.hadoop.fs.Path(folder)
+                files = target.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
+                removed += bool(files.delete(target, True))
+            except Exception:  # the session or its JVM is gone
+                continue
+    return removed

@@ -15,6 +15,8 @@ TIMES = {
     "timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX",
     "timestampNTZFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSS",
 }
+# a line that does not fit the schema ends the query; read leniently it would become NULLs
+STRICT = {"mode": "FAILFAST"}
 # NULL needs a mark of its own, as empty text is a value; a quote is escaped by doubling it
 CSV = {
     "header": "true",
@@ -52,15 +54,17 @@ def import_rows(
 ) -> DataFrame:
     """Read back what ``export`` wrote. The schema is given, never inferred by a scan.
 
-    ``line_breaks`` says that CSV fields may hold line breaks; such files are read by
+    Rows that do not fit the schema end the query. ``line_breaks`` says that CSV fields may hold line breaks; such files are read by
     one task each, others are split.
     """
     if fmt not in FORMATS:
         raise ValueError(f"unknown format {fmt!r}; known formats: {', '.join(FORMATS)}")
     if fmt == "text":
         lines = spark.read.text(path)
-        return lines.select(F.from_json("value", schema, TIMES).alias("r")).select("r.*")
+        return lines.select(F.from_json("value", schema, TIMES | STRICT).alias("r")).select("r.*")
     reader = spark.read.schema(schema).format(fmt).options(**_options(fmt))
+    if fmt in ("csv", "json", "xml"):
+        reader = reader.options(**STRICT)
     if fmt == "csv" and line_breaks:
         reader = reader.option("multiLine", "true")
     return reader.load(path)

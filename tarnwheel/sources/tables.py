@@ -11,6 +11,10 @@ TABLES = (
 )
 
 
+# input of one micro-batch; a backlog of 100 TB makes about 1,500 of them
+BYTES_PER_BATCH = 64 << 30
+
+
 def load_table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     """A table as a lazy scan; columns and filters chosen later reach the Parquet reader."""
     if name not in TABLES:
@@ -19,24 +23,31 @@ def load_table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 
 
 def spread(scan: DataFrame, by: str) -> DataFrame:
-    """For heavy work per row: use every core when a scan has fewer splits than cores.
+    """For heavy work per row: use every core of one machine when a scan has fewer splits.
 
-    A large table has more splits than cores and is returned as it is.
+    On a cluster the scan is returned as it is; there texts would cross the network.
     """
+    if not scan.sparkSession.sparkContext.master.startswith("local["):
+        return scan
     cores = scan.sparkSession.sparkContext.defaultParallelism
     return scan if scan.rdd.getNumPartitions() >= cores else scan.repartition(cores, by)
 
 
 def stream_table(
     spark: SparkSession, folder: str, name: str, event_time: str | None = None,
-    files_per_batch: int | None = None,
+    files_per_batch: int | None = None, bytes_per_batch: int | None = None,
 ) -> DataFrame:
     """The same table as a file stream.
 
-    ``event_time`` is cast to a zoned timestamp, which watermarks require.
+    A micro-batch takes at most ``bytes_per_batch`` (BYTES_PER_BATCH) of input, one file at
+    least, so a backlog is worked off in batches of bounded size; or, where it is given,
+    ``files_per_batch`` files. ``event_time`` is cast to a zoned timestamp, which watermarks
+    require.
     """
     reader = spark.readStream.schema(load_table(spark, folder, name).schema)
-    if files_per_batch:
+    if not files_per_batch:
+        reader = reader.option("maxBytesPerTrigger", bytes_per_batch or BYTES_PER_BATCH)
+    else:
         reader = reader.option("maxFilesPerTrigger", files_per_batch)
     # as a glob, the path may be one file or a folder of files
     rows = reader.parquet(f"{folder.rstrip('/')}/{{{name}}}.parquet")

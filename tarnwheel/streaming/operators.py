@@ -2,28 +2,29 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Sequence
 
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from tarnwheel.functions.times import HOUR, to_micros
-from tarnwheel.operators.joins import SALT, salt
 
-DEDUP_SALTS = 16
+SALT = "_salt"
 
 
-def dedup(stream: DataFrame, keys: Sequence[str], event_time: str, delay: str) -> DataFrame:
+def dedup(
+    stream: DataFrame, keys: Sequence[str], event_time: str, delay: str, salts: int | None = None
+) -> DataFrame:
     """The first row of each key among rows no further apart than ``delay``.
 
-    Copies are first dropped within each of a few salts and only then per key, so
-    copies of one row that make up much of the stream do not meet in one task. The
-    salt only spreads work: which copies share one does not change what is kept.
+    Copies are first dropped within each salt and only then per key, so copies of one row
+    that make up much of the stream do not meet in one task. There are as many ``salts`` as
+    shuffle partitions unless told otherwise. The salt only spreads work: which copies share
+    one does not change what is kept.
     """
+    salts = salts or int(stream.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     marked = stream.withWatermark(event_time, delay).withColumn(
-        SALT, F.pmod(F.spark_partition_id(), F.lit(DEDUP_SALTS))
+        SALT, F.pmod(F.spark_partition_id(), F.lit(salts))
     )
     thinned = marked.dropDuplicatesWithinWatermark([*keys, SALT]).drop(SALT)
     return thinned.dropDuplicatesWithinWatermark(list(keys))
@@ -54,39 +55,3 @@ def followed_within_hour(
         & (right["_at"] > left[event_time] - F.expr("INTERVAL 1 HOUR"))
     )
     return left.join(right, condition, "left_semi").drop("_hour")
-
-
-def running_totals(
-    stream: DataFrame, key: str, row_id: str, amount: str, heavy: DataFrame | None
-) -> DataFrame:
-    """After each micro-batch, the count and total so far of every key it touched.
-
-    ``amount`` is a whole number. State is kept per key and salt; the totals of a
-    heavy key are the sum over its salts, see ``latest_totals``.
-    """
-    key_type = stream.schema[key].dataType.simpleString()
-    salted = salt(stream.select(key, row_id, amount), [key], [row_id], heavy)
-
-    def fold(
-        group: tuple, frames: Iterator[pd.DataFrame], state: GroupState
-    ) -> Iterator[pd.DataFrame]:
-        n, total = state.get if state.exists else (0, 0)
-        for frame in frames:
-            n += len(frame)
-            total += int(frame[amount].sum())
-        state.update((n, total))
-        yield pd.DataFrame({key: [group[0]], SALT: [group[1]], "n": [n], "total": [total]})
-
-    return salted.groupBy(key, SALT).applyInPandasWithState(
-        fold,
-        outputStructType=f"{key} {key_type}, {SALT} int, n long, total long",
-        stateStructType="n long, total long",
-        outputMode="append",
-        timeoutConf=GroupStateTimeout.NoTimeout,
-    )
-
-
-def latest_totals(updates: DataFrame, key: str) -> DataFrame:
-    """The final totals per key from what ``running_totals`` wrote."""
-    per_salt = updates.groupBy(key, SALT).agg(F.max("n").alias("n"), F.max_by("total", "n").alias("total"))
-    return per_salt.groupBy(key).agg(F.sum("n").alias("n"), F.sum("total").alias("total"))

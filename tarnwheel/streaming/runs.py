@@ -6,10 +6,11 @@ a lost executor or a restart, and results are files rather than driver memory.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from tarnwheel.session import scratch_path
@@ -35,6 +36,23 @@ def append_table(spark: SparkSession, stream: DataFrame, label: str) -> DataFram
     return spark.read.schema(stream.schema).parquet(path)
 
 
+def batch_table(
+    spark: SparkSession, stream: DataFrame, step: Callable[[DataFrame], DataFrame], schema: T.StructType, label: str
+) -> DataFrame:
+    """What ``step`` makes of each micro-batch, as one table.
+
+    Within a batch Spark plans as for any table: by sizes, and again at run time. A batch
+    that is tried again replaces its own folder.
+    """
+    path = scratch_path(spark, label)
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        step(batch).write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
+
+    _each_batch(stream, write, "append", path)
+    return spark.read.schema(schema).parquet(f"{path}/batch=*")
+
+
 def complete_table(spark: SparkSession, stream: DataFrame, label: str) -> DataFrame:
     """The whole result after the last micro-batch; each batch replaces the table."""
     path = scratch_path(spark, label)

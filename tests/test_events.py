@@ -7,6 +7,7 @@ from decimal import Decimal
 import pytest
 from pyspark.sql import functions as F
 
+from tarnwheel.plans import QUERIES
 from tarnwheel.functions import money
 from tarnwheel.functions.text import tokens
 from tarnwheel.functions.vectors import cosine, dot, norm
@@ -126,3 +127,12 @@ def test_hash_sample_parts_split_the_table(spark):
     parts = [{r.id for r in hash_sample(df, "id", 4, p).collect()} for p in range(4)]
     assert sum(map(len, parts)) == 1000 and len(set().union(*parts)) == 1000
     assert all(180 < len(p) < 320 for p in parts)
+
+
+def test_bad_properties_and_urls_count_as_null(spark, tmp_path):
+    events = [(1, "view", '{"k": 7}'), (2, "view", '{"k": "x"}'), (3, "view", "no json"), (4, "view", None)]
+    spark.createDataFrame(events, "event_id long, event_type string, props string").write.parquet(f"{tmp_path}/events.parquet")
+    assert {r["event_id"]: r["k"] for r in QUERIES["event_props"](spark, str(tmp_path)).collect()} == {1: 7, 2: None, 3: None, 4: None}
+    pages = [(1, "https://a.b/c", "x"), (2, "http://[bad url", "yy"), (3, None, "z")]
+    spark.createDataFrame(pages, "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    assert {r["host"]: r["pages"] for r in QUERIES["pages_per_host"](spark, str(tmp_path)).collect()} == {"a.b": 1, None: 2}

@@ -7,7 +7,9 @@ from types import SimpleNamespace
 import pytest
 from pyspark.sql import functions as F
 
+from tarnwheel import session
 from tarnwheel.functions.sql import register_functions
+from tarnwheel.plans import QUERIES
 from tarnwheel.session import scratch_path
 from tarnwheel.sources.sinks import FORMATS, export, import_rows, write_partitioned
 from tarnwheel.sources.tables import load_table
@@ -35,6 +37,23 @@ def test_csv_keeps_empty_text_and_null_apart(spark, tmp_path):
     assert sorted(map(tuple, back.collect())) == [(1, ""), (2, None)]
 
 
+BROKEN = {
+    "csv": "id,name,amount,at\nx1,a,1.5,2024-01-01T00:00:00.000000\n",
+    "json": '{"id": "x1", "name": "a"}\n',
+    "xml": "<rows><row><id>x1</id><name>a</name></row></rows>\n",
+    "text": '{"id": "x1", "name": "a"}\n',
+}
+
+
+@pytest.mark.parametrize("fmt", sorted(BROKEN))
+def test_a_broken_line_ends_the_read(spark, tmp_path, fmt):
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "part").write_text(BROKEN[fmt])
+    schema = spark.createDataFrame([], SCHEMA).schema
+    with pytest.raises(Exception, match="(?i)malformed|FAILFAST"):
+        import_rows(spark, f"{tmp_path}/in", fmt, schema).collect()
+
+
 def test_unknown_names(spark, tmp_path):
     with pytest.raises(ValueError):
         export(spark.range(1), f"{tmp_path}/x", "nope")
@@ -52,7 +71,7 @@ def test_partitioned_copy(spark, tmp_path):
 
 def test_sql_functions(spark):
     register_functions(spark)
-    row = spark.sql("SELECT words(' A  b ') AS w, net_units(10.0D, 0.25D) AS n, cents(1.15D) AS c").first()
+    row = spark.sql("SELECT tarnwheel_words(' A  b ') AS w, tarnwheel_net_units(10.0D, 0.25D) AS n, tarnwheel_cents(1.15D) AS c").first()
     assert row["w"] == ["a", "b"] and row["n"] == 75000 and row["c"] == 115
 
 
@@ -74,3 +93,23 @@ def test_a_cluster_without_a_shared_folder_is_refused():
     with pytest.raises(RuntimeError):
         scratch_path(Session("yarn"), "x")
     assert scratch_path(Session("local[2]"), "x")
+
+
+def test_queries_leave_the_session_alone(spark):
+    spark.range(3).createOrReplaceTempView("orders")
+    spark.range(4).createOrReplaceTempView("part")
+    before = dict(spark.conf.getAll)
+    for name in ("brand_revenue_sql", "stream_sessions", "orders_through_csv"):
+        QUERIES[name](spark, "/root/testdata/sf0.001").collect()
+    assert dict(spark.conf.getAll) == before
+    assert (spark.table("orders").count(), spark.table("part").count()) == (3, 4)
+    assert not spark.catalog.functionExists("cents")
+
+
+def test_scratch_is_removed_by_its_owner(spark, monkeypatch):
+    monkeypatch.setattr(session, "_made", [])
+    path = scratch_path(spark, "gone")
+    spark.range(3).write.parquet(path)
+    local = path.removeprefix("file://")
+    assert os.listdir(local)
+    assert session.release() == 1 and not os.path.exists(local) and session.release() == 0

@@ -3,7 +3,11 @@
 import pytest
 from pyspark.sql import functions as F
 
-from tarnwheel.operators.joins import SALT, heavy_keys, salt, salted_join, with_match, without_match
+from tarnwheel.operators import joins
+from tarnwheel.operators.joins import (
+    MAX_HEAVY, ROWS_PER_TASK, SALT, Heavy, heavy_keys, lookup_join, salt, salted_join, salts_beyond_list,
+    with_match, without_match,
+)
 from tarnwheel.operators.multisets import except_all, intersect_all
 from tarnwheel.operators import multisets
 from tarnwheel.operators.topk import top_k_per_group
@@ -23,7 +27,7 @@ def facts(spark):
 
 
 def test_heavy_keys_finds_the_hot_key(rows):
-    found = {r["key"]: r["_salts"] for r in heavy_keys(rows, ["key"], rows_per_task=200).collect()}
+    found = {r["key"]: r["_salts"] for r in heavy_keys(rows, ["key"], rows_per_task=200).listed.collect()}
     assert found.get("hot", 0) >= 3 and len(found) <= 3
     assert heavy_keys(rows, ["key"]) is None
 
@@ -45,6 +49,35 @@ def test_salt_spreads_the_hot_key(rows):
     assert all(r[SALT] == 0 for r in salts if r["key"] and r["key"] != "hot")
 
 
+@pytest.mark.parametrize("total", [10**6, 10**9, 10**12, 10**14])
+def test_no_task_grows_with_the_table(total):
+    """A listed key is spread by its own size; any other has total / MAX_HEAVY rows at most."""
+    rest = salts_beyond_list(total, ROWS_PER_TASK)
+    assert total / MAX_HEAVY / rest <= ROWS_PER_TASK
+    assert rest == 1 or total > 10**12
+
+
+def test_keys_beyond_the_list_are_spread_too(rows, facts, monkeypatch):
+    monkeypatch.setattr(joins, "MAX_HEAVY", 1)
+    heavy = heavy_keys(rows, ["key"], rows_per_task=50)
+    assert heavy.listed.count() == 1 and heavy.rest == 60
+    for found in (heavy, Heavy(None, 7)):
+        got = salted_join(rows, facts, ["key"], ["id"], found, "left")
+        assert sorted(map(repr, got.collect())) == sorted(map(repr, rows.join(facts, ["key"], "left").collect()))
+    salts = salt(rows, ["key"], ["id"], Heavy(None, 7)).groupBy(SALT).count().count()
+    assert salts == 7
+
+
+@pytest.mark.parametrize("limit", [1 << 20, 10])
+@pytest.mark.parametrize("how", ["inner", "left"])
+def test_lookup_join(rows, facts, monkeypatch, limit, how):
+    monkeypatch.setattr(joins, "BROADCAST_BYTES", limit)
+    got = lookup_join(rows, facts, ["key"], ["id"], 64, how, rows_per_task=200)
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert ("Exchange hashpartitioning" in plan) == (limit == 10)
+    assert sorted(map(repr, got.collect())) == sorted(map(repr, rows.join(facts, ["key"], how).collect()))
+
+
 def test_salted_join_rejects_other_joins(rows, facts):
     with pytest.raises(ValueError):
         salted_join(rows, facts, ["key"], ["id"], None, "full")

@@ -105,7 +105,7 @@ def test_last_seen(rows, frame, current):
     )
 
 
-@pytest.mark.parametrize("before,after", [(2, 2), (0, 3), (45, 1)])
+@pytest.mark.parametrize("before,after", [(2, 2), (0, 3), (45, 1), (500, 0), (3, 500)])
 def test_neighbours(rows, frame, before, after):
     w = Window.partitionBy("key").orderBy("at", "id").rowsBetween(-before, after)
     aggs = {"s": F.sum("v"), "n": F.count(F.lit(1))}

@@ -32,6 +32,8 @@ SHUFFLES = {
     "events_sliding": 2, "user_sessions": 2, "rolling_spend": 1, "smoothed_value": 1, "last_view_asof": 1,
     "view_to_purchase": 1, "event_transitions": 2, "orders_without_lines": 2, "big_spenders": 2,
     "small_quantity_lines": 2, "label_centroids": 1, "link_targets": 1, "document_report": 1,
+    "nation_revenue": 11, "customer_rankings": 1, "balance_stats": 3, "document_tf_idf": 3,
+    "nearest_to_centroid": 1, "signup_funnel": 2, "brand_revenue_sql": 3,
 }
 
 

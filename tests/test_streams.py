@@ -1,16 +1,20 @@
 """Streams over files that arrive late, twice and in several batches."""
 
 import datetime as dt
+import os
 
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql.streaming.readwriter import DataStreamWriter
 
-from tarnwheel.operators.joins import heavy_keys
+from tarnwheel.plans import ORACLES, QUERIES
+from tarnwheel.sources import tables
 from tarnwheel.sources.tables import stream_table
-from tarnwheel.streaming.operators import dedup, followed_within_hour, latest_totals, running_totals
+from tarnwheel.streaming.operators import dedup, followed_within_hour
 from tarnwheel.streaming.runs import append_table, append_to, complete_table, rows_dropped_as_late, update_table
 
 START = dt.datetime(2024, 5, 1)
+SMALL = "/root/testdata/sf0.001"
 SCHEMA = "event_id long, ts timestamp_ntz, user_id long, event_type string, value double"
 
 
@@ -87,19 +91,52 @@ def test_followed_within_hour(spark, folder):
     assert sorted(r.event_id for r in out.collect()) == [3, 5, 8]
 
 
-@pytest.mark.parametrize("rows_per_task", [None, 50])
-def test_running_totals_with_a_hot_user(spark, folder, rows_per_task):
+STREAMS = sorted(n for n in QUERIES if n.startswith("stream_"))
+
+
+@pytest.mark.parametrize("name", STREAMS)
+def test_backlog_in_bounded_batches(spark, tmp_path, monkeypatch, name):
+    """The events in four files, each a micro-batch of its own, give what DuckDB gives."""
+    duckdb = pytest.importorskip("duckdb")
+    if not os.path.isdir(SMALL):
+        pytest.skip("no test tables here")
+    monkeypatch.setattr(tables, "BYTES_PER_BATCH", 1)
+    events = spark.read.parquet(f"{SMALL}/events.parquet")
+    low, high = events.agg(F.min("event_id"), F.max("event_id")).first()
+    step = (high - low) // 4 + 1
+    for start in range(low, high + 1, step):
+        part = events.where(F.col("event_id").between(start, start + step - 1)).coalesce(1)
+        part.write.mode("append").parquet(f"{tmp_path}/events.parquet")
+    os.symlink(f"{SMALL}/customer.parquet", f"{tmp_path}/customer.parquet")
+    batches = []
+    start = DataStreamWriter.start
+
+    def watched(self, *args, **kwargs):
+        query = start(self, *args, **kwargs)
+        batches.append(query)
+        return query
+
+    monkeypatch.setattr(DataStreamWriter, "start", watched)
+    df = QUERIES[name](spark, str(tmp_path))
+    columns = sorted(df.columns)
+    got = sorted(map(repr, (tuple(r) for r in df.select(*columns).collect())))
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW events AS SELECT * FROM '{SMALL}/events.parquet'")
+    con.execute(f"CREATE VIEW customer AS SELECT * FROM '{SMALL}/customer.parquet'")
+    picked = ", ".join(f'"{c}"' for c in columns)
+    assert got == sorted(map(repr, con.execute(f"SELECT {picked} FROM ({ORACLES[name]})").fetchall()))
+    fed = [p for p in batches[0].recentProgress if p["numInputRows"] > 0]
+    assert len(fed) >= 3
+    used = {o["operatorName"]: o["customMetrics"] for o in fed[-1]["stateOperators"]}
+    assert all(any(m.startswith("rocksdb") for m in metrics) for metrics in used.values())
+
+
+def test_totals_of_a_hot_user(spark, folder):
     batches = [[event(b * 200 + i, i, user=1 if i % 2 else 2 + i % 7) for i in range(200)] for b in range(3)]
     path = folder(*batches)
-    stream = stream_table(spark, path, "events", files_per_batch=1).select(
-        "user_id", "event_id", F.col("event_id").alias("amount")
-    )
-    heavy = heavy_keys(spark.read.parquet(f"{path}/events.parquet"), ["user_id"], rows_per_task)
-    assert (heavy is None) == (rows_per_task is None)
-    updates = append_table(spark, running_totals(stream, "user_id", "event_id", "amount", heavy), "totals")
-    got = {r.user_id: (r.n, r.total) for r in latest_totals(updates, "user_id").collect()}
+    got = {r.user_id: (r.n, r.total) for r in QUERIES["stream_user_totals"](spark, path).collect()}
     expected = {}
-    for i, _, user, _, _ in (e for b in batches for e in b):
+    for _, _, user, _, value in (e for b in batches for e in b):
         n, total = expected.get(user, (0, 0))
-        expected[user] = (n + 1, total + i)
+        expected[user] = (n + 1, total + value)
     assert got == expected

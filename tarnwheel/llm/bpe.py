@@ -29,7 +29,7 @@ from tarnwheel.llm.base import slices
 from tarnwheel.llm.merges import Merges
 from tarnwheel.llm.pretokens import Splitter, class_fixes, cut
 
-KNOWN_PIECES = 1 << 19
+KNOWN_PIECES = 1 << 18
 LONG_PIECE = 64
 
 
@@ -70,7 +70,6 @@ class Encoder:
                 self.longest.add_word(token.decode("latin-1"), i)
         self.longest.make_automaton()
         self.pieces = Pieces(self._piece)
-        self.vocabulary = pa.array(tokens, pa.binary())
 
     def encode(self, text: str) -> np.ndarray:
         """Ids of a whole text, piece after piece."""
@@ -112,12 +111,18 @@ class Encoder:
                 token = shorter[token]
         return taken
 
-    def decode(self, offsets: np.ndarray, ids: np.ndarray) -> pa.Array:
-        """The bytes of each list of ids."""
-        if len(ids) and not (0 <= ids.min() and ids.max() < len(self.merges.tokens)):
-            raise ValueError("an id is outside the vocabulary")
-        parts = self.vocabulary.take(pa.array(ids))
-        return pc.binary_join(pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), parts), b"")
+
+def decoded(vocabulary: pa.Array, offsets: np.ndarray, ids: np.ndarray) -> pa.Array:
+    """The bytes of each list of ids, by the tokens in ``vocabulary``."""
+    if len(ids) and not (0 <= ids.min() and ids.max() < len(vocabulary)):
+        raise ValueError("an id is outside the vocabulary")
+    return pc.binary_join(pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), vocabulary.take(pa.array(ids))), b"")
+
+
+@cache
+def _vocabulary(path: str) -> pa.Array:
+    """The tokens alone, which is all that decoding needs."""
+    return pa.array(read_ranks(path), pa.binary())
 
 
 @cache
@@ -159,18 +164,18 @@ def encode(docs: DataFrame, path: str, pattern: str = public_tokenizers.PATTERN)
     return texts.mapInArrow(run, "doc_id long, ids array<int>")
 
 
-def decode(encoded: DataFrame, path: str, pattern: str = public_tokenizers.PATTERN) -> DataFrame:
+def decode(encoded: DataFrame, path: str) -> DataFrame:
     """Add ``decoded``, the bytes of ``ids``, to every row of ``encoded`` (doc_id, ids).
 
     Null ids give null bytes; an id outside the vocabulary is an error.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = _encoder(path, pattern)
+        vocabulary = _vocabulary(path)
         for batch in slices(batches):
             ids = batch.column(1)
             offsets = np.r_[0, np.cumsum(pc.fill_null(pc.list_value_length(ids), 0).to_numpy())]
-            data = encoder.decode(offsets, ids.flatten().to_numpy())
+            data = decoded(vocabulary, offsets, ids.flatten().to_numpy())
             arrays = [batch.column(0), ids, pc.if_else(ids.is_valid(), data, pa.scalar(None, pa.binary()))]
             yield pa.RecordBatch.from_arrays(arrays, ["doc_id", "ids", "decoded"])
 

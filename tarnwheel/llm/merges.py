@@ -11,7 +11,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-MEMO = 1 << 20
+MEMO = 1 << 18
 
 
 class Agreed(dict):

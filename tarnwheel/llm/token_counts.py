@@ -33,8 +33,8 @@ from tarnwheel.llm.merges import Merges
 from tarnwheel.llm.pretokens import BYTE_LEVEL, Splitter, class_fixes
 
 CHUNK_CHARS = 1 << 16
-MAX_STATES = 1 << 17
-KNOWN_PIECES = 1 << 19
+MAX_STATES = 1 << 16
+KNOWN_PIECES = 1 << 18
 LONG_PIECE = 64
 _PIECE_ENDS = regex.compile(r"(?<=\S)(?=\s)")
 

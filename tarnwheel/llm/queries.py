@@ -49,7 +49,54 @@ def op10_simhash_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fingerprint"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-@query()
+def _mix_seed(salt: str, *columns: str) -> str:
+    parts = " || ':' || ".join(f"coalesce(CAST({c} AS VARCHAR), '')" for c in columns)
+    return f"CAST('0x' || substr(md5('{mixing.SEED}:{salt}:' || {parts}), 1, 15) AS BIGINT)"
+
+
+def _mix_covered(x: str) -> str:
+    """Words taken of the first x words of a line, as in ``mixing``."""
+    block = f"(({x}) * blocks // words)"
+    copies = f"(({block} * quota + first) // blocks)"
+    here = f"((({block} + 1) * quota + first) // blocks - {copies})"
+    return f"(({copies} * words + {here} * (({x}) * blocks - {block} * words)) // blocks)"
+
+
+@query(
+    f"""
+    WITH d AS (SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS size FROM documents),
+         s AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size, row_number() OVER (ORDER BY source NULLS LAST) - 1 AS no
+               FROM d GROUP BY source),
+         w AS (SELECT *, CASE no % 3 WHEN 0 THEN 5 WHEN 1 THEN 2 ELSE 1 END AS weight FROM s),
+         o AS (SELECT *, row_number() OVER (ORDER BY source_size / weight, no) AS k FROM w),
+         -- the level if the first k sources stop at twice their size; the true one is the highest
+         l AS (SELECT max((1.5 * (SELECT sum(source_size) FROM s) - stopped) / left_over) AS level FROM
+                (SELECT coalesce(sum(2 * source_size) OVER (ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS stopped,
+                        sum(weight) OVER (ORDER BY k ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS left_over FROM o)),
+         t AS (SELECT w.*, CASE WHEN 2 * source_size < level * weight THEN CAST(2 * source_size AS DOUBLE) ELSE level * weight END AS target,
+                      least(greatest(CAST(ceil(source_size / {mixing.SHARD_WORDS}) AS BIGINT), 1), {mixing.MAX_SHARDS}) AS shards FROM w, l),
+         p AS (SELECT doc_id, size, source_size, target, no, {_mix_seed("shard", "doc_id")} % shards AS shard,
+                      {_mix_seed("order", "doc_id")} AS place
+               FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source),
+         g AS (SELECT no, shard, CAST(sum(size) AS BIGINT) AS words, any_value(target) AS target FROM p GROUP BY no, shard HAVING sum(size) > 0),
+         b AS (SELECT *, greatest(CAST(round(words / {mixing.BLOCK_WORDS}) AS BIGINT), 1) AS blocks FROM g),
+         n AS (SELECT no, any_value(target) AS votes FROM b GROUP BY no),
+         a AS (SELECT CAST(round(sum(votes) / {mixing.BLOCK_WORDS}) AS BIGINT) AS seats FROM n),
+         q AS (SELECT no, row_number() OVER (ORDER BY votes / (2 * j + 1) DESC, no, j) AS r FROM n, a, range(a.seats) x(j)),
+         m AS (SELECT no, count(*) AS seats FROM q, a WHERE r <= a.seats GROUP BY no),
+         h AS (SELECT no, shard, row_number() OVER (PARTITION BY no ORDER BY words / (2 * j + 1) DESC, shard, j) AS r, m.seats
+               FROM b JOIN m USING (no), range(m.seats) x(j)),
+         c AS (SELECT no, shard, count(*) AS won FROM h WHERE r <= seats GROUP BY no, shard),
+         f AS (SELECT no, shard, words, blocks, least(coalesce(won, 0), 2 * blocks) AS quota,
+                      {_mix_seed("start", "no", "shard")} % blocks AS first
+               FROM b LEFT JOIN c USING (no, shard)),
+         z AS (SELECT *, CAST(coalesce(sum(size) OVER (PARTITION BY no, shard ORDER BY place, doc_id, size
+                      ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS start FROM p)
+    SELECT doc_id, size, source_size, target,
+           CAST(coalesce({_mix_covered("start + size")} - {_mix_covered("start")}, 0) AS BIGINT) AS taken
+    FROM z LEFT JOIN f USING (no, shard)
+    """
+)
 def op7_source_mix(spark: SparkSession, folder: str) -> DataFrame:
     """Words of every document that a mix of the sources by weight takes."""
     return mixing.mix(load_table(spark, folder, "documents"))

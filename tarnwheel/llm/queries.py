@@ -107,7 +107,7 @@ def op4_language_id(spark: SparkSession, folder: str) -> DataFrame:
     """Language of every document, learned from the documents that are not held out."""
     docs = load_table(spark, folder, "documents")
     model = langid.train(docs.where(~langid.held_out()))
-    return langid.identify(docs, model).withColumn("held_out", langid.held_out())
+    return langid.identify(docs, model).withColumn("held_out", F.coalesce(langid.held_out(), F.lit(False)))
 
 
 @query()

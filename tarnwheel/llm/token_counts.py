@@ -171,15 +171,14 @@ class Counter:
         first = _PIECE_ENDS.search(text)
         if not first:
             return ChunkMap(text)
-        # an end that every piece has within the last part; words are short, so look back in steps
-        last, reach = first, 64
-        while reach < 2 * len(text):
+        # words are short, so the last such place is looked for from near the end
+        reach, ends = 64, []
+        while not ends:
             start = max(first.start(), len(text) - reach)
             ends = [m.start() for m in _PIECE_ENDS.finditer(text, start)]
-            if ends:
-                return ChunkMap(text[: first.start()], self.between(text[first.start() : ends[-1]]), text[ends[-1] :], True)
             reach *= 8
-        return ChunkMap(text[: last.start()], 0, text[last.start() :], True)
+        settled = self.between(text[first.start() : ends[-1]])
+        return ChunkMap(text[: first.start()], settled, text[ends[-1] :], True)
 
     def compose(self, a: ChunkMap, b: ChunkMap) -> ChunkMap:
         """The map of two neighbouring chunks."""

@@ -60,7 +60,7 @@ def with_pivot_table(vectors: DataFrame, pivots: int = PIVOTS) -> DataFrame:
                 at = np.flatnonzero(dims == dim)
                 x = _matrix(batch.column(2).take(pa.array(at)), dim)
                 p = np.array(by_dim[int(dim)])
-                d = np.sqrt(((x[:, None, :] - p[None]) ** 2).sum(axis=2)) if len(at) * len(p) * dim < 1 << 24 else np.stack([np.sqrt(((x - q) ** 2).sum(axis=1)) for q in p], axis=1)
+                d = np.stack([np.sqrt(((x - q) ** 2).sum(axis=1)) for q in p], axis=1)
                 for i, row in zip(at, d):
                     far[i] = row
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(far, pa.list_(pa.float64()))], ["vec_id", "dim", "v", "far"])

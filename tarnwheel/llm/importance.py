@@ -24,7 +24,7 @@ from tarnwheel.llm.base import mix64, numbered, slices, stored
 FEATURES = 10_000
 SMOOTHING = 1.0
 SCALE = 100.0
-KEEP = 0.5
+KEEP = 0.8
 SEED = 5
 KNOWN_WORDS = 1 << 20
 

@@ -191,6 +191,6 @@ def op6_lm_scoring(spark: SparkSession, folder: str) -> DataFrame:
 
 @query()
 def op9_importance_selection(spark: SparkSession, folder: str) -> DataFrame:
-    """Importance weight of every document and which half of them a sample takes; the target is labelled good."""
+    """Importance weight of every document and which four fifths a sample takes; the target is labelled good, not toxic."""
     good = load_table(spark, folder, "labels").where("quality = 1 and toxic = 0").select("doc_id")
     return importance.importance(load_table(spark, folder, "documents"), good)

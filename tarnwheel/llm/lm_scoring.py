@@ -7,7 +7,8 @@ target model less that under the background model; the lower, the closer to the
 Word counts give the vocabulary, the VOCABULARY most frequent words; all other words are one.
 From then on documents are arrays of word ids. Bigrams are counted per task, dealt to buckets
 by a hash and added up there. To score, the bigrams of each document meet the counts of
-their bucket. Those that make up more than one in HOT of all are few, so their counts go to
+their bucket, in packets of a step's documents, and the losses come back to the step. Bigrams
+that make up more than one in HOT of all are few, so their counts go to
 every task and they are not dealt; what is left has no hot key.
 """
 
@@ -30,9 +31,9 @@ UNKNOWN, BEGIN, END = 0, 1, 2
 HOT = 1 << 16
 # prior words of the unigram model that back each context
 PRIOR = 50.0
-BUCKET_TOKENS = 1 << 22
-STEP_TOKENS = 1 << 20
-KNOWN_WORDS = 1 << 20
+BUCKET_TOKENS = 1 << 21
+STEP_TOKENS = 1 << 19
+KNOWN_WORDS = 1 << 17
 
 
 def words(data: bytes) -> list[bytes]:
@@ -59,7 +60,7 @@ def word_counts(docs: DataFrame) -> DataFrame:
         for batch in slices(batches):
             for data in batch.column(0).to_pylist():
                 counts.update(words(data))
-            if len(counts) > KNOWN_WORDS // 4:
+            if len(counts) > KNOWN_WORDS:
                 yield flush()
         yield flush()
 
@@ -122,7 +123,7 @@ def bigram_counts(ids: DataFrame, buckets: int) -> DataFrame:
     """Per bucket the sorted distinct bigrams (packed ids), and their counts in the corpus and the target."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for (_, _, target), grams, doc, _ in _steps(batches, BUCKET_TOKENS):
+        for (_, _, target), grams, doc, _ in _steps(batches):
             keys, at = np.unique(grams, return_inverse=True)
             corpus = np.bincount(at)
             chosen = np.bincount(at, np.array(target, float)[doc])
@@ -236,61 +237,62 @@ def lm_scores(docs: DataFrame, target: DataFrame, vocabulary: int = VOCABULARY)
             at, hot = _lookup(keys, grams.astype(np.int64))
             losses = pair.losses(grams[hot], tuple(c[at[hot]] for c in hot_counts)) if hot.any() else [np.zeros(0)] * 2
             background, wanted = (np.bincount(doc[hot], x, len(rows)) for x in losses)
-            out = {"row": rows, "doc_id": doc_ids, "n_tokens": lengths, "background": background, "wanted": wanted}
-            none = [None] * len(rows)
-            yield _scored(out | {"bucket": none, "salt": none, "rows": none, "docs": none, "grams": none})
+            own = {"doc_ids": doc_ids, "n_tokens": lengths.tolist(), "background": background.tobytes(), "wanted": wanted.tobytes()}
+            out = [{"step": rows[0], **own}]
             cold = np.flatnonzero(~hot)
-            packets = []
             for bucket, part in _dealt(grams[cold], buckets):
-                own, member = np.unique(doc[cold[part]], return_inverse=True)
-                packets.append((bucket, rows[own[0]] % salts, np.array(rows, np.int64)[own].tobytes(), member.astype(np.uint32).tobytes(), grams[cold[part]].tobytes()))
-            if packets:
-                none = [None] * len(packets)
-                fields = dict(zip(("bucket", "salt", "rows", "docs", "grams"), map(list, zip(*packets))))
-                yield _scored({c: none for c in ("row", "doc_id", "n_tokens", "background", "wanted")} | fields)
+                docs, member = np.unique(doc[cold[part]], return_inverse=True)
+                packet = {"docs": docs.astype(np.uint32), "member": member.astype(np.uint32), "grams": grams[cold[part]]}
+                out.append({"step": rows[0], "bucket": bucket, "salt": rows[0] % salts} | {c: x.tobytes() for c, x in packet.items()})
+            yield pa.RecordBatch.from_pylist(out, _STEPS)
 
     def cold(packets: pa.Table, counts: pa.Table) -> pa.Table:
-        pair = shared.value[0]
-        if not packets.num_rows or not counts.num_rows:
-            return pa.table({"row": pa.array([], pa.int64()), "background": pa.array([], pa.float64()), "wanted": pa.array([], pa.float64())})
-        keys = np.frombuffer(counts.column("keys")[0].as_py(), np.uint32)
-        known = [np.frombuffer(counts.column(c)[0].as_py(), np.int64) for c in ("corpus", "target")]
-        out = [[], [], []]
-        for rows, docs, grams in zip(*(packets.column(c).to_pylist() for c in ("rows", "docs", "grams"))):
-            rows, docs, grams = np.frombuffer(rows, np.int64), np.frombuffer(docs, np.uint32), np.frombuffer(grams, np.uint32)
-            at, _ = _lookup(keys, grams)
-            losses = pair.losses(grams, (known[0][at], known[1][at]))
-            for column, values in zip(out, (rows, *(np.bincount(docs, x, len(rows)) for x in losses))):
-                column.append(values)
-        return pa.table({c: np.concatenate(v) for c, v in zip(("row", "background", "wanted"), out)})
-
-    scored = stored(ids.select("row", "doc_id", "target", "ids").mapInArrow(local, _SCORED_DDL), "lm-local")
-    own = scored.where("bucket is null").select("row", "doc_id", "n_tokens", "background", "wanted")
-    packets = scored.where("bucket is not null").select("bucket", "salt", "rows", "docs", "grams")
+        """For each packet the losses of its documents, in their order."""
+        pair, out = shared.value[0], []
+        if packets.num_rows and counts.num_rows:
+            keys = np.frombuffer(counts.column("keys")[0].as_py(), np.uint32)
+            known = [np.frombuffer(counts.column(c)[0].as_py(), np.int64) for c in ("corpus", "target")]
+            for step, docs, member, grams in zip(*(packets.column(c).to_pylist() for c in ("step", "docs", "member", "grams"))):
+                member, grams = np.frombuffer(member, np.uint32), np.frombuffer(grams, np.uint32)
+                at, _ = _lookup(keys, grams)
+                sums = [np.bincount(member, x) for x in pair.losses(grams, (known[0][at], known[1][at]))]
+                out.append({"step": step, "docs": docs, "background": sums[0].tobytes(), "wanted": sums[1].tobytes()})
+        return pa.Table.from_pylist(out, pa.schema([_STEPS.field(c) for c in ("step", "docs", "background", "wanted")]))
+
+    def merge(parts: pa.Table) -> pa.Table:
+        """A step's documents with all their losses; one row holds what was scored at once."""
+        rows = parts.to_pylist()
+        own = next(r for r in rows if r["doc_ids"] is not None)
+        sums = {m: np.frombuffer(own[m]).copy() for m in ("background", "wanted")}
+        for r in rows:
+            if r["doc_ids"] is None:
+                for m, total in sums.items():
+                    total[np.frombuffer(r["docs"], np.uint32)] += np.frombuffer(r[m])
+        each = np.array(own["n_tokens"]) + 1
+        # sums of doubles depend on their order in the last digits
+        losses = {"target_loss": sums["wanted"] / each, "background_loss": sums["background"] / each}
+        losses["score"] = losses["target_loss"] - losses["background_loss"]
+        ids = {"doc_id": pa.array(own["doc_ids"], pa.int64()), "n_tokens": pa.array(own["n_tokens"], pa.int64())}
+        return pa.table(ids | {c: pa.array(np.round(x, 9)) for c, x in losses.items()})
+
+    scored = stored(ids.select("row", "doc_id", "target", "ids").mapInArrow(local, _STEPS_DDL), "lm-local")
+    packets = scored.where("bucket is not null").select("step", "bucket", "salt", "docs", "member", "grams")
     salted = model.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long"))))
-    far = packets.groupBy("bucket", "salt").cogroup(salted.groupBy("bucket", "salt")).applyInArrow(cold, "row long, background double, wanted double")
+    far = packets.groupBy("bucket", "salt").cogroup(salted.groupBy("bucket", "salt")).applyInArrow(
+        cold, "step long, docs binary, background binary, wanted binary"
+    )
+    own = scored.where("bucket is null").select("step", "doc_ids", "n_tokens", "background", "wanted")
     both = own.unionByName(far, allowMissingColumns=True)
-    sums = both.groupBy("row").agg(
-        F.max("doc_id").alias("doc_id"), F.max("n_tokens").alias("n_tokens"),
-        F.sum("wanted").alias("wanted"), F.sum("background").alias("background"),
-    )
-    each = F.col("n_tokens") + 1
-    # sums of doubles depend on their order in the last digits
-    return sums.select(
-        "doc_id",
-        "n_tokens",
-        F.round(F.col("wanted") / each, 9).alias("target_loss"),
-        F.round(F.col("background") / each, 9).alias("background_loss"),
-        F.round((F.col("wanted") - F.col("background")) / each, 9).alias("score"),
+    return both.groupBy("step").applyInArrow(
+        merge, "doc_id long, n_tokens long, target_loss double, background_loss double, score double"
     )
 
 
-_SCORED = pa.schema([
-    ("row", pa.int64()), ("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("background", pa.float64()), ("wanted", pa.float64()),
-    ("bucket", pa.int64()), ("salt", pa.int64()), ("rows", pa.binary()), ("docs", pa.binary()), ("grams", pa.binary()),
+_STEPS = pa.schema([
+    ("step", pa.int64()), ("doc_ids", pa.list_(pa.int64())), ("n_tokens", pa.list_(pa.int64())), ("background", pa.binary()),
+    ("wanted", pa.binary()), ("bucket", pa.int64()), ("salt", pa.int64()), ("docs", pa.binary()), ("member", pa.binary()), ("grams", pa.binary()),
 ])
-_SCORED_DDL = "row long, doc_id long, n_tokens long, background double, wanted double, bucket long, salt long, rows binary, docs binary, grams binary"
-
-
-def _scored(columns: dict) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(columns[f.name], f.type) for f in _SCORED], schema=_SCORED)
+_STEPS_DDL = (
+    "step long, doc_ids array<long>, n_tokens array<long>, background binary, wanted binary, "
+    "bucket long, salt long, docs binary, member binary, grams binary"
+)

@@ -105,6 +105,8 @@ def importance(docs: DataFrame, target: DataFrame, keep: float = KEEP, seed: int
     scored = _texts(docs).mapInArrow(weigh, "doc_id long, n_features long, log_ratio double")
     unit = (F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.lit(1 << 52)) + 0.5) / float(1 << 52)
     weighed = scored.withColumn("log_weight", F.col("log_ratio") * SCALE).withColumn("key", F.col("log_weight") - F.log(-F.log(unit)))
+    # written first: dealing rows to ranges reads them twice
+    weighed = stored(weighed, "importance-weights")
     placed = stored(numbered(weighed, [F.col("key").desc(), F.col("doc_id").asc_nulls_last()], "place"), "importance")
     wanted = round(keep * placed.count())
     return placed.withColumn("selected", F.col("place") < wanted).drop("place")

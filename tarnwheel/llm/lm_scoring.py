@@ -8,8 +8,8 @@ Word counts give the vocabulary, the VOCABULARY most frequent words; all other w
 From then on documents are arrays of word ids. Bigrams are counted per task, dealt to buckets
 by a hash and added up there. To score, the bigrams of each document meet the counts of
 their bucket, in packets of a step's documents, and the losses come back to the step. Bigrams
-that make up more than one in HOT of all are few, so their counts go to
-every task and they are not dealt; what is left has no hot key.
+that make up more than one in HOT of all are few, so their counts go to every task and they
+are not dealt; what is left has no hot key.
 """
 
 from __future__ import annotations
@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tarnwheel.llm.base import mix64, slices, stored
+from tarnwheel.llm.base import mix64, numbered, slices, stored
 
 VOCABULARY = (1 << 16) - 3
 UNKNOWN, BEGIN, END = 0, 1, 2
@@ -215,7 +215,9 @@ def lm_scores(docs: DataFrame, target: DataFrame, vocabulary: int = VOCABULARY)
     spark = docs.sparkSession
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).cast("binary").alias("data"))
     counts = stored(word_counts(texts), "lm-words")
-    ranked = counts.orderBy(F.col("n").desc(), "word").limit(vocabulary).select("word").collect()  # the vocabulary
+    # a plain limit would send the driver that many rows of every task
+    placed = numbered(counts, [F.col("n").desc(), F.col("word")], "place").where(F.col("place") < vocabulary)
+    ranked = sorted(placed.select("place", "word").collect())
     chosen = target.select(F.col("doc_id").cast("long").alias("_target")).where("_target is not null").distinct()
     coded = encoded(texts, [r["word"] for r in ranked])
     flagged = coded.join(chosen.hint("merge"), coded["doc_id"] == chosen["_target"], "left")

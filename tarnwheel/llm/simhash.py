@@ -4,8 +4,8 @@ Two 64-bit fingerprints that differ in at most two bits agree in at least six of
 eight bytes. The inverted index therefore posts a fingerprint under every choice of six
 positional bytes: each pair with the guaranteed number of matches meets under at least one
 key, and a posting list holds at most 2^16 fingerprints, as only two bytes are left open.
-Inside a list shared bytes are tallied per pair, pairs below the minimum are dropped and
-the rest is verified by its bits. Lists too long for pairs are resolved without pairs:
+Members of a list share six bytes by its key, so there is no tally of shared bytes as over
+lists of single bytes; pairs are verified by their bits. Lists too long for pairs are resolved without pairs:
 two members differ in at most two bits exactly when flipping one bit or none of each can
 give the same value. A list passes on one link per member, so links grow with postings.
 """
@@ -73,9 +73,7 @@ def _joined(values: np.ndarray) -> np.ndarray:
     """For each of the distinct ``values`` of one posting list, the least it is linked to in the list."""
     if len(values) <= PAIR_LIST:
         apart = values[:, None] ^ values[None, :]
-        shared = (apart[..., None].view(np.uint8).reshape(*apart.shape, BYTES) == 0).sum(axis=-1)
-        near = (shared >= MIN_SHARED) & (np.bitwise_count(apart) <= MAX_BITS)
-        member, group = np.nonzero(near)
+        member, group = np.nonzero(np.bitwise_count(apart) <= MAX_BITS)
     else:
         open_bits = np.bitwise_or.reduce(values ^ values[0])
         flips = np.array([0] + [1 << b for b in range(64) if int(open_bits) >> b & 1], np.uint64)

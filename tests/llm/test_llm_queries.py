@@ -10,6 +10,7 @@ import pytest
 import tiktoken
 from fixtures import ROWS, documents
 from test_dedup import brute_components, brute_fingerprint
+from test_near_copies import brute_kept
 from test_text_models import brute_targets
 from tokenizers import Tokenizer
 
@@ -117,8 +118,7 @@ def test_pipeline_by_stages(spark, duck, tmp_path):
         last[text] = doc_id
     assert sorted(r["doc_id"] for r in kept["exact_dedup"]) == sorted(last.values())
     texts = {d: t for t, d in last.items()}
-    groups = brute_components([*texts], [brute_fingerprint(t) for t in texts.values()])
-    named = sorted({low for *_, low in groups})
+    named = brute_kept(texts)
     assert sorted(r["doc_id"] for r in kept["near_dedup"]) == named
     repeats = Counter(r["doc_id"] for r in kept["source_mix"])
     assert set(repeats) <= set(named) and max(repeats.values()) <= 2

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tarnwheel.llm import exact_dedup as dedup
-from tarnwheel.llm import bpe, chat, importance, langid, lm_scoring, mixing, simhash, token_counts, topk_search
+from tarnwheel.llm import bpe, chat, fingerprints, importance, langid, lm_scoring, mixing, simhash, token_counts, topk_search
 from tarnwheel.sources.tables import load_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -194,3 +194,51 @@ def op9_importance_selection(spark: SparkSession, folder: str) -> DataFrame:
     """Importance weight of every document and which four fifths a sample takes; the target is labelled good, not toxic."""
     good = load_table(spark, folder, "labels").where("quality = 1 and toxic = 0").select("doc_id")
     return importance.importance(load_table(spark, folder, "documents"), good)
+
+
+def _lane(word: int, bit: int) -> str:
+    return f"sum((w{word} >> {bit}) & 1)"
+
+
+_WORDS_SQL = ", ".join(f"CAST('0x' || substr(h, {8 * j + 1}, 8) AS BIGINT) AS w{j}" for j in range(fingerprints.WORDS))
+_HEAD_SQL = ", ".join(["count(*)", *[f"sum(w{j}) % 4294967296" for j in range(fingerprints.WORDS)]])
+# the high half of a pair of lanes is printed first
+_LANES_SQL = ", ".join(_lane(k + j, bit) for k in range(fingerprints.HALF) for bit in range(32) for j in (fingerprints.HALF, 0))
+
+
+def _apart_sql(one: str, other: str) -> str:
+    lanes = f"list_zip({one}.lanes, {other}.lanes)"
+    return f"list_sum(list_transform({lanes}, lambda z: CAST(2 * (z[1] - z[2]) - ({one}.head[1] - {other}.head[1]) AS DOUBLE) ** 2))"
+
+
+def _likeness_sql(one: str, other: str) -> str:
+    whole = f"({_apart_sql(one, 'nil')} + {_apart_sql(other, 'nil')})"
+    return f"CASE WHEN {whole} = 0 THEN 1.0::DOUBLE ELSE greatest(0.0::DOUBLE, 1 - {_apart_sql(one, other)} / {whole}) END"
+
+
+def _printed_sql(v: str) -> str:
+    return f"list_aggregate(list_transform(list_concat({v}.head, {v}.lanes), lambda x: format('{{:08x}}', x)), 'string_agg', '')"
+
+
+@query(
+    rf"""
+    WITH t AS (SELECT doc_id, coalesce(text, '') AS text, length(coalesce(text, '')) AS n FROM documents),
+         o AS (SELECT *, coalesce(lead(text) OVER (ORDER BY doc_id DESC), first_value(text) OVER (ORDER BY doc_id DESC)) AS next FROM t),
+         e AS (SELECT *, substr(text, 1, n - n // 2) || substr(next, 1, n // 2) AS edited FROM o),
+         b AS (SELECT text AS body FROM e UNION SELECT edited FROM e),
+         u AS (SELECT body, unnest(regexp_extract_all(body, '{fingerprints.PARAGRAPH}')) AS p FROM b),
+         h AS (SELECT body, sha256(p) AS h FROM u),
+         w AS (SELECT body, {_WORDS_SQL} FROM h),
+         nil AS (SELECT list_transform(range({1 + fingerprints.WORDS}), lambda x: 0::BIGINT) AS head,
+                        list_transform(range({fingerprints.LANES}), lambda x: 0::BIGINT) AS lanes),
+         g AS (SELECT body, CAST([{_HEAD_SQL}] AS BIGINT[]) AS head, CAST([{_LANES_SQL}] AS BIGINT[]) AS lanes FROM w GROUP BY body),
+         v AS (SELECT b.body, coalesce(g.head, nil.head) AS head, coalesce(g.lanes, nil.lanes) AS lanes
+               FROM b LEFT JOIN g ON g.body = b.body, nil)
+    SELECT doc_id, n AS n_chars, sha256(edited) AS edited_sha256, {_printed_sql("a")} AS fingerprint, {_printed_sql("c")} AS edited_fingerprint,
+           {_likeness_sql("a", "c")} AS near_edited, {_likeness_sql("a", "d")} AS near_next
+    FROM e JOIN v a ON a.body = text JOIN v c ON c.body = edited JOIN v d ON d.body = next, nil
+    """
+)
+def op11_document_fingerprints(spark: SparkSession, folder: str) -> DataFrame:
+    """Fingerprint of every document as a multiset of paragraphs, before and after an edit, and what it shares."""
+    return fingerprints.fingerprints(load_table(spark, folder, "documents"))

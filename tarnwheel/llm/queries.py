@@ -5,11 +5,11 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tarnwheel.llm import exact_dedup as dedup
-from tarnwheel.llm import bpe, chat, fingerprints, importance, langid, lm_scoring, mixing, simhash, token_counts, topk_search
+from tarnwheel.llm import bpe, chat, fingerprints, importance, langid, lm_scoring, mixing, periodic, simhash, token_counts, topk_search
 from tarnwheel.sources.tables import load_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -242,3 +242,42 @@ def _printed_sql(v: str) -> str:
 def op11_document_fingerprints(spark: SparkSession, folder: str) -> DataFrame:
     """Fingerprint of every document as a multiset of paragraphs, before and after an edit, and what it shares."""
     return fingerprints.fingerprints(load_table(spark, folder, "documents"))
+
+
+def planted_period(doc_id: Column, text: Column) -> Column:
+    """The text, of which one document in ten repeats some of its words to its end; by a hash of doc_id."""
+    drawn = F.crc32(doc_id.cast("string"))
+    tenth = F.floor(drawn / 10)
+
+    def planted(words: Column) -> Column:
+        n = F.size(words)
+        start = F.pmod(tenth, n)
+        period = 1 + F.floor((n - start) / (3 + tenth % 8))
+        repeated = F.transform(
+            words, lambda word, i: F.when(i < start, word).otherwise(F.get(words, (start + (i - start) % period).cast("int")))
+        )
+        return F.when(n > 0, F.array_join(repeated, " "))
+
+    words = F.array_remove(F.split(text, r"[\x20\x09-\x0D]+"), "")
+    # as an item of an array the text is split once
+    changed = F.get(F.transform(F.array(words), planted), 0)
+    return F.coalesce(F.when(drawn % 10 == 0, changed), text)
+
+
+@query()
+def op12_periodic_runs(spark: SparkSession, folder: str) -> DataFrame:
+    """Periodic runs of twelve words or more in every document, and the text without what they repeat."""
+    text = planted_period(F.col("doc_id").cast("long"), F.col("text"))
+    found = periodic.periodic_runs(load_table(spark, folder, "documents"), text=text)
+    longest = F.array_max(F.transform("runs", lambda r: F.struct(r["length"].alias("length"), (-r["start"]).alias("s"), (-r["period"]).alias("p"))))
+    lines = F.transform("runs", lambda r: F.concat(F.concat_ws(",", r["start"], r["length"], r["period"]), F.lit("\n")))
+    return found.withColumn("longest", longest).select(
+        "doc_id",
+        F.size("runs").cast("long").alias("n_runs"),
+        (-F.col("longest.s")).alias("start"),
+        F.col("longest.length").alias("length"),
+        (-F.col("longest.p")).alias("period"),
+        F.floor(1000 * F.col("longest.length") / (-F.col("longest.p"))).alias("exponent_milli"),
+        F.sha2(F.array_join(lines, ""), 256).alias("runs_sha256"),
+        F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )

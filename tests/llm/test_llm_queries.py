@@ -11,6 +11,7 @@ import tiktoken
 from fixtures import ROWS, documents
 from test_dedup import brute_components, brute_fingerprint
 from test_near_copies import brute_kept
+from test_periodic import brute_row
 from test_text_models import brute_targets
 from tokenizers import Tokenizer
 
@@ -23,7 +24,7 @@ FOLDER = "/root/testdata/sf0.001"
 NAMES = [
     "op1_exact_dedup", "op2_exact_topk", "op3_chat_format", "op4_language_id", "op5_token_counts", "op6_lm_scoring",
     "op7_source_mix", "op8_byte_bpe", "op9_importance_selection", "op10_simhash_near_dedup",
-    "op11_document_fingerprints",
+    "op11_document_fingerprints", "op12_periodic_runs",
 ]
 
 
@@ -95,6 +96,13 @@ def test_near_groups(spark, texts):
     assert rows_of(spark, "op10_simhash_near_dedup", "doc_id", "fingerprint", "component_id") == want
 
 
+def test_periodic_runs(spark, texts):
+    columns = ("doc_id", "n_runs", "start", "length", "period", "exponent_milli", "runs_sha256", "collapsed_sha256")
+    got = rows_of(spark, "op12_periodic_runs", *columns)
+    assert got == [brute_row(*item) for item in sorted(texts.items())]
+    assert sum(r[1] > 0 for r in got) > len(texts) // 20
+
+
 def test_scores_cover_every_document(spark, texts):
     for name in ("op6_lm_scoring", "op9_importance_selection", "op7_source_mix"):
         assert [r[0] for r in rows_of(spark, name, "doc_id")] == sorted(texts)

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tarnwheel.llm import exact_dedup as dedup
-from tarnwheel.llm import bpe, chat, fingerprints, importance, langid, lm_scoring, mixing, periodic, simhash, token_counts, topk_search
+from tarnwheel.llm import bpe, chat, fingerprints, importance, langid, lm_scoring, mixing, periodic, phrases, simhash, token_counts, topk_search
 from tarnwheel.sources.tables import load_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -281,3 +281,31 @@ def op12_periodic_runs(spark: SparkSession, folder: str) -> DataFrame:
         F.sha2(F.array_join(lines, ""), 256).alias("runs_sha256"),
         F.sha2("collapsed", 256).alias("collapsed_sha256"),
     )
+
+
+@query(
+    rf"""
+    WITH d AS (SELECT coalesce(lang, 'und') AS lang, translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS text
+               FROM documents WHERE text IS NOT NULL),
+         p AS (SELECT lang, unnest(string_split_regex(text, '[.,;:!?\x0A-\x0D]')) AS piece FROM d),
+         w AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS ws FROM p),
+         g AS (SELECT lang, k, unnest(list_transform(range(1, len(ws) - k + 2), lambda i: array_to_string(ws[i:i + k - 1], ' '))) AS phrase
+               FROM w, range(1, 4) x(k) WHERE len(ws) >= k),
+         c AS (SELECT lang, phrase, k, count(*) AS f FROM g GROUP BY ALL),
+         t AS (SELECT lang, CAST(sum(f) AS BIGINT) AS n FROM c WHERE k = 1 GROUP BY lang),
+         m AS (SELECT *, string_split(phrase, ' ') AS ws FROM c WHERE k > 1 AND f >= {phrases.LEAST}),
+         u AS (SELECT lang, phrase, k, f AS a, j, array_to_string(ws[1:j], ' ') AS one, array_to_string(ws[j + 1:], ' ') AS other
+               FROM m, range(1, 3) x(j) WHERE j < k),
+         s AS (SELECT u.*, o.f AS l, h.f AS r, CAST((1000000::HUGEINT * a * a) // (o.f::HUGEINT * h.f) AS BIGINT) AS score
+               FROM u JOIN c o ON o.lang = u.lang AND o.phrase = one JOIN c h ON h.lang = u.lang AND h.phrase = other),
+         b AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, j) = 1),
+         i AS (SELECT lang, array_to_string(ws[x:x + 1], ' ') AS phrase, max(f) AS f FROM m, range(1, 3) r(x) WHERE k = 3 GROUP BY ALL),
+         z AS (SELECT b.* FROM b LEFT JOIN i ON i.lang = b.lang AND i.phrase = b.phrase
+               WHERE k = 3 OR i.f IS NULL OR 100 * i.f < {phrases.SUBSUMED} * a),
+         q AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM z)
+    SELECT lang, rank, phrase, a, l, r, n, score FROM q JOIN t USING (lang) WHERE rank <= {phrases.TOP}
+    """
+)
+def op13_phrase_collocations(spark: SparkSession, folder: str) -> DataFrame:
+    """The 2,000 phrases of two or three words of each language that keep together most."""
+    return phrases.collocations(load_table(spark, folder, "documents"))

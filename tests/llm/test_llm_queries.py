@@ -25,6 +25,7 @@ NAMES = [
     "op1_exact_dedup", "op2_exact_topk", "op3_chat_format", "op4_language_id", "op5_token_counts", "op6_lm_scoring",
     "op7_source_mix", "op8_byte_bpe", "op9_importance_selection", "op10_simhash_near_dedup",
     "op11_document_fingerprints", "op12_periodic_runs",
+    "op13_phrase_collocations",
 ]
 
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tarnwheel.session import scratch_path
+
 TABLES = (
     "region", "nation", "customer", "supplier", "part", "orders", "lineitem",
     "events", "documents", "embeddings", "pages", "benchmark", "labels", "conversations",
@@ -22,6 +24,17 @@ def load_table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder.rstrip('/')}/{name}.parquet")
 
 
+def stored(df: DataFrame, label: str) -> DataFrame:
+    """``df`` written to the shared scratch folder and read back from there.
+
+    What follows is planned from files of known size, and a lost executor costs the tasks
+    it ran instead of all that came before.
+    """
+    path = scratch_path(df.sparkSession, label)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def spread(scan: DataFrame, by: str) -> DataFrame:
     """For heavy work per row: use every core of one machine when a scan has fewer splits.
 

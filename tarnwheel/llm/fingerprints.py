@@ -135,14 +135,15 @@ def likeness(one: Column, other: Column) -> Column:
     return F.when(whole == 0, F.lit(1.0)).otherwise(F.greatest(F.lit(0.0), 1 - apart / whole))
 
 
-def with_next(docs: DataFrame, rows_per_chunk: int | None = None) -> DataFrame:
-    """Add ``next``, a struct of all columns of the next row: descending doc_id, after the last the first.
+def with_next(docs: DataFrame, made: dict[str, Column] | None = None, rows_per_chunk: int | None = None) -> DataFrame:
+    """Add the columns ``made`` and ``next``, a struct of all columns of the next row: descending doc_id, after the last the first.
 
     Rows without doc_id come after all others; rows that share a doc_id follow each other
     by ascending text and meet in one task. The table is cut into chunks along that order;
     each chunk gets a copy of the first row of the chunk after it.
     """
-    columns = [c for c in docs.columns]
+    made = made or {}
+    columns = [*docs.columns, *made]
     placed = docs.withColumns({
         "_none": F.col("doc_id").isNull().cast("int"),
         # descending without overflow
@@ -162,9 +163,11 @@ def with_next(docs: DataFrame, rows_per_chunk: int | None = None) -> DataFrame:
     firsts = firsts.withColumn("_before", before)
     at = F.broadcast(firsts.select("_first", "_before"))
     edges = placed.join(at, F.struct(*order) == F.col("_first")).groupBy("_before")
-    edges = edges.agg(F.min_by(F.struct(*columns, *order), F.struct("text")).alias("_row"))
-    rows = chunked(placed).select(F.lit(0).alias("_edge"), CHUNK, *order, *columns)
-    rows = rows.union(edges.select(F.lit(1), F.col("_before").cast("int"), *[F.col(f"_row.{c}") for c in (*order, *columns)]))
+    edges = edges.agg(F.min_by(F.struct(*docs.columns, *order), F.struct("text")).alias("_row"))
+    # the columns are made of the few rows that are edges, not of all that are looked at for them
+    edges = edges.select(F.lit(1).alias("_edge"), F.col("_before").cast("int").alias(CHUNK), "_row.*").withColumns(made)
+    rows = chunked(placed).select(F.lit(0).alias("_edge"), CHUNK, *order, *docs.columns).withColumns(made)
+    rows = rows.unionByName(edges)
     follows = Window.partitionBy(CHUNK).orderBy("_edge", *order, F.col("text"))
     found = rows.withColumn("next", F.lead(F.struct(*columns)).over(follows))
     return found.where("_edge = 0").select(*columns, "next")
@@ -183,11 +186,10 @@ def fingerprints(docs: DataFrame, rows_per_chunk: int | None = None) -> DataFram
     columns are ignored. A text is one value of one row, whatever its length.
     """
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    hashed = texts.withColumn("vector", vector(paragraphs(F.col("text"))))
     n_chars = F.length("text").cast("long")
     half = F.floor(n_chars / 2).cast("int")
     edited = F.concat(F.substring("text", F.lit(1), F.length("text") - half), F.substring("next.text", F.lit(1), half))
-    rows = with_next(hashed, rows_per_chunk).withColumn("edited", edited)
+    rows = with_next(texts, {"vector": vector(paragraphs(F.col("text")))}, rows_per_chunk).withColumn("edited", edited)
     # as items of an array the edited text is put together, and hashed, once
     row = F.struct(F.col("edited"), vector(paragraphs(F.col("edited"))).alias("vector"))
     rows = rows.select("doc_id", n_chars.alias("n_chars"), "vector", F.col("next.vector").alias("next_vector"), F.inline(F.array(row)).alias("edited", "edited_vector"))

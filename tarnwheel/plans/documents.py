@@ -1,10 +1,11 @@
-"""Queries that compare the texts of documents."""
+"""Queries that compare the texts of documents with each other and with a benchmark."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tarnwheel.operators import contamination, lines
 from tarnwheel.operators.similar_sets import Similar, similar_texts
 from tarnwheel.plans.registry import query
 from tarnwheel.sources.tables import load_table, stored
@@ -49,3 +50,78 @@ def near_dup_links(spark: SparkSession, folder: str) -> DataFrame:
     links = stored(ends.groupBy("id").agg(F.count(F.lit(1)).alias("links")), "near-dup-links")
     counted = found.members.join(links.withColumnRenamed("id", "class_id"), "class_id", "left")
     return counted.select(F.col("id").alias("doc_id"), "class_id", "class_size", F.coalesce("links", F.lit(0).cast("long")).alias("links"))
+
+
+_SPANS = f"""
+    t AS (SELECT doc_id, {_WORDS} AS ws FROM documents),
+    k AS (SELECT DISTINCT unnest(list_transform(range(1, len(ws) - 6), lambda i: array_to_string(ws[i:i + 7], ' '))) AS g
+          FROM (SELECT {_WORDS} AS ws FROM benchmark) WHERE len(ws) >= 8),
+    x AS (SELECT doc_id, ws, unnest(range(0, len(ws) - 7)) AS place FROM t WHERE len(ws) >= 8),
+    h AS (SELECT DISTINCT doc_id, place FROM x JOIN k ON k.g = array_to_string(ws[place + 1:place + 8], ' ')),
+    f AS (SELECT *, CASE WHEN place <= lag(place) OVER (PARTITION BY doc_id ORDER BY place) + 8 THEN 0 ELSE 1 END AS begins FROM h),
+    s AS (SELECT *, sum(begins) OVER (PARTITION BY doc_id ORDER BY place) AS span FROM f),
+    p AS (SELECT doc_id, min(place) AS start, max(place) - min(place) + 8 AS n_words, count(*) AS hits FROM s GROUP BY doc_id, span)
+    """
+
+
+def _spans(spark: SparkSession, folder: str) -> DataFrame:
+    hits = contamination.ngram_hits(load_table(spark, folder, "documents"), load_table(spark, folder, "benchmark"))
+    return contamination.covered_spans(hits)
+
+
+@query(f"WITH {_SPANS} SELECT * FROM p")
+def contaminated_spans(spark: SparkSession, folder: str) -> DataFrame:
+    """Spans of documents made of eight words in a row, or more, that also stand in the benchmark."""
+    return _spans(spark, folder)
+
+
+@query(
+    f"""
+    WITH {_SPANS}, c AS (SELECT doc_id, CAST(sum(n_words) AS BIGINT) AS covered, count(*) AS n_spans FROM p GROUP BY doc_id)
+    SELECT doc_id, len(ws) AS n_words, coalesce(covered, 0) AS covered, coalesce(n_spans, 0) AS n_spans, covered IS NULL AS clean
+    FROM t LEFT JOIN c USING (doc_id)
+    """
+)
+def decontaminate(spark: SparkSession, folder: str) -> DataFrame:
+    """How much of every document the benchmark covers; clean ones have no eight words in a row in common with it."""
+    found = contamination.coverage(load_table(spark, folder, "documents"), _spans(spark, folder))
+    return found.withColumn("clean", F.col("n_spans") == 0)
+
+
+@query(
+    """
+    SELECT line, count(*) AS occurrences, count(DISTINCT doc_id) AS documents
+    FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM documents) WHERE line <> '' GROUP BY line HAVING count(*) > 5
+    """
+)
+def boilerplate_lines(spark: SparkSession, folder: str) -> DataFrame:
+    """Lines that occur more than five times in the documents."""
+    return lines.frequent_lines(load_table(spark, folder, "documents"), 5)
+
+
+_LINES = """
+    l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS place FROM documents)
+    """
+
+
+def _lines_sql(partition: str, order: str) -> str:
+    return f"""
+    WITH {_LINES}, f AS (SELECT *, line = '' OR row_number() OVER (PARTITION BY {partition} ORDER BY {order}) = 1 AS stays FROM l)
+    SELECT doc_id, coalesce(string_agg(line, chr(10) ORDER BY place) FILTER (stays), '') AS text, count(*) FILTER (NOT stays) AS dropped
+    FROM f GROUP BY doc_id
+    """
+
+
+@query(_lines_sql("doc_id, line", "place"))
+def dedup_lines(spark: SparkSession, folder: str) -> DataFrame:
+    """Every document with each of its lines only once, where it first stands."""
+    docs = load_table(spark, folder, "documents").select("doc_id", "text")
+    n_lines = F.size(lines.lines("text"))
+    kept = lines.without_repeated_lines(docs.withColumn("before", n_lines))
+    return kept.select("doc_id", "text", (F.col("before") - n_lines).cast("long").alias("dropped"))
+
+
+@query(_lines_sql("line", "doc_id, place"))
+def dedup_corpus_lines(spark: SparkSession, folder: str) -> DataFrame:
+    """Every document with only those lines that no earlier document, and no earlier place in it, has."""
+    return lines.without_corpus_repeats(load_table(spark, folder, "documents").select("doc_id", "text"))

@@ -1,0 +1,85 @@
+"""Nearest neighbours from the index and in blocks against brute force."""
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from tarnwheel.operators import neighbours
+from tarnwheel.operators.neighbours import build_index, exact_neighbours, recall, search, unit_vectors
+
+SCHEMA = "vec_id long, embedding array<float>"
+
+
+def clustered(rng, n, dim=16, groups=12):
+    middles = rng.normal(size=(groups, dim)) * 3
+    return (middles[rng.integers(0, groups, n)] + rng.normal(size=(n, dim))).astype(np.float32)
+
+
+def frame(spark, vectors, first=0):
+    return spark.createDataFrame([(first + i, [float(y) for y in x]) for i, x in enumerate(vectors)], SCHEMA)
+
+
+def brute(vectors, ids, k):
+    unit = vectors.astype(float) / np.linalg.norm(vectors.astype(float), axis=1, keepdims=True)
+    out = {}
+    for q in ids:
+        near = unit @ unit[q]
+        order = sorted((i for i in range(len(unit)) if i != q), key=lambda i: (-near[i], i))
+        out[q] = order[:k]
+    return out
+
+
+def by_query(df):
+    out = {}
+    for r in sorted(df.collect(), key=lambda r: (r["query_id"], r["rank"])):
+        out.setdefault(r["query_id"], []).append(r["id"])
+    return out
+
+
+@pytest.mark.parametrize("block_rows", [8192, 50])
+def test_exact_in_blocks(spark, block_rows):
+    data = clustered(np.random.default_rng(1), 700)
+    vectors = unit_vectors(frame(spark, data))
+    queries = vectors.where(F.col("id") % 50 == 0)
+    found = search(build_index(vectors, 5, cells=1, block_rows=block_rows), queries, 5)
+    assert by_query(found) == brute(data, range(0, 700, 50), 5)
+
+
+def test_index_reaches_its_recall_and_lists_every_row(spark):
+    data = clustered(np.random.default_rng(2), 3000)
+    vectors = unit_vectors(frame(spark, data))
+    index = build_index(vectors, 10, block_rows=100)
+    assert index.lists.count() == 3000 and 1 < len(index.centres)
+    # groups that lie apart need few of the cells
+    assert index.probes < len(index.centres) / 2
+    queries = vectors.where(F.col("id") % 50 == 0)
+    found = search(index, queries, 10)
+    row = recall(found, exact_neighbours(vectors, queries, 10)).first()
+    assert row["queries"] == 60 and row["neighbours"] == 600 and row["found"] >= 0.9 * 600
+    # all cells give all neighbours
+    assert by_query(search(index, queries, 10, probes=len(index.centres))) == brute(data, range(0, 3000, 50), 10)
+
+
+def test_odd_vectors(spark):
+    rows = [
+        (0, [1.0, 0.0]), (1, [2.0, 0.0]), (2, [0.0, 1.0]), (3, None), (4, [float("nan"), 1.0]), (5, [0.0, 0.0]), (6, [None, 1.0]),
+        (7, [3.0, 0.0]), (8, [float("inf"), 1.0]), (None, [1.0, 1.0]), (50, [1.0, 0.0]),
+    ]
+    vectors = unit_vectors(spark.createDataFrame(rows, SCHEMA))
+    queries = vectors.where(F.col("id") % 50 == 0)
+    for found in (exact_neighbours(vectors, queries, 3), search(build_index(vectors, 3, recall=1.0), queries, 3)):
+        # equal directions tie, the smaller id comes first
+        assert by_query(found) == {0: [1, 7, 50], 50: [0, 1, 7]}
+    none = unit_vectors(spark.createDataFrame([], SCHEMA))
+    assert exact_neighbours(none, none, 3).collect() == []
+    one = unit_vectors(spark.createDataFrame(rows[:1], SCHEMA))
+    assert search(build_index(one, 3), one, 3).collect() == []
+
+
+def test_probes_on_the_sample():
+    rng = np.random.default_rng(3)
+    sample = clustered(rng, 500)
+    sample = sample / np.linalg.norm(sample, axis=1, keepdims=True)
+    centres = neighbours.fit_centres(sample, 20)
+    few, many = (neighbours.probes_needed(sample, centres, 10, r) for r in (0.5, 1.0))
+    assert 1 <= few <= many <= 20

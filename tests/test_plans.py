@@ -11,7 +11,7 @@ from tarnwheel.sources.tables import load_table, spread
 FOLDER = "/root/testdata/sf0.001"
 BATCH = sorted(n for n in QUERIES if not n.startswith("stream_"))
 # what expressions cannot say, or only many times slower, runs on Arrow batches
-IN_ARROW = {"near_dup_pairs", "near_dup_links"}
+IN_ARROW = {"near_dup_pairs", "near_dup_links", "knn_exact", "knn_index", "knn_recall"}
 
 pytestmark = pytest.mark.skipif(not os.path.isdir(FOLDER), reason="no test tables here")
 

@@ -7,11 +7,12 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from tarnwheel.functions import money
-from tarnwheel.functions.times import naive
+from tarnwheel.functions.times import DAY, naive
 from tarnwheel.plans.events import SESSIONS_SQL, SLIDING_SQL, TUMBLING_SQL
 from tarnwheel.plans.registry import query
 from tarnwheel.session import scratch_path
 from tarnwheel.sources.tables import load_table, stream_table
+from tarnwheel.streaming.funnel import attempts
 from tarnwheel.streaming.operators import dedup, followed_within_hour
 from tarnwheel.streaming.runs import (
     append_table,
@@ -180,3 +181,34 @@ def stream_late_rows(spark: SparkSession, folder: str) -> DataFrame:
     if not rows_dropped_as_late(query):
         raise RuntimeError("no row was dropped as late")
     return _with_start(spark.read.schema(_tumbling(events.withColumn("ts", F.col("ts").cast("timestamp"))).schema).parquet(sink))
+
+
+_STEPS = ("signup", "view", "purchase")
+
+# one event per user and round; an attempt that the event finds expired comes out with it
+_ATTEMPTS_SQL = f"""
+    WITH RECURSIVE
+    e AS (SELECT user_id, epoch_us(ts) AS t, list_position({list(_STEPS)}, event_type) AS kind,
+                 row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS rn
+          FROM events WHERE event_type IN {_STEPS} AND ts < {_WATERMARK}),
+    m AS (SELECT user_id, 0::BIGINT AS rn, 0 AS reached, 0::BIGINT AS started, 0::BIGINT AS ended, 0 AS was, 0::BIGINT AS was_started, 0::BIGINT AS was_ended
+          FROM (SELECT DISTINCT user_id FROM e)
+          UNION ALL
+          SELECT user_id, rn, CASE WHEN kind = step + 1 THEN kind ELSE step END, CASE WHEN kind = 1 AND step = 0 THEN t ELSE started END,
+                 CASE WHEN kind = step + 1 THEN t ELSE ended END, CASE WHEN before < 3 AND step < before THEN before ELSE 0 END, started, ended
+          FROM (SELECT e.user_id, e.rn, e.t, e.kind, m.started, m.ended, m.reached AS before,
+                       CASE WHEN m.reached = 3 OR m.reached > 0 AND e.t > m.ended + {DAY} THEN 0 ELSE m.reached END AS step
+                FROM m JOIN e ON e.user_id = m.user_id AND e.rn = m.rn + 1)),
+    o AS (SELECT user_id, was_started AS started, was AS reached, was_ended AS ended, false AS completed FROM m WHERE was > 0
+          UNION ALL SELECT user_id, started, reached, ended, true FROM m WHERE reached = 3
+          UNION ALL SELECT user_id, started, reached, ended, false FROM m
+          WHERE reached IN (1, 2) AND rn = (SELECT max(rn) FROM e WHERE e.user_id = m.user_id) AND ended + {DAY} < epoch_us({_WATERMARK}))
+    SELECT user_id, make_timestamp(started) AS started, CAST(reached AS INTEGER) AS reached, make_timestamp(ended) AS ended, completed FROM o
+    """
+
+
+@query(_ATTEMPTS_SQL)
+def stream_funnel(spark: SparkSession, folder: str) -> DataFrame:
+    """Attempts of users to get from signing up to a view to a purchase, each step within a day; some expire."""
+    events = stream_table(spark, folder, "events", "ts")
+    return append_table(spark, attempts(events, _STEPS, DAY, "1 hour"), "funnel")

@@ -91,7 +91,7 @@ def _lists(arrays: list[np.ndarray]) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))
 
 
-def _hash_lists(texts: DataFrame, words: int, share: Fraction | None) -> DataFrame:
+def hash_lists(texts: DataFrame, words: int, share: Fraction | None) -> DataFrame:
     """id, size and hashes of (id, data); with ``share`` only the prefix for that similarity."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -110,7 +110,7 @@ def _ceil(x: Fraction) -> int:
     return -(-x.numerator // x.denominator)
 
 
-def _only(rows: DataFrame, ids: DataFrame, name: str) -> DataFrame:
+def only(rows: DataFrame, ids: DataFrame, name: str) -> DataFrame:
     some = ids.select(F.col(name).alias("_some")).distinct()
     return rows.join(some, rows["id"] == some["_some"], "left_semi")
 
@@ -120,8 +120,12 @@ def _enough(common: Column, one: Column, other: Column, share: Fraction) -> Colu
     return common * (share.denominator + share.numerator) >= share.numerator * (one + other)
 
 
-def _candidates(sets: DataFrame, share: Fraction) -> DataFrame:
-    """Pairs (a, b), a < b, of (id, size, hashes) that may have the similarity."""
+def candidates(sets: DataFrame, share: Fraction, groups: DataFrame | None = None) -> DataFrame:
+    """Pairs (a, b), a < b, of (id, size, hashes) that may have the similarity.
+
+    With ``groups`` (id, group) only pairs of different groups are wanted; what all texts
+    of one group share is then no key either.
+    """
     shingled = sets.select("id", "size", F.explode("hashes").alias("key"))
     # a shingle of one text only is no key
     counts = stored(shingled.groupBy("key").agg(F.count(F.lit(1)).alias("df")).where("df > 1"), "similar-shared")
@@ -136,17 +140,25 @@ def _candidates(sets: DataFrame, share: Fraction) -> DataFrame:
         .select("id", "size", "alone", F.posexplode(F.slice("known", F.lit(1), (F.col("prefix") - F.col("alone")).cast("int"))).alias("nth", "posting"))
         .select("id", "size", (F.col("size") - F.col("alone") - F.col("nth")).alias("rest"), F.col("posting.key").alias("key"))
     )
+    columns = ("id", "size", "rest")
+    if groups is not None:
+        columns = (*columns, "group")
+        posted = stored(posted.join(groups, "id"), "similar-grouped")
+        mixed = posted.groupBy("key").agg(F.min("group").alias("_low"), F.max("group").alias("_high")).where("_low < _high")
+        posted = posted.join(stored(mixed.select("key"), "similar-mixed"), "key", "left_semi")
     posted = stored(posted, "similar-postings")
-    one, other = (posted.select(F.col("key").alias(f"{s}_key"), *[F.col(c).alias(f"{s}_{c}") for c in ("id", "size", "rest")]) for s in "ab")
+    one, other = (posted.select(F.col("key").alias(f"{s}_key"), *[F.col(c).alias(f"{s}_{c}") for c in columns]) for s in "ab")
     # the first key two texts share has at least all that they share from there on in both
     rest = F.least("a_rest", "b_rest")
     meet = (F.col("a_key") == F.col("b_key")) & (F.col("a_id") < F.col("b_id"))
     fits = _enough(rest, F.col("a_size"), F.col("b_size"), share)
+    if groups is not None:
+        meet = meet & (F.col("a_group") != F.col("b_group"))
     sized = share.denominator * F.least("a_size", "b_size") >= share.numerator * F.greatest("a_size", "b_size")
     return one.join(other, meet & fits & sized).select(F.col("a_id").alias("a"), F.col("b_id").alias("b")).distinct()
 
 
-def _compared(pairs: DataFrame, texts: DataFrame, words: int, share: Fraction) -> DataFrame:
+def compared(pairs: DataFrame, texts: DataFrame, words: int, share: Fraction) -> DataFrame:
     """Those of the pairs that are similar, with their sizes and common shingles."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -194,12 +206,12 @@ def similar_texts(
     classes = stored(classes, "similar-classes")
     members = named.join(classes, "digest").select("id", "class_id", "class_size")
 
-    first = stored(_only(_hash_lists(rows, words, share), classes, "class_id").distinct(), "similar-prefixes")
+    first = stored(only(hash_lists(rows, words, share), classes, "class_id").distinct(), "similar-prefixes")
     postings = first.select("id", F.explode("hashes").alias("key"))
     ends = postings.groupBy("key").agg(F.min("id").alias("low"), F.max("id").alias("high"))
     keys = stored(ends.where("low < high").select("key"), "similar-keys")
     met = stored(postings.join(keys, "key", "left_semi").select("id").distinct(), "similar-met")
-    texts = stored(_only(rows, met, "id").distinct(), "similar-texts")
-    sets = stored(_hash_lists(texts, words, None), "similar-sets")
-    pairs = stored(_candidates(sets, share), "similar-candidates")
-    return Similar(members, _compared(pairs, texts, words, share))
+    texts = stored(only(rows, met, "id").distinct(), "similar-texts")
+    sets = stored(hash_lists(texts, words, None), "similar-sets")
+    pairs = stored(candidates(sets, share), "similar-candidates")
+    return Similar(members, compared(pairs, texts, words, share))

@@ -2,11 +2,12 @@
 
 Two sets of a and b members with a Jaccard of t or more share at least t of the larger one.
 Put the members of all sets into one order: then such sets share a member already among the
-first a - ceil(t a) + 1 and b - ceil(t b) + 1. Only these prefixes are posted. Which order is
-taken changes nothing but the work.
+first a - ceil(t a) + 1 and b - ceil(t b) + 1, and c of them where both prefixes are longer by
+c - 1. Only these prefixes are posted. Which order is taken changes nothing but the work.
 
 1. Texts with the same words are one class; its smallest id stands for it.
-2. Prefixes by hash are posted. A text none of whose keys is another's has no partner.
+2. Prefixes by hash are posted, a sixteenth of the set longer than they have to be. A text of
+   which fewer keys than that are another's, too, has no partner.
 3. Among the texts left every shingle is counted. A text with more than (1 - t) a shingles
    that no other one has is out as well. The rest post prefixes that begin with the rarest
    shingles, so that what many texts share, such as a common passage, is no key.
@@ -34,6 +35,8 @@ WORDS = 5
 SIMILARITY = 0.8
 KNOWN_WORDS = 1 << 17
 ROWS_PER_STEP = 256
+# a prefix by hash is longer by this part of the set, and as many keys must be shared
+LONGER = 16
 
 
 @dataclass(frozen=True)
@@ -92,7 +95,7 @@ def _lists(arrays: list[np.ndarray]) -> pa.Array:
 
 
 def hash_lists(texts: DataFrame, words: int, share: Fraction | None) -> DataFrame:
-    """id, size and hashes of (id, data); with ``share`` only the prefix for that similarity."""
+    """id, size and sorted hashes of (id, data); with ``share`` only the prefix for that similarity."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = _Hashes()
@@ -100,14 +103,31 @@ def hash_lists(texts: DataFrame, words: int, share: Fraction | None) -> DataFram
             sets = [hashed_shingles(d.as_buffer().to_pybytes(), words, hashes) for d in batch.column(1)]
             sizes = pa.array([len(s) for s in sets], pa.int64())
             if share is not None:
-                sets = [s[: len(s) - _ceil(share * len(s)) + 1] for s in sets]
+                sets = [s[: prefix_size(len(s), share)] for s in sets]
             yield pa.RecordBatch.from_arrays([batch.column(0), sizes, _lists(sets)], ["id", "size", "hashes"])
 
     return texts.select("id", "data").mapInArrow(run, "id long, size long, hashes array<long>")
 
 
-def _ceil(x: Fraction) -> int:
-    return -(-x.numerator // x.denominator)
+def prefix_size(size: int, share: Fraction) -> int:
+    """How many hashes of a set are posted."""
+    return size + (-share.numerator * size // share.denominator) + max(1, size // LONGER)
+
+
+def shared_postings(prefixes: DataFrame, share: Fraction) -> DataFrame:
+    """(id, key) under keys of several ids, of those ids that share enough keys to have a partner.
+
+    The partner may be as small as the similarity allows, and its prefix is that much shorter.
+    """
+    postings = prefixes.select("id", F.explode("hashes").alias("key"))
+    ends = postings.groupBy("key").agg(F.min("id").alias("_low"), F.max("id").alias("_high")).where("_low < _high")
+    # a key with any share of the rows has one row on the other side, so Spark can split it
+    met = stored(postings.join(stored(ends.select("key"), "similar-keys"), "key", "left_semi"), "similar-met")
+    counts = met.groupBy("id").agg(F.count(F.lit(1)).alias("_met"))
+    smallest = F.ceil(F.col("size") * share.numerator / share.denominator)
+    needed = F.greatest(F.floor(smallest / LONGER), F.lit(1))
+    enough = prefixes.select("id", needed.alias("_needed")).join(counts, "id").where("_met >= _needed").select("id").distinct()
+    return met.join(stored(enough, "similar-enough"), "id", "left_semi")
 
 
 def only(rows: DataFrame, ids: DataFrame, name: str) -> DataFrame:
@@ -206,12 +226,9 @@ def similar_texts(
     classes = stored(classes, "similar-classes")
     members = named.join(classes, "digest").select("id", "class_id", "class_size")
 
-    first = stored(only(hash_lists(rows, words, share), classes, "class_id").distinct(), "similar-prefixes")
-    postings = first.select("id", F.explode("hashes").alias("key"))
-    ends = postings.groupBy("key").agg(F.min("id").alias("low"), F.max("id").alias("high"))
-    keys = stored(ends.where("low < high").select("key"), "similar-keys")
-    met = stored(postings.join(keys, "key", "left_semi").select("id").distinct(), "similar-met")
-    texts = stored(only(rows, met, "id").distinct(), "similar-texts")
+    first = stored(hash_lists(rows, words, share), "similar-prefixes")
+    met = only(shared_postings(first, share).select("id").distinct(), classes, "class_id")
+    texts = stored(only(rows, stored(met, "similar-ids"), "id").distinct(), "similar-texts")
     sets = stored(hash_lists(texts, words, None), "similar-sets")
     pairs = stored(candidates(sets, share), "similar-candidates")
     return Similar(members, compared(pairs, texts, words, share))

@@ -2,38 +2,41 @@
 
 Two bigram models share one vocabulary, order and smoothing: one counts the documents of a
 target set, the other all documents. A document's score is its mean loss per token under the
-target model less that under the background model; the lower, the closer to the target.
-
-Word counts give the vocabulary, the VOCABULARY most frequent words; all other words are one.
-From then on documents are arrays of word ids. Bigrams are counted per task, dealt to buckets
-by a hash and added up there. To score, the bigrams of each document meet the counts of
-their bucket, in packets of a step's documents, and the losses come back to the step. Bigrams
-that make up more than one in HOT of all are few, so their counts go to every task and they
-are not dealt; what is left has no hot key.
+target model less that under the background model; the lower, the closer to the target. The
+vocabulary is every word that occurs, so what the models hold grows with the corpus.
+
+Documents are gathered in steps, each with a table of its own words. A step sends its distinct
+words and bigrams, by hash and with how often they occur in it, to buckets. A bucket adds up
+what it was sent and answers each step with the sums for what that step sent, so counting and
+looking up are one exchange. The step then has all counts that its own documents need. However
+often a word or bigram occurs, a step sends it once.
 """
 
 from __future__ import annotations
 
 import math
-from collections import Counter
+from collections import defaultdict
 from collections.abc import Iterator
+from itertools import count
 
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tarnwheel.llm.base import mix64, numbered, slices, stored
+from tarnwheel.llm.base import mix64, stored
 
-VOCABULARY = (1 << 16) - 3
-UNKNOWN, BEGIN, END = 0, 1, 2
-HOT = 1 << 16
 # prior words of the unigram model that back each context
 PRIOR = 50.0
-BUCKET_TOKENS = 1 << 21
+# words and bigrams that meet in one bucket; buckets grow in number, not in size
+BUCKET_KEYS = 1 << 20
 STEP_TOKENS = 1 << 19
-KNOWN_WORDS = 1 << 17
+WORDS, BIGRAMS = 0, 1
+_ODD = np.uint64(0x9E3779B97F4A7C15)
+# neither can be the hash of one word more likely than that of any other
+_ENDS = np.array([0x243F6A8885A308D3, 0x13198A2E03707344], np.uint64)
 
 
 def words(data: bytes) -> list[bytes]:
@@ -41,260 +44,194 @@ def words(data: bytes) -> list[bytes]:
     return data.lower().split()
 
 
-def _hash(word: bytes) -> int:
-    return xxhash.xxh64_intdigest(word) - (1 << 63)
+def packed(values: np.ndarray) -> bytes:
+    """Whole numbers by byte planes, compressed: planes of high bytes hold next to nothing."""
+    return pa.compress(values.view(np.uint8).reshape(len(values), values.itemsize).T.tobytes(), codec="zstd", asbytes=True)
 
 
-def word_counts(docs: DataFrame) -> DataFrame:
-    """How often each word (by its 64-bit hash) occurs in the ``data`` of ``docs``."""
+def unpacked(data: bytes, dtype: type, n: int) -> np.ndarray:
+    size = np.dtype(dtype).itemsize
+    planes = np.frombuffer(pa.decompress(data, n * size, codec="zstd"), np.uint8).reshape(size, n)
+    return np.ascontiguousarray(planes.T).view(dtype).reshape(n)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts: Counter[bytes] = Counter()
-
-        def flush() -> pa.RecordBatch:
-            hashes = np.fromiter(map(_hash, counts), np.int64, len(counts))
-            n = np.fromiter(counts.values(), np.int64, len(counts))
-            counts.clear()
-            return pa.RecordBatch.from_arrays([pa.array(hashes), pa.array(n)], ["word", "n"])
-
-        for batch in slices(batches):
-            for data in batch.column(0).to_pylist():
-                counts.update(words(data))
-            if len(counts) > KNOWN_WORDS:
-                yield flush()
-        yield flush()
-
-    return docs.select("data").mapInArrow(run, "word long, n long").groupBy("word").agg(F.sum("n").alias("n"))
-
-
-def encoded(docs: DataFrame, vocabulary: list[int]) -> DataFrame:
-    """doc_id and ids (16-bit, packed) of every row; word i of the vocabulary has id i + 3."""
-    shared = docs.sparkSession.sparkContext.broadcast({word: i + 3 for i, word in enumerate(vocabulary)})
-
-    class Known(dict):
-        def __missing__(self, word: bytes) -> int:
-            if len(self) >= KNOWN_WORDS:
-                self.clear()
-            found = self[word] = shared.value.get(_hash(word), UNKNOWN)
-            return found
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = Known()
-        for batch in slices(batches):
-            ids = [np.array([*map(known.__getitem__, words(d))], np.uint16).tobytes() for d in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.binary())], ["doc_id", "ids"])
-
-    return docs.select("doc_id", "data").mapInArrow(run, "doc_id long, ids binary")
-
-
-def _steps(batches: Iterator[pa.RecordBatch], tokens: int = STEP_TOKENS) -> Iterator[tuple[list, np.ndarray, np.ndarray, np.ndarray]]:
-    """Documents in steps of about ``tokens``: (row, doc_id, target) columns, bigrams, the document of each, lengths."""
-    held: list[tuple] = []
-    size = 0
 
-    def step() -> tuple:
-        arrays = [np.frombuffer(ids, np.uint16).astype(np.uint32) for *_, ids in held]
-        lengths = np.array([len(a) for a in arrays], np.int64)
-        grams = [np.r_[np.uint32(BEGIN), a] << np.uint32(16) | np.r_[a, np.uint32(END)] for a in arrays]
-        return [list(c) for c in zip(*held)][:3], np.concatenate(grams), np.repeat(np.arange(len(held)), lengths + 1), lengths
-
-    for batch in batches:
-        for row in zip(*(batch.column(c).to_pylist() for c in range(4))):
-            held.append(row)
-            size += len(row[3]) // 2 + 1
-            if size >= tokens:
-                yield step()
-                held, size = [], 0
-    if held:
-        yield step()
-
-
-def _dealt(keys: np.ndarray, buckets: int) -> Iterator[tuple[int, np.ndarray]]:
-    """The places of the keys of each bucket that occurs."""
-    bucket = (mix64(keys, 5) % np.uint64(buckets)).astype(np.int64)
-    order = np.argsort(bucket, kind="stable")
-    cuts = np.flatnonzero(np.diff(bucket[order])) + 1
-    for part in np.split(order, cuts):
-        if len(part):
-            yield int(bucket[part[0]]), part
-
-
-def bigram_counts(ids: DataFrame, buckets: int) -> DataFrame:
-    """Per bucket the sorted distinct bigrams (packed ids), and their counts in the corpus and the target."""
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for (_, _, target), grams, doc, _ in _steps(batches):
-            keys, at = np.unique(grams, return_inverse=True)
-            corpus = np.bincount(at)
-            chosen = np.bincount(at, np.array(target, float)[doc])
-            rows = [(b, keys[p].tobytes(), corpus[p].astype(np.int64).tobytes(), chosen[p].astype(np.int64).tobytes()) for b, p in _dealt(keys, buckets)]
-            yield pa.RecordBatch.from_pylist([dict(zip(("bucket", "keys", "corpus", "target"), r)) for r in rows], _COUNTS)
-
-    def add(table: pa.Table) -> pa.Table:
-        keys, corpus, target = (np.concatenate([np.frombuffer(b, t) for b in table.column(c).to_pylist()]) for c, t in (("keys", np.uint32), ("corpus", np.int64), ("target", np.int64)))
-        found, at = np.unique(keys, return_inverse=True)
-        sums = [np.zeros(len(found), np.int64) for _ in range(2)]
-        np.add.at(sums[0], at, corpus)
-        np.add.at(sums[1], at, target)
-        row = {"bucket": table.column("bucket")[0].as_py(), "keys": found.tobytes(), "corpus": sums[0].tobytes(), "target": sums[1].tobytes()}
-        return pa.Table.from_pylist([row], _COUNTS)
-
-    schema = "bucket long, keys binary, corpus binary, target binary"
-    return ids.select("row", "doc_id", "target", "ids").mapInArrow(count, schema).groupBy("bucket").applyInArrow(add, schema)
-
-
-_COUNTS = pa.schema([("bucket", pa.int64()), ("keys", pa.binary()), ("corpus", pa.binary()), ("target", pa.binary())])
+_STEPS = pa.schema([
+    ("step", pa.int64()), ("doc_ids", pa.list_(pa.int64())), ("lengths", pa.list_(pa.int64())), ("chosen", pa.list_(pa.bool_())),
+    ("n_words", pa.int64()), ("words", pa.binary()), ("ids", pa.binary()), ("tokens", pa.list_(pa.int64())), ("docs", pa.list_(pa.int64())),
+])
+_STEPS_DDL = (
+    "step long, doc_ids array<long>, lengths array<long>, chosen array<boolean>, n_words long, words binary, ids binary, "
+    "tokens array<long>, docs array<long>"
+)
+_PACKETS = pa.schema([
+    ("bucket", pa.int64()), ("kind", pa.int64()), ("step", pa.int64()), ("n", pa.int64()),
+    ("keys", pa.binary()), ("corpus", pa.binary()), ("target", pa.binary()),
+])
+_PACKETS_DDL = "bucket long, kind long, step long, n long, keys binary, corpus binary, target binary"
+_REPLIES = pa.schema([_PACKETS.field(c) for c in ("bucket", "kind", "step", "n", "corpus", "target")])
+_REPLIES_DDL = "bucket long, kind long, step long, n long, corpus binary, target binary"
 
 
-def unigram_counts(ids: DataFrame) -> np.ndarray:
-    """(model, id) counts, END included and BEGIN as often as there are documents; corpus first."""
+def steps(texts: DataFrame, step_tokens: int) -> DataFrame:
+    """Documents (doc_id, chosen, data) in steps of about ``step_tokens``; tokens and docs are totals of corpus and target."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros((2, 1 << 16), np.int64)
-        for (_, _, target), grams, doc, _ in _steps(batches):
-            for own, weight in enumerate((None, np.array(target, float)[doc])):
-                total[own] += np.bincount(grams & np.uint32(0xFFFF), weight, 1 << 16).astype(np.int64)
-        seen = np.flatnonzero(total[0])
-        yield pa.RecordBatch.from_arrays([pa.array(seen), pa.array(total[0, seen]), pa.array(total[1, seen])], ["id", "corpus", "target"])
-
-    rows = ids.select("row", "doc_id", "target", "ids").mapInArrow(run, "id long, corpus long, target long")
-    sums = rows.groupBy("id").agg(F.sum("corpus").alias("corpus"), F.sum("target").alias("target")).toArrow()
-    out = np.zeros((2, 1 << 16), np.int64)  # an entry per id of the vocabulary
-    at = sums.column("id").to_numpy()
-    out[0, at], out[1, at] = sums.column("corpus").to_numpy(), sums.column("target").to_numpy()
-    return out
-
-
-class Pair:
-    """Both models' unigrams and the losses of bigrams with given counts."""
+        first, number = TaskContext.get().partitionId() << 32, count()
+        held, known, size = [], defaultdict(count().__next__), 0
+
+        def step() -> pa.RecordBatch:
+            doc_ids, chosen, arrays = zip(*held)
+            lengths = np.array([len(a) for a in arrays], np.int64)
+            picked = np.array(chosen, bool)
+            hashes = np.fromiter(map(xxhash.xxh64_intdigest, known), np.uint64, len(known))
+            row = {
+                "step": first + next(number), "doc_ids": doc_ids, "lengths": lengths, "chosen": chosen, "n_words": len(known),
+                "words": packed(hashes), "ids": packed(np.concatenate(arrays)),
+                "tokens": [lengths.sum(), lengths[picked].sum()], "docs": [len(held), picked.sum()],
+            }
+            return pa.RecordBatch.from_pylist([row], _STEPS)
 
-    def __init__(self, unigrams: np.ndarray, vocabulary: int):
-        # END is predicted, BEGIN never is; each document begins once and ends once
-        self.prior = (unigrams + 1.0) / (unigrams.sum(axis=1, keepdims=True) + vocabulary + 2)
-        self.contexts = unigrams.astype(float)
-        self.contexts[:, BEGIN] = unigrams[:, END]
-
-    def losses(self, grams: np.ndarray, counts: tuple[np.ndarray, np.ndarray]) -> list[np.ndarray]:
-        before, word = grams >> np.uint32(16), grams & np.uint32(0xFFFF)
-        return [
-            -np.log((counts[m] + PRIOR * self.prior[m, word]) / (self.contexts[m, before] + PRIOR)) for m in (0, 1)
-        ]
-
-
-def _hot(counts: DataFrame, total: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Bigrams that are more than one in HOT of all, at most HOT of them, with both counts."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for keys, corpus, target in zip(*(batch.column(c).to_pylist() for c in range(3))):
-                keys, corpus, target = np.frombuffer(keys, np.uint32), np.frombuffer(corpus, np.int64), np.frombuffer(target, np.int64)
-                at = corpus > total / HOT
-                yield pa.RecordBatch.from_arrays([pa.array(keys[at].astype(np.int64)), pa.array(corpus[at]), pa.array(target[at])], ["key", "corpus", "target"])
-
-    found = counts.select("keys", "corpus", "target").mapInArrow(run, "key long, corpus long, target long").toArrow()
-    order = np.argsort(found.column("key").to_numpy())
-    return tuple(found.column(c).to_numpy()[order] for c in ("key", "corpus", "target"))
-
-
-def _lookup(keys: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    if not len(keys):
-        return np.zeros(len(wanted), np.int64), np.zeros(len(wanted), bool)
-    at = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
-    return at, keys[at] == wanted
-
+            for doc_id, chosen, data in zip(*(batch.column(c).to_pylist() for c in range(3))):
+                found = words(data)
+                held.append((doc_id, chosen, np.fromiter(map(known.__getitem__, found), np.uint32, len(found))))
+                size += len(found) + 1
+                if size >= step_tokens:
+                    yield step()
+                    held, known, size = [], defaultdict(count().__next__), 0
+        if held:
+            yield step()
+
+    return texts.select("doc_id", "chosen", "data").mapInArrow(run, _STEPS_DDL)
+
+
+class Step:
+    """A step's words and bigrams: numbers in the step, hashes, and where they occur."""
+
+    def __init__(self, n_words: int, hashed: bytes, ids: bytes, lengths: np.ndarray, chosen: np.ndarray):
+        self.lengths, self.n_words = lengths, n_words
+        self.hashes = np.r_[unpacked(hashed, np.uint64, n_words), _ENDS]
+        self.ids = unpacked(ids, np.uint32, int(lengths.sum())).astype(np.int64)
+        self.begin, self.end, self.width = n_words, n_words + 1, n_words + 2
+        ends = np.cumsum(lengths)
+        before, after = np.insert(self.ids, ends - lengths, self.begin), np.insert(self.ids, ends, self.end)
+        self.doc = np.repeat(np.arange(len(lengths)), lengths + 1)
+        self.weight = chosen.astype(float)
+        self.pairs, self.at = np.unique(before * self.width + after, return_inverse=True)
+        self.before, self.after = self.pairs // self.width, self.pairs % self.width
+
+    def counts(self, kind: int) -> tuple[np.ndarray, np.ndarray]:
+        """How often each word or bigram occurs, in all documents and in the chosen ones."""
+        if kind == WORDS:
+            at, weight, n = self.ids, np.repeat(self.weight, self.lengths), self.n_words
+        else:
+            at, weight, n = self.at, self.weight[self.doc], len(self.pairs)
+        return np.bincount(at, minlength=n).astype(np.int64), np.bincount(at, weight, n).astype(np.int64)
+
+    def dealt(self, kind: int, buckets: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        """For each bucket the numbers of what it gets, and their keys in ascending order."""
+        with np.errstate(over="ignore"):
+            own = self.hashes[: self.n_words] if kind == WORDS else self.hashes[self.before] * _ODD + self.hashes[self.after]
+        hashed = mix64(own, 1 + kind)
+        bucket, key = hashed % np.uint64(buckets), hashed // np.uint64(buckets)
+        order = np.lexsort((key, bucket))
+        for part in np.split(order, np.flatnonzero(np.diff(bucket[order])) + 1):
+            if len(part):
+                yield int(bucket[part[0]]), part, key[part]
+
+
+def _opened(table: pa.RecordBatch | pa.Table) -> Iterator[tuple[dict, Step]]:
+    for row in table.to_pylist():
+        yield row, Step(row["n_words"], row["words"], row["ids"], np.array(row["lengths"], np.int64), np.array(row["chosen"], bool))
+
+
+def sums(stepped: DataFrame, buckets: int) -> DataFrame:
+    """For each step, kind and bucket the counts over all documents of what the step sent there, in its order.
+
+    A row of each bucket without step has the number of different words or bigrams in it.
+    """
 
-def lm_scores(docs: DataFrame, target: DataFrame, vocabulary: int = VOCABULARY) -> DataFrame:
-    """doc_id, n_tokens, target_loss, background_loss and score of every row of ``docs``.
+    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row, step in _opened(batch):
+                rows = []
+                for kind in (WORDS, BIGRAMS):
+                    corpus, target = step.counts(kind)
+                    for bucket, part, keys in step.dealt(kind, buckets):
+                        sent = {"keys": packed(keys), "corpus": packed(corpus[part]), "target": packed(target[part])}
+                        rows.append({"bucket": bucket, "kind": kind, "step": row["step"], "n": len(part)} | sent)
+                yield pa.RecordBatch.from_pylist(rows, _PACKETS)
+
+    def answer(packets: pa.Table) -> pa.Table:
+        rows = packets.to_pylist()
+        keys, at = np.unique(np.concatenate([unpacked(r["keys"], np.uint64, r["n"]) for r in rows]), return_inverse=True)
+        totals = []
+        for model in ("corpus", "target"):
+            total = np.zeros(len(keys), np.int64)
+            np.add.at(total, at, np.concatenate([unpacked(r[model], np.int64, r["n"]) for r in rows]))
+            totals.append(total)
+        out = [{"bucket": rows[0]["bucket"], "kind": rows[0]["kind"], "n": len(keys)}]
+        ends = np.cumsum([r["n"] for r in rows])
+        for r, own in zip(rows, np.split(at, ends[:-1])):
+            found = {m: packed(total[own]) for m, total in zip(("corpus", "target"), totals)}
+            out.append({"bucket": r["bucket"], "kind": r["kind"], "step": r["step"], "n": r["n"]} | found)
+        return pa.Table.from_pylist(out, _REPLIES)
+
+    packets = stepped.mapInArrow(send, _PACKETS_DDL)
+    return packets.groupBy("bucket", "kind").applyInArrow(answer, _REPLIES_DDL)
+
+
+def lm_scores(docs: DataFrame, target: DataFrame, step_tokens: int = STEP_TOKENS, bucket_keys: int = BUCKET_KEYS) -> DataFrame:
+    """doc_id, n_tokens, target_loss, background_loss and score of every row of ``docs`` (doc_id, text).
 
     ``target`` holds the doc_id of each target document. Losses are per predicted token,
     of which a document has one more than words (its end), so a text that is null or empty
-    has a score too. Without target documents the target model knows only the vocabulary.
-    Rows with a null doc_id belong to no target; repeated rows are scored and counted as
-    often as they occur. Other columns are ignored.
+    has a score too. Every word that occurs is in the vocabulary. Without target documents the
+    target model knows only the vocabulary. Rows with a null doc_id belong to no target;
+    repeated rows are scored and counted as often as they occur. No rows give no rows, other
+    columns are ignored. The words of a text are in one step, whatever its length. Sizes of
+    steps and buckets bound memory and do not change the result.
     """
-    spark = docs.sparkSession
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).cast("binary").alias("data"))
-    counts = stored(word_counts(texts), "lm-words")
-    # a plain limit would send the driver that many rows of every task
-    placed = numbered(counts, [F.col("n").desc(), F.col("word")], "place").where(F.col("place") < vocabulary)
-    ranked = sorted(placed.select("place", "word").collect())
-    chosen = target.select(F.col("doc_id").cast("long").alias("_target")).where("_target is not null").distinct()
-    coded = encoded(texts, [r["word"] for r in ranked])
-    flagged = coded.join(chosen.hint("merge"), coded["doc_id"] == chosen["_target"], "left")
-    ids = flagged.select(F.monotonically_increasing_id().alias("row"), "doc_id", F.col("_target").isNotNull().alias("target"), "ids")
-    ids = stored(ids, "lm-ids")
-
-    unigrams = unigram_counts(ids)
-    total = int(unigrams[0].sum())
-    buckets = max(1, math.ceil(total / BUCKET_TOKENS))
-    # a bigram just below the hot ones is dealt to so many tasks that each stays within a bucket
-    salts = max(1, math.ceil(total / HOT / BUCKET_TOKENS))
-    model = stored(bigram_counts(ids, buckets), "lm-bigrams")
-    pair = Pair(unigrams, len(ranked))
-    shared = spark.sparkContext.broadcast((pair, _hot(model, total)))
-
-    def local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pair, (keys, *hot_counts) = shared.value
-        for (rows, doc_ids, _), grams, doc, lengths in _steps(batches):
-            at, hot = _lookup(keys, grams.astype(np.int64))
-            losses = pair.losses(grams[hot], tuple(c[at[hot]] for c in hot_counts)) if hot.any() else [np.zeros(0)] * 2
-            background, wanted = (np.bincount(doc[hot], x, len(rows)) for x in losses)
-            own = {"doc_ids": doc_ids, "n_tokens": lengths.tolist(), "background": background.tobytes(), "wanted": wanted.tobytes()}
-            out = [{"step": rows[0], **own}]
-            cold = np.flatnonzero(~hot)
-            for bucket, part in _dealt(grams[cold], buckets):
-                docs, member = np.unique(doc[cold[part]], return_inverse=True)
-                packet = {"docs": docs.astype(np.uint32), "member": member.astype(np.uint32), "grams": grams[cold[part]]}
-                out.append({"step": rows[0], "bucket": bucket, "salt": rows[0] % salts} | {c: x.tobytes() for c, x in packet.items()})
-            yield pa.RecordBatch.from_pylist(out, _STEPS)
-
-    def cold(packets: pa.Table, counts: pa.Table) -> pa.Table:
-        """For each packet the losses of its documents, in their order."""
-        pair, out = shared.value[0], []
-        if packets.num_rows and counts.num_rows:
-            keys = np.frombuffer(counts.column("keys")[0].as_py(), np.uint32)
-            known = [np.frombuffer(counts.column(c)[0].as_py(), np.int64) for c in ("corpus", "target")]
-            for step, docs, member, grams in zip(*(packets.column(c).to_pylist() for c in ("step", "docs", "member", "grams"))):
-                member, grams = np.frombuffer(member, np.uint32), np.frombuffer(grams, np.uint32)
-                at, _ = _lookup(keys, grams)
-                sums = [np.bincount(member, x) for x in pair.losses(grams, (known[0][at], known[1][at]))]
-                out.append({"step": step, "docs": docs, "background": sums[0].tobytes(), "wanted": sums[1].tobytes()})
-        return pa.Table.from_pylist(out, pa.schema([_STEPS.field(c) for c in ("step", "docs", "background", "wanted")]))
-
-    def merge(parts: pa.Table) -> pa.Table:
-        """A step's documents with all their losses; one row holds what was scored at once."""
-        rows = parts.to_pylist()
-        own = next(r for r in rows if r["doc_ids"] is not None)
-        sums = {m: np.frombuffer(own[m]).copy() for m in ("background", "wanted")}
-        for r in rows:
-            if r["doc_ids"] is None:
-                for m, total in sums.items():
-                    total[np.frombuffer(r["docs"], np.uint32)] += np.frombuffer(r[m])
-        each = np.array(own["n_tokens"]) + 1
-        # sums of doubles depend on their order in the last digits
-        losses = {"target_loss": sums["wanted"] / each, "background_loss": sums["background"] / each}
-        losses["score"] = losses["target_loss"] - losses["background_loss"]
-        ids = {"doc_id": pa.array(own["doc_ids"], pa.int64()), "n_tokens": pa.array(own["n_tokens"], pa.int64())}
-        return pa.table(ids | {c: pa.array(np.round(x, 9)) for c, x in losses.items()})
-
-    scored = stored(ids.select("row", "doc_id", "target", "ids").mapInArrow(local, _STEPS_DDL), "lm-local")
-    packets = scored.where("bucket is not null").select("step", "bucket", "salt", "docs", "member", "grams")
-    salted = model.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long"))))
-    far = packets.groupBy("bucket", "salt").cogroup(salted.groupBy("bucket", "salt")).applyInArrow(
-        cold, "step long, docs binary, background binary, wanted binary"
-    )
-    own = scored.where("bucket is null").select("step", "doc_ids", "n_tokens", "background", "wanted")
-    both = own.unionByName(far, allowMissingColumns=True)
-    return both.groupBy("step").applyInArrow(
-        merge, "doc_id long, n_tokens long, target_loss double, background_loss double, score double"
+    picked = target.select(F.col("doc_id").cast("long").alias("_target")).where("_target is not null").distinct()
+    named = texts.where("doc_id is not null").join(picked.hint("merge"), F.col("doc_id") == F.col("_target"), "left")
+    flagged = named.select("doc_id", F.col("_target").isNotNull().alias("chosen"), "data")
+    flagged = flagged.union(texts.where("doc_id is null").select("doc_id", F.lit(False), "data"))
+    stepped = stored(steps(flagged, step_tokens), "lm-steps")
+
+    totals = stepped.agg(*[F.sum(F.col(c)[m]) for c in ("tokens", "docs") for m in (0, 1)]).first()
+    tokens, n_docs = (np.array([x or 0 for x in part], float) for part in (totals[:2], totals[2:]))
+    buckets = max(1, math.ceil((tokens[0] + n_docs[0]) / bucket_keys))
+    replies = stored(sums(stepped, buckets), "lm-sums")
+    vocabulary = replies.where(f"step is null and kind = {WORDS}").agg(F.sum("n")).first()[0] or 0
+
+    def score(own: pa.Table, answers: pa.Table) -> pa.Table:
+        out = {c: [] for c in ("doc_id", "n_tokens", "target_loss", "background_loss", "score")}
+        for row, step in _opened(own):
+            found = {(r["kind"], r["bucket"]): r for r in answers.to_pylist()}
+            losses = []
+            for m, model in enumerate(("corpus", "target")):
+                summed = []
+                for kind, size in ((WORDS, step.n_words), (BIGRAMS, len(step.pairs))):
+                    values = np.zeros(size)
+                    for bucket, part, _ in step.dealt(kind, buckets):
+                        answer = found[kind, bucket]
+                        values[part] = unpacked(answer[model], np.int64, answer["n"])
+                    summed.append(values)
+                # a document begins and ends once; its end is predicted, its begin is not
+                unigrams = np.r_[summed[0], n_docs[m], n_docs[m]]
+                prior = (unigrams[step.after] + 1) / (tokens[m] + n_docs[m] + vocabulary + 2)
+                loss = -np.log((summed[1] + PRIOR * prior) / (unigrams[step.before] + PRIOR))
+                losses.append(np.bincount(step.doc, loss[step.at], len(step.lengths)) / (step.lengths + 1))
+            out["doc_id"] += row["doc_ids"]
+            out["n_tokens"] += row["lengths"]
+            for name, values in (("target_loss", losses[1]), ("background_loss", losses[0]), ("score", losses[1] - losses[0])):
+                # sums of doubles differ in the last digits from one machine to another
+                out[name] += np.round(values, 9).tolist()
+        types = (pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.float64())
+        return pa.table({name: pa.array(values, t) for (name, values), t in zip(out.items(), types)})
+
+    answers = replies.where("step is not null").groupBy("step")
+    return stepped.groupBy("step").cogroup(answers).applyInArrow(
+        score, "doc_id long, n_tokens long, target_loss double, background_loss double, score double"
     )
-
-
-_STEPS = pa.schema([
-    ("step", pa.int64()), ("doc_ids", pa.list_(pa.int64())), ("n_tokens", pa.list_(pa.int64())), ("background", pa.binary()),
-    ("wanted", pa.binary()), ("bucket", pa.int64()), ("salt", pa.int64()), ("docs", pa.binary()), ("member", pa.binary()), ("grams", pa.binary()),
-])
-_STEPS_DDL = (
-    "step long, doc_ids array<long>, n_tokens array<long>, background binary, wanted binary, "
-    "bucket long, salt long, docs binary, member binary, grams binary"
-)

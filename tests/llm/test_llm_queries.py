@@ -12,7 +12,7 @@ from fixtures import ROWS, documents
 from test_dedup import brute_components, brute_fingerprint
 from test_near_copies import brute_kept
 from test_periodic import brute_row
-from test_text_models import brute_targets
+from test_text_models import brute_lm, brute_targets
 from tokenizers import Tokenizer
 
 import __spark_entry__ as entry_module
@@ -104,6 +104,14 @@ def test_periodic_runs(spark, texts):
     assert sum(r[1] > 0 for r in got) > len(texts) // 20
 
 
+def test_lm_scoring(spark, duck):
+    rows = duck.execute("SELECT doc_id, text FROM documents").fetchall()
+    good = {r[0] for r in duck.execute("SELECT doc_id FROM labels WHERE quality = 1").fetchall()}
+    got = rows_of(spark, "op6_lm_scoring", "doc_id", "n_tokens", "target_loss", "background_loss")
+    for found, want in zip(got, sorted(brute_lm(rows, good)), strict=True):
+        assert found[:2] == want[:2] and found[2:] == pytest.approx(want[2:], abs=1e-7)
+
+
 def test_scores_cover_every_document(spark, texts):
     for name in ("op6_lm_scoring", "op9_importance_selection", "op7_source_mix"):
         assert [r[0] for r in rows_of(spark, name, "doc_id")] == sorted(texts)

@@ -348,28 +348,23 @@ def brute_lm(rows, good):
         for m in [0, 1] if chosen else [0]:
             uni[m].update(line)
             bi[m].update(zip(line, line[1:]))
-    out = []
+    out, predicted = [], [sum(v for w, v in uni[m].items() if w != "<") for m in (0, 1)]
     for d, words, _ in docs:
         line, sums = ["<", *words, ">"], [0.0, 0.0]
         for a, b in zip(line, line[1:]):
             for m in (0, 1):
-                n = sum(v for w, v in uni[m].items() if w != "<")
-                prior = (uni[m][b] + 1) / (n + len(ids) + 2)
+                prior = (uni[m][b] + 1) / (predicted[m] + len(ids) + 2)
                 sums[m] -= math.log((bi[m][a, b] + lm_scoring.PRIOR * prior) / (uni[m][a] + lm_scoring.PRIOR))
         each = len(words) + 1
         out.append((d, len(words), sums[1] / each, sums[0] / each))
     return sorted(out, key=repr)
 
 
-@pytest.mark.parametrize("dealt", [False, True])
-def test_lm_scores(spark, monkeypatch, dealt):
-    if dealt:
-        # many buckets, and hardly a bigram that every task knows
-        monkeypatch.setattr(lm_scoring, "BUCKET_TOKENS", 500)
-        monkeypatch.setattr(lm_scoring, "HOT", 20)
+@pytest.mark.parametrize("sizes", [{}, {"step_tokens": 20, "bucket_keys": 500}, {"step_tokens": 1, "bucket_keys": 10**4}])
+def test_lm_scores(spark, sizes):
     rows = [r for r in ROWS if r[0] != 12] + [(13, "The Cat sat! on two mats", None, None)]
     target = spark.createDataFrame([(1,), (10,), (10,), (None,), (999,)], "doc_id long")
-    found = lm_scoring.lm_scores(documents(spark, rows), target)
+    found = lm_scoring.lm_scores(documents(spark, rows), target, **sizes)
     got = collected(found, "doc_id", "n_tokens", "target_loss", "background_loss", "score")
     want = brute_lm(rows, {1, 10})
     assert len(got) == len(want)
@@ -383,14 +378,21 @@ def test_lm_scores_without_rows_or_target(spark):
     assert lm_scoring.lm_scores(documents(spark), none).count() == len(ROWS)
 
 
-def test_words_beyond_the_vocabulary_are_one(spark):
-    rows = [(1, "a a b c", None, None), (2, "a x y", None, None)]
-    target = spark.createDataFrame([(1,)], "doc_id long")
-    few = collected(lm_scoring.lm_scores(documents(spark, rows), target, vocabulary=1), "doc_id", "n_tokens", "score")
-    same = [(1, "a a u u", None, None), (2, "a u u", None, None)]
-    assert [r[:2] for r in few] == [(1, 4), (2, 3)]
-    both = collected(lm_scoring.lm_scores(documents(spark, same), target, vocabulary=1), "doc_id", "n_tokens", "score")
-    assert few == both
+def test_every_word_is_in_the_vocabulary(spark):
+    """More words than 16 bits can number are all told apart."""
+    rows = [(i, " ".join(f"w{n}" for n in range(1000 * i, 1000 * i + 1000)), "en", "a") for i in range(70)] + [(99, "w5 w69005", "en", "a")]
+    target = spark.createDataFrame([(0,)], "doc_id long")
+    found = {r["doc_id"]: r for r in lm_scoring.lm_scores(documents(spark, rows), target, step_tokens=5000).collect()}
+    want = {r[0]: r for r in brute_lm(rows, {0})}
+    for doc_id, row in found.items():
+        assert (row["target_loss"], row["background_loss"]) == pytest.approx(want[doc_id][2:], abs=1e-7)
+
+
+def test_numbers_by_byte_planes():
+    for dtype in (np.uint32, np.int64, np.uint64):
+        for values in ([], [0], [1, 2**31, 7] * 1000):
+            array = np.array(values, dtype)
+            assert (lm_scoring.unpacked(lm_scoring.packed(array), dtype, len(array)) == array).all()
 
 
 def brute_ratio(rows, good):

@@ -7,11 +7,13 @@ from pyspark.sql import functions as F
 
 from tarnwheel.functions import money
 from tarnwheel.functions.times import DAY, HOUR, MINUTE, from_micros, naive, to_micros
+from tarnwheel.operators import sketches
 from tarnwheel.operators.intervals import interval_totals, latest_before
 from tarnwheel.operators.ordered import neighbours, ordered
 from tarnwheel.operators.paths import transitions
 from tarnwheel.operators.sessions import sessions
 from tarnwheel.plans.registry import query
+from tarnwheel.session import scratch_path
 from tarnwheel.sources.tables import load_table
 
 
@@ -371,3 +373,48 @@ def value_histogram(spark: SparkSession, folder: str) -> DataFrame:
         .groupBy(bins.alias("bin"))
         .agg(F.count(F.lit(1)).alias("n"), F.min("value").alias("low"), F.max("value").alias("high"))
     )
+
+
+@query(
+    """
+    SELECT event_type, date_trunc('month', ts)::TIMESTAMP AS month, count(*) AS events, count(DISTINCT user_id) AS users,
+           true AS users_close, true AS quantiles_close
+    FROM events GROUP BY 1, 2
+    """
+)
+def monthly_sketches(spark: SparkSession, folder: str) -> DataFrame:
+    """Daily sketches of users and values, kept and merged by month, against the exact counts and ranks.
+
+    The older days are kept first, the newer ones and one day again after them, as when days
+    come in one after the other. Distinct counts must lie within four standard errors, the
+    ranks of three quantiles within three times the error their sketch states.
+    """
+    events = load_table(spark, folder, "events")
+    daily = sketches.daily_sketches(events, ["event_type"], "ts", "user_id", "value")
+    path = scratch_path(spark, "daily-sketches")
+    middle = daily.agg(F.expr("date_add(min(day), CAST(datediff(max(day), min(day)) div 2 AS INT))")).scalar()
+    for days in (F.col(sketches.DAY) <= middle, F.col(sketches.DAY) >= middle):
+        sketches.keep_days(daily.where(days), path)
+    month = F.date_trunc("month", F.col(sketches.DAY)).cast("timestamp_ntz")
+    kept = sketches.merged(sketches.kept_days(spark, path, daily), ["event_type"], month, "month")
+    marks = {q: f"q{round(100 * q)}" for q in (0.1, 0.5, 0.9)}
+    estimated = kept.select(
+        "event_type", "month", "n", sketches.distinct_estimate("members").alias("estimate"),
+        *[sketches.quantile("values", q).alias(name) for q, name in marks.items()],
+    )
+    exact = events.withColumn("month", F.date_trunc("month", "ts").cast("timestamp_ntz"))
+    users = exact.groupBy("event_type", "month").agg(F.count_distinct("user_id").alias("users"))
+    # one row per type and month
+    placed = exact.join(F.broadcast(estimated), ["event_type", "month"]).groupBy("event_type", "month").agg(
+        F.count("value").alias("values"),
+        *[F.count(F.when(F.col("value") < F.col(m), 1)).alias(f"{m}_below") for m in marks.values()],
+        *[F.count(F.when(F.col("value") <= F.col(m), 1)).alias(f"{m}_upto") for m in marks.values()],
+    )
+    close = F.lit(True)
+    for q, name in marks.items():
+        slack = 3 * sketches.RANK_ERROR * F.col("values") + 1
+        wanted = q * F.col("values")
+        close = close & (F.col(f"{name}_below") - slack <= wanted) & (wanted <= F.col(f"{name}_upto") + slack)
+    joined = estimated.join(users, ["event_type", "month"]).join(placed, ["event_type", "month"])
+    near = F.abs(F.col("estimate") - F.col("users")) <= 4 * sketches.DISTINCT_ERROR * F.col("users")
+    return joined.select("event_type", "month", F.col("n").alias("events"), "users", near.alias("users_close"), close.alias("quantiles_close"))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tarnwheel.operators.pages import canonical_pages as find_canonical
 from tarnwheel.operators.rowcounts import count_in_rows
 from tarnwheel.operators.search import bm25, tf_idf
 from tarnwheel.plans.registry import query
@@ -104,3 +105,28 @@ def pages_per_host(spark: SparkSession, folder: str) -> DataFrame:
     return pages.groupBy(F.try_parse_url("url", F.lit("HOST")).alias("host")).agg(
         F.count(F.lit(1)).alias("pages"), F.sum(F.length("html")).alias("chars")
     )
+
+
+_NORMAL = r"""regexp_replace(regexp_replace(regexp_replace(lower(trim({})), '[?#].*$', ''), '^https?://(www\.|m\.)?', ''), '/$', '')"""
+
+
+@query(
+    rf"""
+    WITH RECURSIVE
+    l AS (SELECT page_id, {_NORMAL.format("url")} AS node,
+                 regexp_extract(regexp_extract(html, '(?is)<link\b[^>]*\brel\s*=\s*["'']?canonical\b[^>]*>'), '(?i)\bhref\s*=\s*["'']([^"''>]*)["'']', 1) AS href FROM pages),
+    t AS (SELECT page_id, node, CASE WHEN regexp_matches(href, '(?i)^https?://') THEN {_NORMAL.format("href")}
+                 WHEN href LIKE '/%' AND href NOT LIKE '//%' THEN {_NORMAL.format("split_part(node, '/', 1) || href")} END AS target FROM l),
+    p AS (SELECT node, coalesce(arg_min(target, page_id) FILTER (target IS NOT NULL), node) AS target FROM t GROUP BY node),
+    w AS (SELECT node, target AS "end", 1 AS depth FROM p
+          UNION ALL SELECT w.node, p.target, depth + 1 FROM w JOIN p ON p.node = w."end" WHERE p.target <> w."end" AND depth < 200),
+    d AS (SELECT node, max(depth) = 200 AS in_cycle, CASE WHEN max(depth) = 200 THEN min("end") FILTER (depth > 100) ELSE arg_max("end", depth) END AS canonical
+          FROM w GROUP BY node),
+    n AS (SELECT page_id, canonical, in_cycle FROM t JOIN d USING (node))
+    SELECT page_id, canonical, min(page_id) OVER c AS first_id, count(*) OVER c AS copies, in_cycle
+    FROM n WINDOW c AS (PARTITION BY canonical)
+    """
+)
+def canonical_pages(spark: SparkSession, folder: str) -> DataFrame:
+    """The canonical URL of every page, and how many pages share it."""
+    return find_canonical(load_table(spark, folder, "pages"))

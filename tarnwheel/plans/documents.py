@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tarnwheel.operators import contamination, lines
+from tarnwheel.operators import contamination, lines, redaction
 from tarnwheel.operators.similar_sets import Similar, similar_texts
 from tarnwheel.plans.registry import query
 from tarnwheel.sources.tables import load_table, stored
@@ -125,3 +125,68 @@ def dedup_lines(spark: SparkSession, folder: str) -> DataFrame:
 def dedup_corpus_lines(spark: SparkSession, folder: str) -> DataFrame:
     """Every document with only those lines that no earlier document, and no earlier place in it, has."""
     return lines.without_corpus_repeats(load_table(spark, folder, "documents").select("doc_id", "text"))
+
+
+# boundaries of words are those of ASCII here, too
+_PII_PATTERNS = {
+    "EMAIL": r"[0-9A-Za-z_.+-]+@[0-9A-Za-z_-]+\.[0-9A-Za-z_.]+",
+    "CARD": r"\b(?:[0-9][ -]?){15}[0-9]\b",
+    "PHONE": r"\+[0-9][0-9 ()-]{7,}[0-9]",
+    "IP": r"\b[0-9]{1,3}(?:\.[0-9]{1,3}){3}\b",
+}
+_LUHN = "list_sum(list_transform(range(1, 17), lambda i: CASE WHEN i % 2 = 0 THEN {d} WHEN {d} > 4 THEN 2 * {d} - 9 ELSE 2 * {d} END)) % 10 = 0".format(
+    d="CAST(regexp_replace(x, '[ -]', '', 'g')[i] AS INT)"
+)
+_PII_VALID = {"CARD": _LUHN, "IP": "len(list_filter(string_split(x, '.'), lambda o: CAST(o AS INT) > 255)) = 0"}
+
+
+def _covered_sql() -> str:
+    """Texts with spans written over, one kind after the other, as in ``redaction``."""
+    steps = [f"c0 AS (SELECT doc_id, regexp_replace(text, '{redaction.ALL_BLOCKS}', chr(65533), 'g') AS t FROM documents)"]
+    ascii_sql = redaction.ASCII.replace("'", "''")
+    for number, (name, pattern) in enumerate(_PII_PATTERNS.items()):
+        first, rest = redaction.blocks(number)
+        over = f"translate(x[1], '{ascii_sql}', '{first}') || translate(x[2:], '{ascii_sql}', '{rest}')"
+        if name in _PII_VALID:
+            over = f"CASE WHEN {_PII_VALID[name]} THEN {over} ELSE x END"
+        steps.append(
+            f"s{number} AS (SELECT doc_id, string_split_regex(t, '{pattern}') AS p, list_transform(regexp_extract_all(t, '{pattern}'), lambda x: {over}) AS f FROM c{number})"
+        )
+        joined = "array_to_string(list_transform(range(1, len(p) + 1), lambda i: p[i] || coalesce(f[i], '')), '')"
+        steps.append(f"c{number + 1} AS (SELECT doc_id, {joined} AS t FROM s{number})")
+    return ", ".join(steps)
+
+
+def _pii_span(number: int) -> str:
+    start = redaction.BLOCK + 2 * number * redaction.BLOCK_SIZE
+    return rf"[\x{{{start:x}}}-\x{{{start + 255:x}}}][\x{{{start + 256:x}}}-\x{{{start + 511:x}}}]*"
+
+
+_REDACTED_SQL, _SPANS_SQL = "t", []
+for _number, _name in enumerate(_PII_PATTERNS):
+    _REDACTED_SQL = f"regexp_replace({_REDACTED_SQL}, '{_pii_span(_number)}', '[{_name}]', 'g')"
+    _SPANS_SQL.append(f"len(regexp_extract_all(t, '{_pii_span(_number)}'))")
+_PIECES = "|".join([*map(_pii_span, range(len(_PII_PATTERNS))), redaction.ALL_BLOCKS.replace("[", "[^", 1) + "+"])
+
+
+@query(f"WITH {_covered_sql()} SELECT doc_id, {_REDACTED_SQL} AS text, CAST({' + '.join(_SPANS_SQL)} AS BIGINT) AS n_spans FROM c{len(_PII_PATTERNS)}")
+def redact_pii(spark: SparkSession, folder: str) -> DataFrame:
+    """Every document with e-mail addresses, card and phone numbers and IP addresses redacted."""
+    return redaction.redact(load_table(spark, folder, "documents").select("doc_id", "text"))
+
+
+@query(
+    f"""
+    WITH {_covered_sql()},
+         p AS (SELECT doc_id, regexp_extract_all(t, '{_PIECES}') AS ps FROM c{len(_PII_PATTERNS)}),
+         u AS (SELECT doc_id, unnest(ps) AS piece, generate_subscripts(ps, 1) AS nth FROM p),
+         o AS (SELECT *, CAST(coalesce(sum(length(piece)) OVER (PARTITION BY doc_id ORDER BY nth ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS start,
+                      (unicode(piece) - {redaction.BLOCK}) // {2 * redaction.BLOCK_SIZE} AS number FROM u)
+    SELECT doc_id, {list(_PII_PATTERNS)}[number + 1] AS kind, start, length(piece) AS length,
+           array_to_string(list_transform(range(1, length(piece) + 1), lambda i: chr(CAST(unicode(piece[i]) % 256 AS INT))), '') AS found
+    FROM o WHERE number >= 0 AND number < {len(_PII_PATTERNS)}
+    """
+)
+def pii_spans(spark: SparkSession, folder: str) -> DataFrame:
+    """Where personal data stands in the documents, which undoes the redaction."""
+    return redaction.spans(load_table(spark, folder, "documents").select("doc_id", "text"))

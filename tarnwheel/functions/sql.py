@@ -38,3 +38,11 @@ def register_tables(spark: SparkSession, folder: str, names: Sequence[str]) -> N
     """Views of the named tables; only these are opened."""
     for name in names:
         load_table(spark, folder, name).createOrReplaceTempView(f"{PREFIX}{name}")
+
+
+def unregister(spark: SparkSession, names: Sequence[str]) -> None:
+    """Take away the views of the named tables and all functions; queries made before keep working."""
+    for name in names:
+        spark.catalog.dropTempView(f"{PREFIX}{name}")
+    for signature in SQL_FUNCTIONS:
+        spark.sql(f"DROP TEMPORARY FUNCTION IF EXISTS {PREFIX}{signature.split('(')[0]}")

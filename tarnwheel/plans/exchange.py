@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tarnwheel.functions import money
-from tarnwheel.functions.sql import register_functions, register_tables
+from tarnwheel.functions.sql import register_functions, register_tables, unregister
 from tarnwheel.plans.registry import query
 from tarnwheel.session import scratch_path
 from tarnwheel.sources.sinks import FORMATS, export, import_rows, write_partitioned
@@ -72,7 +72,7 @@ def brand_revenue_sql(spark: SparkSession, folder: str) -> DataFrame:
     """
     register_tables(spark, folder, ["lineitem", "part"])
     register_functions(spark)
-    return spark.sql(
+    revenue = spark.sql(
         """
         WITH per_part AS (
           SELECT l_partkey, count(*) AS n, sum(CAST(tarnwheel_net_units(l_extendedprice, l_discount) AS DECIMAL(20, 0))) AS net
@@ -81,3 +81,6 @@ def brand_revenue_sql(spark: SparkSession, folder: str) -> DataFrame:
         FROM per_part JOIN tarnwheel_part ON p_partkey = l_partkey GROUP BY p_brand
         """
     )
+    # the plan is made; the session's owner finds no names left behind
+    unregister(spark, ["lineitem", "part"])
+    return revenue

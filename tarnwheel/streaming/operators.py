@@ -31,27 +31,30 @@ def dedup(
 
 
 def followed_within_hour(
-    later: DataFrame, earlier: DataFrame, key: str, event_time: str, delay: str
+    later: DataFrame, earlier: DataFrame, key: str, event_time: str, delay: str, slots: int = 1
 ) -> DataFrame:
     """Rows of ``later`` with a row of ``earlier`` of the same key in the hour up to it.
 
-    A semi join, so a row comes out once however many it follows. State is kept per
-    key and clock hour, which spreads a key that dominates the stream.
+    A semi join, so a row comes out once however many it follows. State is kept per key and
+    slot of time, of which an hour has ``slots``. What a key that dominates the stream has in
+    one slot meets in one task; more slots spread it further, at one more copy of the earlier
+    rows for each.
     """
-    hour = F.floor(to_micros(event_time) / HOUR)
-    left = later.withColumn("_hour", hour).withWatermark(event_time, delay)
+    slot = F.floor(to_micros(event_time) / (HOUR // slots))
+    left = later.withColumn("_slot", slot).withWatermark(event_time, delay)
     right = (
         earlier.select(
             F.col(key).alias("_key"),
             F.col(event_time).alias("_at"),
-            F.explode(F.array(hour, hour + 1)).alias("_slot"),
+            # HOUR // slots is a little less than a part of an hour where it does not divide evenly
+            F.explode(F.sequence(slot, slot + slots + (1 if HOUR % slots else 0))).alias("_in"),
         )
         .withWatermark("_at", delay)
     )
     condition = (
         (left[key] == right["_key"])
-        & (left["_hour"] == right["_slot"])
+        & (left["_slot"] == right["_in"])
         & (right["_at"] <= left[event_time])
         & (right["_at"] > left[event_time] - F.expr("INTERVAL 1 HOUR"))
     )
-    return left.join(right, condition, "left_semi").drop("_hour")
+    return left.join(right, condition, "left_semi").drop("_slot")

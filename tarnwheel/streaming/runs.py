@@ -46,6 +46,9 @@ def batch_table(
     """
     path = scratch_path(spark, label)
 
+    # a table without rows is one, too
+    spark.createDataFrame([], schema).write.parquet(f"{path}/batch=none")
+
     def write(batch: DataFrame, batch_id: int) -> None:
         step(batch).write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
 
@@ -64,18 +67,43 @@ def complete_table(spark: SparkSession, stream: DataFrame, label: str) -> DataFr
     return spark.read.schema(stream.schema).parquet(path)
 
 
-def update_table(spark: SparkSession, stream: DataFrame, keys: Sequence[str], label: str) -> DataFrame:
-    """The latest row of every key. A batch that is tried again replaces its own folder."""
+# after so many micro-batches their updates become one table
+FOLD_EVERY = 16
+
+
+def update_table(
+    spark: SparkSession, stream: DataFrame, keys: Sequence[str], label: str, fold_every: int | None = None
+) -> DataFrame:
+    """The latest row of every key. A batch that is tried again replaces its own folder.
+
+    Every ``fold_every`` batches what has been kept is folded to one row per key, so what is
+    read in the end is that row and the updates of so many batches, however long the stream runs.
+    """
     path = scratch_path(spark, label)
+    fold_every = fold_every or FOLD_EVERY
+    values = [c for c in stream.columns if c not in keys]
+    schema = T.StructType([*stream.schema.fields, T.StructField("_batch", T.LongType())])
+    folded = [-1]
+
+    def latest(upto: int) -> DataFrame:
+        """One row per key from the last fold and the batches after it."""
+        folders = [f"{path}/fold={folded[0]}"] if folded[0] >= 0 else []
+        folders += [f"{path}/batch={b}" for b in range(folded[0] + 1, upto + 1)]
+        rows = spark.read.schema(schema).parquet(*folders) if folders else spark.createDataFrame([], schema)
+        newest = F.max_by(F.struct(*values, "_batch"), F.col("_batch")).alias("latest")
+        return rows.groupBy(*keys).agg(newest).select(*keys, "latest.*")
+
+    last = [-1]
 
     def keep(batch: DataFrame, batch_id: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
+        batch.withColumn("_batch", F.lit(batch_id).cast("long")).write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
+        last[0] = batch_id
+        if (batch_id + 1) % fold_every == 0:
+            latest(batch_id).write.mode("overwrite").parquet(f"{path}/fold={batch_id}")
+            folded[0] = batch_id
 
     _each_batch(stream, keep, "update", path)
-    values = [c for c in stream.columns if c not in keys]
-    updates = spark.read.parquet(path)
-    latest = F.max_by(F.struct(*values), F.col("batch")).alias("latest")
-    return updates.groupBy(*keys).agg(latest).select(*keys, "latest.*")
+    return latest(last[0]).select(*stream.columns)
 
 
 def _each_batch(stream: DataFrame, write, mode: str, path: str) -> None:

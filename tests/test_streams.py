@@ -11,7 +11,7 @@ from tarnwheel.plans import ORACLES, QUERIES
 from tarnwheel.sources import tables
 from tarnwheel.sources.tables import stream_table
 from tarnwheel.streaming.operators import dedup, followed_within_hour
-from tarnwheel.streaming.runs import append_table, append_to, complete_table, rows_dropped_as_late, update_table
+from tarnwheel.streaming.runs import append_table, append_to, batch_table, complete_table, rows_dropped_as_late, update_table
 
 START = dt.datetime(2024, 5, 1)
 SMALL = "/root/testdata/sf0.001"
@@ -64,6 +64,26 @@ def test_modes_agree_on_several_batches(spark, folder):
         assert {r.w.start: r.n for r in table.collect()} == expected
 
 
+@pytest.mark.parametrize("fold_every", [1, 2, 3, 100])
+def test_updates_are_folded(spark, folder, fold_every):
+    batches = [[event(10 * b + i, 60 * i + b, user=i) for i in range(b % 3, 4)] for b in range(5)]
+    stream = stream_table(spark, folder(*batches), "events", "ts", files_per_batch=1)
+    totals = stream.groupBy("user_id").agg(F.count(F.lit(1)).alias("n"), F.max("event_id").alias("last"))
+    table = update_table(spark, totals, ["user_id"], "folded", fold_every)
+    want = {}
+    for e in sorted(e for b in batches for e in b):
+        want[e[2]] = (want.get(e[2], (0,))[0] + 1, e[0])
+    assert table.columns == ["user_id", "n", "last"]
+    assert {r["user_id"]: (r["n"], r["last"]) for r in table.collect()} == want
+
+
+def test_a_stream_without_rows_is_a_table(spark, folder):
+    stream = stream_table(spark, folder([]), "events")
+    found = batch_table(spark, stream, lambda batch: batch.select("event_id"), stream.select("event_id").schema, "nothing")
+    assert found.columns == ["event_id"] and found.collect() == []
+    assert update_table(spark, stream.groupBy("user_id").count(), ["user_id"], "none").collect() == []
+
+
 def test_dedup_across_and_within_batches(spark, folder):
     copies = [event(7, 5)] * 50
     path = folder([event(1, 0), *copies, event(2, 3)], [event(1, 0), event(3, 9), *copies])
@@ -73,7 +93,8 @@ def test_dedup_across_and_within_batches(spark, folder):
     assert sorted(r.event_id for r in once.collect()) == [1, 2, 3, 7]
 
 
-def test_followed_within_hour(spark, folder):
+@pytest.mark.parametrize("slots", [1, 7, 60])
+def test_followed_within_hour(spark, folder, slots):
     rows = [
         event(1, 0), event(2, 5), event(3, 30, kind="purchase"),  # two views, one row out
         event(4, 65, kind="purchase"),  # exactly an hour after the second view: too late
@@ -87,7 +108,7 @@ def test_followed_within_hour(spark, folder):
         stream_table(spark, path, "events", "ts").where(F.col("event_type") == kind).select("event_id", "user_id", "ts")
         for kind in ("purchase", "view")
     )
-    out = append_table(spark, followed_within_hour(purchases, views, "user_id", "ts", "1 hour"), "followed")
+    out = append_table(spark, followed_within_hour(purchases, views, "user_id", "ts", "1 hour", slots), "followed")
     assert sorted(r.event_id for r in out.collect()) == [3, 5, 8]
 
 

@@ -140,44 +140,54 @@ def _enough(common: Column, one: Column, other: Column, share: Fraction) -> Colu
     return common * (share.denominator + share.numerator) >= share.numerator * (one + other)
 
 
-def candidates(sets: DataFrame, share: Fraction, groups: DataFrame | None = None) -> DataFrame:
-    """Pairs (a, b), a < b, of (id, size, hashes) that may have the similarity.
+def rare_postings(sets: DataFrame, share: Fraction) -> DataFrame:
+    """(id, size, rest, key) of (id, size, hashes): the prefixes that begin with the rarest members.
 
-    With ``groups`` (id, group) only pairs of different groups are wanted; what all texts
-    of one group share is then no key either.
+    Keys of one set only are left out; ``rest`` is how many members come from the key on.
     """
-    shingled = sets.select("id", "size", F.explode("hashes").alias("key"))
-    # a shingle of one text only is no key
-    counts = stored(shingled.groupBy("key").agg(F.count(F.lit(1)).alias("df")).where("df > 1"), "similar-shared")
-    shared = shingled.join(counts, "key")
+    members = sets.select("id", "size", F.explode("hashes").alias("key"))
+    counts = members.groupBy("key").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
+    shared = members.join(stored(counts, "similar-shared"), "key")
     own = shared.groupBy("id", "size").agg(F.array_sort(F.collect_list(F.struct("df", "key"))).alias("known"))
-    # the shingles of this text alone come first
+    # the members of this set alone come first
     alone = (F.col("size") - F.size("known")).alias("alone")
     needed = F.ceil(F.col("size") * share.numerator / share.denominator)
     posted = (
         own.select("id", "size", "known", alone, (F.col("size") - needed + 1).cast("int").alias("prefix"))
         .where("alone < prefix")
         .select("id", "size", "alone", F.posexplode(F.slice("known", F.lit(1), (F.col("prefix") - F.col("alone")).cast("int"))).alias("nth", "posting"))
-        .select("id", "size", (F.col("size") - F.col("alone") - F.col("nth")).alias("rest"), F.col("posting.key").alias("key"))
     )
+    rest = F.col("size") - F.col("alone") - F.col("nth")
+    return stored(posted.select("id", "size", rest.alias("rest"), F.col("posting.key").alias("key")), "similar-postings")
+
+
+def candidates(posted: DataFrame, share: Fraction, groups: DataFrame | None = None) -> DataFrame:
+    """Pairs (a, b), a < b, of ``rare_postings`` that may have the similarity.
+
+    With ``groups`` (id, group) only pairs of different groups are wanted; what all texts
+    of one group share is then no key either.
+    """
     columns = ("id", "size", "rest")
     if groups is not None:
         columns = (*columns, "group")
-        posted = stored(posted.join(groups, "id"), "similar-grouped")
-        mixed = posted.groupBy("key").agg(F.min("group").alias("_low"), F.max("group").alias("_high")).where("_low < _high")
-        posted = posted.join(stored(mixed.select("key"), "similar-mixed"), "key", "left_semi")
-    posted = stored(posted, "similar-postings")
+        posted = of_several(posted, groups)
     one, other = (posted.select(F.col("key").alias(f"{s}_key"), *[F.col(c).alias(f"{s}_{c}") for c in columns]) for s in "ab")
     # the first key two texts share has at least all that they share from there on in both
-    rest = F.least("a_rest", "b_rest")
     meet = (F.col("a_key") == F.col("b_key")) & (F.col("a_id") < F.col("b_id"))
-    fits = _enough(rest, F.col("a_size"), F.col("b_size"), share)
     if groups is not None:
         meet = meet & (F.col("a_group") != F.col("b_group"))
+    fits = _enough(F.least("a_rest", "b_rest"), F.col("a_size"), F.col("b_size"), share)
     sized = share.denominator * F.least("a_size", "b_size") >= share.numerator * F.greatest("a_size", "b_size")
     return one.join(other, meet & fits & sized).select(F.col("a_id").alias("a"), F.col("b_id").alias("b")).distinct()
 
 
+def of_several(postings: DataFrame, groups: DataFrame) -> DataFrame:
+    """The postings (id, key), with the group of each id, under keys that hold more than one group."""
+    grouped = stored(postings.join(groups, "id"), "similar-grouped")
+    several = grouped.groupBy("key").agg(F.min("group").alias("_low"), F.max("group").alias("_high")).where("_low < _high")
+    return stored(grouped.join(stored(several.select("key"), "similar-several"), "key", "left_semi"), "similar-open")
+
+
 def compared(pairs: DataFrame, texts: DataFrame, words: int, share: Fraction) -> DataFrame:
     """Those of the pairs that are similar, with their sizes and common shingles."""
 
@@ -230,5 +240,5 @@ def similar_texts(
     met = only(shared_postings(first, share).select("id").distinct(), classes, "class_id")
     texts = stored(only(rows, stored(met, "similar-ids"), "id").distinct(), "similar-texts")
     sets = stored(hash_lists(texts, words, None), "similar-sets")
-    pairs = stored(candidates(sets, share), "similar-candidates")
+    pairs = stored(candidates(rare_postings(sets, share), share), "similar-candidates")
     return Similar(members, compared(pairs, texts, words, share))

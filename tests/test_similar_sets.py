@@ -79,5 +79,6 @@ def test_a_shared_passage_is_no_key(spark):
         rows = [(i, " ".join([passage, *[f"w{rng.randrange(10**9)}" for _ in range(120)]])) for i in range(n)]
         share = similar_sets.Fraction("0.8")
         texts = spark.createDataFrame(rows, "id long, data string").withColumn("data", F.col("data").cast("binary"))
-        made[n] = similar_sets.candidates(similar_sets.hash_lists(texts, 5, None), share).count()
+        posted = similar_sets.rare_postings(similar_sets.hash_lists(texts, 5, None), share)
+        made[n] = similar_sets.candidates(posted, share).count()
     assert made == {100: 0, 300: 0}

@@ -3,7 +3,7 @@
 Every vector keeps its distances to a fixed set of pivots. For a query and a candidate the
 largest difference of these distances is a lower bound of the distance between them, and so,
 with both norms, it bounds the inner product from above. Candidates are evaluated in the
-order of their bounds until the bound of the next one lies below the k-th best score.
+order of their bounds, in slices, until the bound of the next one lies below the k-th best score.
 
 Queries and candidates meet in blocks, whose number grows with the tables and whose size
 does not. Each query first meets one block, which gives it a score to beat; in all other
@@ -22,11 +22,12 @@ from pyspark.sql import functions as F
 
 from tarnwheel.llm.base import slices, stored
 
-PIVOTS = 16
+PIVOTS = 32
 QUERY_BLOCK = 8192
 CANDIDATE_BLOCK = 8192
 TILE = 256
-FIRST = 256
+# candidates of the highest bounds that a query looks at first
+FIRST = 64
 SCALE = 64
 SCHEMA = "query_id long, vec_id long, score long"
 
@@ -84,8 +85,17 @@ def _scores(q: np.ndarray, c: np.ndarray) -> np.ndarray:
     raise OverflowError("inner products of these vectors do not fit 64 bits")
 
 
-def _evaluate(queries: pa.Table, candidates: pa.Table, k: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """(query ids, candidate ids, scores): the k best of one block for each query, above its score to beat."""
+def _evaluate(
+    queries: pa.Table, candidates: pa.Table, k: int, tally: list[int] | None = None
+) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(query ids, candidate ids, scores): the k best of one block for each query, above its score to beat.
+
+    Each query takes its candidates in the order of their bounds, in slices that double from
+    FIRST. After a slice its k-th score so far is known; the query ends when the bound of its
+    next candidate lies below that. For a slice the queries of a tile that go on are multiplied
+    with those candidates that are open for one of them. ``tally`` gets the number of pairs that
+    were looked at and of those there are.
+    """
     dim = queries.column("dim")[0].as_py()
     ids = candidates.column("vec_id").to_numpy()
     c, c_far = _matrix(candidates.column("v"), dim), _matrix(candidates.column("far"), len(candidates.column("far")[0]))
@@ -95,36 +105,45 @@ def _evaluate(queries: pa.Table, candidates: pa.Table, k: int) -> Iterator[tuple
     beat = queries.column("beat").to_numpy(zero_copy_only=False).astype(np.float64)
     for start in range(0, len(all_q), TILE):
         part = slice(start, start + TILE)
-        q, far, own, floor = all_q[part], all_far[part], q_ids[part], np.nan_to_num(beat[part], nan=-np.inf)
+        q, far, own = all_q[part], all_far[part], q_ids[part]
+        floor = np.nan_to_num(beat[part], nan=-np.inf)
         apart = np.zeros((len(q), len(c)))
         for p in range(far.shape[1]):
             np.maximum(apart, np.abs(far[:, p, None] - c_far[None, :, p]), out=apart)
         bound = ((q * q).sum(axis=1)[:, None] + c_norm[None] - apart * apart) / 2
         bound += 0.5 + 1e-9 * np.abs(bound)  # scores are whole; rounding stays below this
         bound[own[:, None] == ids[None]] = -np.inf  # the query's own row
-        # the candidates of the highest bounds, and the score they leave to beat
-        first = min(FIRST, len(c))
-        lead = np.argpartition(-bound, first - 1, axis=1)[:, :first]
-        dense = None
-        for i in range(len(q)):
-            at = lead[i][np.isfinite(bound[i, lead[i]])]
-            scores = _scores(q[i : i + 1], c[at])[0] if len(at) else np.zeros(0, np.int64)
-            kth = np.partition(scores, len(scores) - k)[len(scores) - k] if len(scores) >= k else -np.inf
-            kth = max(kth, floor[i])
-            # exact stop: all that is left lies below, or goes on in bound order
-            rest = bound[i] >= kth
-            rest[lead[i]] = False
-            rest = np.flatnonzero(rest & np.isfinite(bound[i]))
-            if len(rest) > FIRST:
-                dense = _scores(q, c) if dense is None else dense
-                more = dense[i, rest]
-            else:
-                more = _scores(q[i : i + 1], c[rest])[0] if len(rest) else np.zeros(0, np.int64)
-            found, scores = np.r_[at, rest], np.r_[scores, more]
-            keep = scores >= floor[i]
-            found, scores = found[keep], scores[keep]
-            best = np.lexsort((ids[found], -scores))[:k]
-            yield np.full(len(best), own[i]), ids[found[best]], scores[best]
+        order = np.argsort(-bound, axis=1, kind="stable")
+        bound = np.take_along_axis(bound, order, axis=1)
+        kth, going = floor.copy(), np.arange(len(q))
+        found = [[(np.zeros(0, np.int64), np.zeros(0, np.int64))] for _ in q]
+        at, size, looked = 0, FIRST, 0
+        while at < len(c):
+            # exact stop: what comes next, and all after it, lies below the k-th score
+            going = going[(bound[going, at] >= kth[going]) & np.isfinite(bound[going, at])]
+            if not len(going):
+                break
+            ranks = slice(at, at + size)
+            is_open = (bound[going, ranks] >= kth[going, None]) & np.isfinite(bound[going, ranks])
+            columns, places = np.unique(order[going, ranks][is_open], return_inverse=True)
+            scores = _scores(q[going], c[columns])
+            ends = np.cumsum(is_open.sum(axis=1))
+            looked += int(ends[-1])
+            for row, (i, mine) in enumerate(zip(going, np.split(places, ends[:-1]))):
+                gained = scores[row, mine]
+                keep = gained >= kth[i]
+                found[i].append((columns[mine[keep]], gained[keep]))
+                all_scores = np.concatenate([x for _, x in found[i]])
+                if len(all_scores) >= k:
+                    kth[i] = max(kth[i], np.partition(all_scores, len(all_scores) - k)[len(all_scores) - k])
+            at, size = at + size, 2 * size
+        if tally is not None:
+            tally[0] += looked
+            tally[1] += len(q) * len(c)
+        for i, parts in enumerate(found):
+            at, scores = (np.concatenate(x) for x in zip(*parts))
+            best = np.lexsort((ids[at], -scores))[:k]
+            yield np.full(len(best), own[i]), ids[at[best]], scores[best]
 
 
 def _meet(queries: DataFrame, candidates: DataFrame, k: int) -> DataFrame:

@@ -6,6 +6,7 @@ import random
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import public_tokenizers
 import tiktoken
@@ -336,6 +337,48 @@ def test_search(spark, monkeypatch, block):
     assert topk_search.top_k(table.where("false"), F.col("vec_id") % 20 == 0).count() == 0
 
 
+def search_tables(data, n_queries, pivots=32):
+    """A block of candidates and queries as they meet in a task."""
+    whole = np.floor(64 * data)
+    far = np.sqrt(((whole[:, None] - whole[None, :pivots]) ** 2).sum(axis=2))
+    columns = {"vec_id": np.arange(len(data)), "dim": np.full(len(data), data.shape[1], np.int32)}
+    table = pa.table(columns | {"v": pa.array(list(whole)), "far": pa.array(list(far))})
+    beat = pa.array([None, -(10**9)] * (n_queries // 2), pa.float64())
+    return whole, table, table.slice(0, n_queries).append_column("beat", beat)
+
+
+@pytest.mark.parametrize("kind", ["clusters", "spread", "ties"])
+def test_slices_in_bound_order(kind):
+    """Over a thousand vectors: apart from each other nearly all are looked at, in groups few, and the result is exact."""
+    rng = np.random.default_rng(4)
+    data = rng.normal(size=(1500, 16)) * 0.2
+    if kind == "clusters":
+        data = 0.02 * data + rng.normal(size=(30, 16))[rng.integers(0, 30, 1500)] * 3
+    if kind == "ties":
+        data = np.round(data * 3) / 3
+    whole, candidates, queries = search_tables(data, 300)
+    tally = [0, 0]
+    found = list(topk_search._evaluate(queries, candidates, 20, tally))
+    scores = (whole[:300] @ whole.T).astype(np.int64)
+    assert len(found) == 300 and tally[1] == 300 * 1500
+    for (own, ids, got), q in zip(found, range(300)):
+        order = sorted((i for i in range(1500) if i != q), key=lambda i: (-scores[q, i], i))[:20]
+        assert set(own) == {q} and ids.tolist() == order and got.tolist() == scores[q, order].tolist()
+    share = tally[0] / tally[1]
+    assert share < 0.3 if kind == "clusters" else share > 0.3
+
+
+def test_a_score_to_beat_stops_a_block():
+    rng = np.random.default_rng(8)
+    whole, candidates, queries = search_tables(rng.normal(size=(1200, 16)), 10)
+    best = np.sort((whole[:10] @ whole.T) - 10**9 * np.eye(10, 1200), axis=1)[:, -3]
+    queries = queries.set_column(queries.schema.get_field_index("beat"), "beat", pa.array(best))
+    found = list(topk_search._evaluate(queries, candidates, 20))
+    # all that reach the score to beat, and no others
+    assert [len(ids) for _, ids, _ in found] == [3] * 10
+    assert all((scores >= b).all() for (_, _, scores), b in zip(found, best))
+
+
 # ---- scoring ----------------------------------------------------------------
 
 

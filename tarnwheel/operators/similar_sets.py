@@ -148,7 +148,7 @@ def rare_postings(sets: DataFrame, share: Fraction) -> DataFrame:
     members = sets.select("id", "size", F.explode("hashes").alias("key"))
     counts = members.groupBy("key").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
     shared = members.join(stored(counts, "similar-shared"), "key")
-    own = shared.groupBy("id", "size").agg(F.array_sort(F.collect_list(F.struct("df", "key"))).alias("known"))
+    own = shared.groupBy("id", "size").agg(F.array_sort(F.collect_set(F.struct("df", "key"))).alias("known"))
     # the members of this set alone come first
     alone = (F.col("size") - F.size("known")).alias("alone")
     needed = F.ceil(F.col("size") * share.numerator / share.denominator)
@@ -238,7 +238,7 @@ def similar_texts(
 
     first = stored(hash_lists(rows, words, share), "similar-prefixes")
     met = only(shared_postings(first, share).select("id").distinct(), classes, "class_id")
-    texts = stored(only(rows, stored(met, "similar-ids"), "id").distinct(), "similar-texts")
+    texts = stored(only(rows, stored(met, "similar-ids"), "id"), "similar-texts")
     sets = stored(hash_lists(texts, words, None), "similar-sets")
     pairs = stored(candidates(rare_postings(sets, share), share), "similar-candidates")
-    return Similar(members, compared(pairs, texts, words, share))
+    return Similar(members, compared(pairs, texts, words, share).distinct())

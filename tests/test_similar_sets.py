@@ -63,6 +63,13 @@ def test_odd_texts(spark):
         similar_texts(spark.createDataFrame(rows, "doc_id long, text string"), 0)
 
 
+def test_repeated_rows_are_one_text(spark):
+    words = [f"x{i}" for i in range(60)]
+    rows = [(i, " ".join(words[i : i + 30])) for i in range(4)]
+    once, again = (similar_texts(spark.createDataFrame(r, "doc_id long, text string")) for r in (rows, rows * 3))
+    assert sorted(map(tuple, once.pairs.collect())) == sorted(map(tuple, again.pairs.collect())) != []
+
+
 def test_a_chain_at_the_limit(spark):
     """Jaccard of exactly 4 / 5 counts, anything below does not."""
     words = [f"x{i}" for i in range(60)]

@@ -133,7 +133,8 @@ class Step:
         with np.errstate(over="ignore"):
             own = self.hashes[: self.n_words] if kind == WORDS else self.hashes[self.before] * _ODD + self.hashes[self.after]
         hashed = mix64(own, 1 + kind)
-        bucket, key = hashed % np.uint64(buckets), hashed // np.uint64(buckets)
+        # what is left of the hash tells the keys of a bucket apart with 56 bits as well as with 64
+        bucket, key = hashed % np.uint64(buckets), hashed // np.uint64(buckets) & np.uint64((1 << 56) - 1)
         order = np.lexsort((key, bucket))
         for part in np.split(order, np.flatnonzero(np.diff(bucket[order])) + 1):
             if len(part):

@@ -151,7 +151,8 @@ def encode(docs: DataFrame, path: str, pattern: str = public_tokenizers.PATTERN)
     """doc_id and ids (array of int) of every row of ``docs`` (doc_id, text).
 
     Null text counts as empty and has no ids. ``path`` is a rank file that workers can
-    read. Rows may repeat; other columns are ignored.
+    read. Rows may repeat, no rows give no rows, other columns are ignored. A long text is
+    split in parts that one task encodes; its ids are one value.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

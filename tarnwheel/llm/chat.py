@@ -93,6 +93,8 @@ def windows(rows: DataFrame, budget: Budget | None = None, tokens: Column | None
     Turns are ordered by ``turn``, null last; rows of the same turn by a hash of role and
     text, and equal rows are turns of their own. Null role and text are empty. Null is a
     conversation of its own. ``tokens`` counts a turn (of at least 1), by default by bytes.
+    A turn longer than the budget is a window of its own, uncut. No rows give no rows; other
+    columns are ignored.
     """
     budget = budget or Budget()
     turns = _turns(rows, tokens)

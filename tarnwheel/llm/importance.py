@@ -90,7 +90,8 @@ def importance(docs: DataFrame, target: DataFrame, keep: float = KEEP, seed: int
     log-weight and Gumbel noise, are selected: a share ``keep`` of all rows, rounded; ties
     go to the smaller doc_id. The noise depends on seed and doc_id only, so reruns agree.
     A text that is null or has no words has log-weight 0. Rows with a null doc_id belong to
-    no target; repeated rows are counted and ranked as rows of their own.
+    no target; repeated rows are counted and ranked as rows of their own. No rows give no rows;
+    other columns are ignored. The features of a text are one value of one row.
     """
     shared = docs.sparkSession.sparkContext.broadcast(ratios(docs, target))
 

@@ -322,8 +322,8 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
 
     A text that is null or has no letter is ``und`` with score 0 and is rejected, as all
     texts are by a model without languages. Equal losses go to the first language by name.
-    ``score`` is the share of the best language among all, from 0 to 1. Rows may repeat;
-    other columns are ignored.
+    ``score`` is the share of the best language among all, from 0 to 1. Rows may repeat, no
+    rows give no rows; other columns are ignored. A long text is scored in pieces by one task.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
@@ -338,7 +338,11 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
 
 
 def accepted(docs: DataFrame, model: Model) -> DataFrame:
-    """The rows of ``docs``, with all their columns, whose language is not rejected."""
+    """The rows of ``docs``, with all their columns, whose language is not rejected.
+
+    Texts that are null or have no letter go; repeated rows and rows without doc_id are judged
+    by their text alone; no rows give no rows.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(model)
     text = docs.columns.index("text")
 

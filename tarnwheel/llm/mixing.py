@@ -118,7 +118,8 @@ def mix(docs: DataFrame, plan: Plan | None = None) -> DataFrame:
     Returns doc_id, size, source_size, target and taken (repeats counted). Null text has
     size 0; null is a source of its own, the last; rows with a null doc_id are placed by
     their size. Repeated rows are documents of their own. A document is taken twice at
-    most. No rows, or only empty texts, give targets and words of 0.
+    most. No rows, or only empty texts, give targets and words of 0. Only the size of a text
+    counts, whatever it is; other columns are ignored.
     """
     plan = plan or Plan()
     sized = stored(sizes(docs), "mix-sizes")

@@ -129,7 +129,8 @@ def near_groups(docs: DataFrame, words: int = 3) -> DataFrame:
     ``component_id`` is the smallest doc_id that can be reached over links. Null text
     counts as empty; a text without words has fingerprint zero and links like any other.
     Rows with a null doc_id are linked too but never name a component; one of such rows
-    only has component_id null. Repeated rows stay repeated; other columns are ignored.
+    only has component_id null. Repeated rows stay repeated, no rows give no rows; other columns
+    are ignored. A long text is fingerprinted in parts by one task.
     """
     salts = task_salts(docs)
     salt = F.pmod(F.xxhash64("doc_id"), F.lit(salts)).cast("int")

@@ -228,8 +228,8 @@ def token_counts(docs: DataFrame, path: str, limit: int = 1024) -> DataFrame:
     """doc_id, n_bytes (UTF-8), n_tokens and over_limit (more than ``limit`` tokens) of every row.
 
     Null text counts as empty, which has no tokens. Special strings inside a text are one
-    token each. Rows may repeat; other columns are ignored. ``path`` is a tokenizer file
-    that workers can read.
+    token each. Rows may repeat, no rows give no rows, other columns are ignored. A long text
+    is cut into chunks that one task counts. ``path`` is a tokenizer file that workers can read.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -164,6 +164,8 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 20, vector: str = "embe
     vectors made whole by ``quantised``. Fewer candidates give fewer rows. Rows without
     vec_id and vectors of another length than the query's take no part. Repeated rows are
     candidates of their own; a query id that repeats is asked once, with its least vector.
+    Vectors without components (of length zero) take no part either. No rows give no rows;
+    other columns are ignored.
     """
     table = stored(with_pivot_table(quantised(vectors, vector)), "search-vectors")
     n = table.count()

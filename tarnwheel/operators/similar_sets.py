@@ -35,6 +35,8 @@ WORDS = 5
 SIMILARITY = 0.8
 KNOWN_WORDS = 1 << 17
 ROWS_PER_STEP = 256
+# two texts a row
+ROWS_PER_PAIR_STEP = 32
 # a prefix by hash is longer by this part of the set, and as many keys must be shared
 LONGER = 16
 
@@ -82,10 +84,12 @@ def hashed_shingles(data: bytes, words: int, hashes: dict) -> np.ndarray:
     return np.unique(total)
 
 
-def _steps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _steps(batches: Iterator[pa.RecordBatch], rows: int = ROWS_PER_STEP) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for start in range(0, batch.num_rows, ROWS_PER_STEP):
-            yield batch.slice(start, ROWS_PER_STEP)
+        for start in range(0, batch.num_rows, rows):
+            yield batch.slice(start, rows)
+        # workers live on from task to task; what a batch took goes back to the machine
+        pa.default_memory_pool().release_unused()
 
 
 def _lists(arrays: list[np.ndarray]) -> pa.Array:
@@ -193,7 +197,7 @@ def compared(pairs: DataFrame, texts: DataFrame, words: int, share: Fraction) ->
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last, held = None, set()
-        for batch in _steps(batches):
+        for batch in _steps(batches, ROWS_PER_PAIR_STEP):
             rows = []
             for a, b, one, other in zip(*(c.to_pylist() for c in batch.columns)):
                 if a != last:

@@ -35,6 +35,8 @@ SETTINGS = {
     # what one exchange with a Python worker may hold, whatever the length of texts
     "spark.sql.execution.arrow.maxRecordsPerBatch": "2000",
     "spark.sql.execution.arrow.maxBytesPerBatch": "8388608",
+    # a partitioned write keeps so many files open before it sorts the rows of its task
+    "spark.sql.maxConcurrentOutputFileWriters": "16",
     # sessions are merged within each task before the shuffle
     "spark.sql.streaming.sessionWindow.merge.sessions.in.local.partition": "true",
 }

@@ -31,7 +31,9 @@ def write_partitioned(df: DataFrame, path: str, by: Sequence[str], mode: str = "
     """One folder per value of ``by``.
 
     The rebalance hint gathers small values into few files and lets Spark split a
-    value that is too large for one task.
+    value that is too large for one task. A task with few values writes their files side
+    by side (see ``session.SETTINGS``), so it holds no more than their open pages; only rows
+    of further values are sorted.
     """
     df.hint("rebalance", *[F.col(c) for c in by]).write.mode(mode).partitionBy(*by).parquet(path)
     return path

@@ -69,6 +69,24 @@ def test_partitioned_copy(spark, tmp_path):
     assert copy.where("part = 1").count() == 100 and copy.count() == 300
 
 
+def test_a_partitioned_write_does_not_sort(spark, tmp_path):
+    spark.sql(f"CREATE TABLE tarnwheel_copy (id long, part int) USING parquet PARTITIONED BY (part) LOCATION '{tmp_path}/table'")
+    try:
+        insert = "EXPLAIN INSERT INTO tarnwheel_copy SELECT id, CAST(id % 3 AS int) FROM range(300)"
+        plan = spark.sql(insert).first()[0]
+    finally:
+        spark.sql("DROP TABLE tarnwheel_copy")
+    assert "WriteFiles" in plan and "Sort" not in plan
+
+
+def test_more_values_than_open_files(spark, tmp_path):
+    values = 3 * int(spark.conf.get("spark.sql.maxConcurrentOutputFileWriters")) + 1
+    part = F.when(F.col("id") % values > 0, F.col("id") % values).alias("part")
+    copy = spark.read.parquet(write_partitioned(spark.range(0, 2000, 1, 3).select("id", part), f"{tmp_path}/copy", ["part"]))
+    want = sorted((i, i % values or None) for i in range(2000))
+    assert sorted(map(tuple, copy.select("id", "part").collect())) == want
+
+
 def test_sql_functions(spark):
     register_functions(spark)
     row = spark.sql("SELECT tarnwheel_words(' A  b ') AS w, tarnwheel_net_units(10.0D, 0.25D) AS n, tarnwheel_cents(1.15D) AS c").first()

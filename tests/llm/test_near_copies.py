@@ -133,3 +133,40 @@ def test_a_passage_of_many_texts_makes_no_pairs(spark, monkeypatch):
         monkeypatch.undo()
         made[n] = sum(seen)
     assert made == {60: 0, 240: 0}
+
+
+def test_simhash_finds_copies_that_nothing_else_looks_for(spark, monkeypatch):
+    """Without rounds and pairs of prefixes, near copies of equal or close fingerprints are found, and checked exactly."""
+    rng, texts = random.Random(9), {}
+    for k in range(20):
+        words = [f"w{rng.randrange(5000)}" for _ in range(300)]
+        texts[2 * k] = " ".join(words)
+        words[7] = "changed"
+        texts[2 * k + 1] = " ".join(words)
+    # fingerprints of few words repeated are equal or close, whatever their sets have in common
+    texts[100], texts[101] = " ".join(["a"] * 400 + ["b", "c"]), " ".join(["a"] * 400 + ["d", "e", "f"])
+    docs = documents(spark, [(d, t, "en", "a") for d, t in texts.items()])
+    groups = near.near_groups(docs.select("doc_id", "text"), near.WORDS).collect()
+    close = {r["doc_id"] for r in groups if r["doc_id"] != r["component_id"]}
+    assert len(close) > 5 and 101 in close
+    monkeypatch.setattr(near, "ROUNDS", 0)
+    monkeypatch.setattr(near, "candidates", lambda *_: spark.createDataFrame([], "a long, b long"))
+    assert set(texts) - set(kept(spark, texts)) == {d for d in close if exact_jaccard(texts[d - 1], texts[d]) >= 0.8} == close - {101}
+
+
+def test_copies_of_one_text_make_few_pairs(spark, monkeypatch):
+    """Copies near one text and too far from each other join it without being paired, and without what is too far from it."""
+    base, made = [f"b{i}" for i in range(300)], {}
+    for n in (40, 160):
+        rng, texts, seen = random.Random(n), {10**6: " ".join(base)}, []
+        for k in range(n):
+            words = list(base)
+            # of 296 shingles four to six changed words take 20 to 30, which is near the text, seven take 35
+            for i in rng.sample(range(59), 4 + k % 4):
+                words[5 * i + 2] = f"x{rng.randrange(10**9)}"
+            texts[k] = " ".join(words)
+        monkeypatch.setattr(near, "_likely", lambda pairs, *rest, own=near._likely: (seen.append(pairs.count()), own(pairs, *rest))[1])
+        assert kept(spark, texts) == brute_kept(texts)
+        monkeypatch.undo()
+        made[n] = sum(seen)
+    assert made[40] < 8 * 40 and made[160] < 8 * 160

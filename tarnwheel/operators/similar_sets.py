@@ -34,6 +34,8 @@ from tarnwheel.sources.tables import stored
 WORDS = 5
 SIMILARITY = 0.8
 KNOWN_WORDS = 1 << 17
+# shingles of texts that a task keeps for pairs to come
+KNOWN_SHINGLES = 1 << 17
 ROWS_PER_STEP = 256
 # two texts a row
 ROWS_PER_PAIR_STEP = 32
@@ -57,6 +59,22 @@ class _Hashes(dict):
         return found
 
 
+class _Sets(dict):
+    """The shingles of the last texts: in a group of similar texts each one is in many pairs."""
+
+    def __init__(self, words: int) -> None:
+        self.words, self.held = words, 0
+
+    def __missing__(self, text: bytes) -> set[bytes]:
+        found = shingles(text, self.words)
+        self.held += len(found)
+        if self.held > KNOWN_SHINGLES:
+            self.clear()
+            self.held = len(found)
+        self[text] = found
+        return found
+
+
 def _scrambled(x: np.ndarray) -> np.ndarray:
     with np.errstate(over="ignore"):
         x = (x ^ (x >> np.uint64(31))) * np.uint64(0x7FB5D329728EA185)
@@ -196,16 +214,14 @@ def compared(pairs: DataFrame, texts: DataFrame, words: int, share: Fraction) ->
     """Those of the pairs that are similar, with their sizes and common shingles."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last, held = None, set()
+        sets = _Sets(words)
         for batch in _steps(batches, ROWS_PER_PAIR_STEP):
             rows = []
             for a, b, one, other in zip(*(c.to_pylist() for c in batch.columns)):
-                if a != last:
-                    last, held = a, shingles(one, words)
-                second = shingles(other, words)
-                common = len(held & second)
-                if common * (share.denominator + share.numerator) >= share.numerator * (len(held) + len(second)):
-                    rows.append({"a": a, "b": b, "size_a": len(held), "size_b": len(second), "common": common})
+                first, second = sets[one], sets[other]
+                common = len(first & second)
+                if common * (share.denominator + share.numerator) >= share.numerator * (len(first) + len(second)):
+                    rows.append({"a": a, "b": b, "size_a": len(first), "size_b": len(second), "common": common})
             yield pa.RecordBatch.from_pylist(rows, schema)
 
     names = ("a", "b", "size_a", "size_b", "common")

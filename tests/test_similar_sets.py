@@ -89,3 +89,18 @@ def test_a_shared_passage_is_no_key(spark):
         posted = similar_sets.rare_postings(similar_sets.hash_lists(texts, 5, None), share)
         made[n] = similar_sets.candidates(posted, share).count()
     assert made == {100: 0, 300: 0}
+
+
+def test_shingles_of_a_text_are_made_once_and_few_are_kept(monkeypatch):
+    made, own = [], similar_sets.shingles
+    monkeypatch.setattr(similar_sets, "shingles", lambda data, words: (made.append(data), own(data, words))[1])
+    texts = [b" ".join(b"%d" % (i * j) for j in range(1, 9)) for i in range(1, 13)]
+    sets = similar_sets._Sets(2)
+    for one, other in combinations(texts, 2):
+        assert (sets[one], sets[other]) == (own(one, 2), own(other, 2))
+    assert sorted(made) == sorted(texts)
+    monkeypatch.setattr(similar_sets, "KNOWN_SHINGLES", 20)
+    sets = similar_sets._Sets(2)
+    for one, other in combinations(texts, 2):
+        assert (sets[one], sets[other]) == (own(one, 2), own(other, 2))
+        assert sum(map(len, sets.values())) <= 20

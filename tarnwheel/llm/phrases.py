@@ -16,6 +16,7 @@ No step depends on how often a word, phrase or chunk occurs.
 from __future__ import annotations
 
 import math
+from array import array
 from collections import defaultdict
 from collections.abc import Iterator
 from itertools import count
@@ -36,8 +37,12 @@ TOP = 2000
 # one place in so many is a trigger
 CHUNK_WORDS = 16
 STEP_WORDS = 1 << 20
+# phrases of a step that are spelled out at once
+SPELLED = 1 << 16
 # text whose phrases meet in one bucket; buckets grow in number, not in size
 BUCKET_BYTES = 8 << 20
+# shares of a bucket that are added up one after the other
+PARTS = 8
 SALTS = 64
 KNOWN_WORDS = 1 << 18
 UNIT = 1_000_000
@@ -86,6 +91,8 @@ def dictionary(docs: DataFrame, longest: int = LONGEST) -> DataFrame:
             langs = batch.column(0).take(pa.array(np.repeat(np.arange(len(parsed)), [len(p) for p in parsed])))
             chunks = pa.array([chunk for p in parsed for chunk in p], pa.binary())
             yield pa.RecordBatch.from_arrays([langs, chunks], ["lang", "chunk"])
+        # the worker goes on with other tasks: what Arrow keeps for later is given back
+        pa.default_memory_pool().release_unused()
 
     lang = F.coalesce(F.col("lang").cast("string"), F.lit("und")).alias("lang")
     texts = docs.where("text is not null").select(lang, F.col("text").cast("binary").alias("data"))
@@ -94,105 +101,143 @@ def dictionary(docs: DataFrame, longest: int = LONGEST) -> DataFrame:
 
 
 class _Step:
-    """Chunks that are counted together; words are numbered per language in order of occurrence."""
+    """Chunks that are counted together; words are numbered per language in order of occurrence.
+
+    Nothing here refers back to the step, so its memory is free as soon as the step is left.
+    """
 
     def __init__(self):
         self.numbers = count()
-        self.known: dict[str, dict[bytes, int]] = defaultdict(lambda: defaultdict(self.numbers.__next__))
-        self.ids: list[np.ndarray] = []
-        self.frequencies: list[int] = []
-        self.size = 0
+        self.known: dict[str, dict[bytes, int]] = {}
+        self.ids = array("i")
+        self.sizes = array("q")
+        self.frequencies = array("q")
+
+    @property
+    def size(self) -> int:
+        return len(self.ids)
 
     def add(self, lang: str, chunk: bytes, frequency: int) -> None:
-        words = chunk.split(b" ")
-        self.ids.append(np.fromiter(map(self.known[lang].__getitem__, words), np.int64, len(words)))
+        if lang not in self.known:
+            self.known[lang] = defaultdict(self.numbers.__next__)
+        before = len(self.ids)
+        self.ids.extend(map(self.known[lang].__getitem__, chunk.split(b" ")))
+        self.sizes.append(len(self.ids) - before)
         self.frequencies.append(frequency)
-        self.size += len(words)
 
-    def packets(self, buckets: int, longest: int) -> pa.RecordBatch:
-        """Counts of all phrases of up to ``longest`` words, one row per bucket that has some."""
+    def _counted(self, stop: np.ndarray, longest: int) -> tuple[list[np.ndarray], np.ndarray]:
+        """The words of all phrases of up to ``longest`` words, a column per place (-1 for none), and their counts."""
+        ids, sizes, width = np.frombuffer(self.ids, np.int32), np.frombuffer(self.sizes, np.int64), len(stop)
+        ends = np.cumsum(sizes)
+        begins = np.ones(len(ids), bool)
+        for k in range(1, longest):
+            begins[ends - k] = False
+        places = np.flatnonzero(begins & ~stop[ids]).astype(np.int32)
+        weight = np.repeat(np.frombuffer(self.frequencies, np.int64), sizes)[places].astype(np.float64)
+
+        columns, rank = [np.arange(width, dtype=np.int32)], ids[places]
+        numbers = np.bincount(rank, weight, width)
+        found, counts = [[] for _ in range(longest)], []
+        for n in range(1, longest + 1):
+            seen = np.flatnonzero(numbers)
+            counts.append(numbers[seen].astype(np.int64))
+            for k in range(longest):
+                found[k].append(columns[k][seen] if k < n else np.full(len(seen), -1, np.int32))
+            if n == longest:
+                break
+            going = ~stop[ids[places + n]]
+            places, rank, weight = places[going], rank[going], weight[going]
+            keys, rank = np.unique(rank.astype(np.int64) * width + ids[places + n], return_inverse=True)
+            rank = rank.astype(np.int32)
+            numbers = np.bincount(rank, weight, len(keys))
+            first = keys // width
+            columns = [*[c[first] for c in columns], (keys % width).astype(np.int32)]
+        return [np.concatenate(c) for c in found], np.concatenate(counts)
+
+    def packets(self, buckets: int, longest: int) -> Iterator[pa.RecordBatch]:
+        """Counts of all phrases of up to ``longest`` words, one row per bucket that has some.
+
+        Phrases are spelled out for a few buckets at a time.
+        """
         langs = list(self.known)
         words = [word for lang in langs for word in self.known[lang]]
         at = np.array([i for lang in langs for i in self.known[lang].values()])
         width = len(words)
         # by number: the word, its language and its hash
         table = pa.array(words, pa.binary()).take(pa.array(np.argsort(at)))
-        lang_of = np.empty(width, np.int64)
+        lang_of = np.empty(width, np.int32)
         lang_of[at] = np.repeat(np.arange(len(langs)), [len(self.known[lang]) for lang in langs])
         hashed = np.empty(width, np.uint64)
         hashed[at] = np.fromiter(map(xxhash.xxh64_intdigest, words), np.uint64, width)
         stop = np.zeros(width, bool)
         stop[[known[STOP] for known in self.known.values() if STOP in known]] = True
-
-        ids = np.concatenate(self.ids)
-        sizes = np.array([len(x) for x in self.ids])
-        ends = np.cumsum(sizes)
-        begins = np.ones(len(ids), bool)
-        for k in range(1, longest):
-            begins[ends - k] = False
-        weight = np.repeat(self.frequencies, sizes).astype(np.float64)
-
-        places = np.flatnonzero(begins & ~stop[ids])
-        columns, rank = [np.arange(width)], ids[places]
-        numbers = np.bincount(rank, weight[places], width)
-        levels = []
-        for n in range(1, longest + 1):
-            seen = np.flatnonzero(numbers)
-            levels.append(([c[seen] for c in columns], numbers[seen].astype(np.int64)))
-            if n == longest:
-                break
-            going = ~stop[ids[places + n]] if len(places) else np.zeros(0, bool)
-            places, rank = places[going], rank[going]
-            keys, rank = np.unique(rank * width + ids[places + n], return_inverse=True)
-            numbers = np.bincount(rank, weight[places], len(keys))
-            columns = [*[c[keys // width] for c in columns], keys % width]
-
-        phrases, bucket, lang = [], [], []
-        seeds = np.array([xxhash.xxh64_intdigest(x.encode()) for x in langs], np.uint64)
-        for columns, _ in levels:
-            keys = seeds[lang_of[columns[0]]]
-            for c in columns:
-                keys = mix64(keys * _ODD + hashed[c])
-            bucket.append((keys % np.uint64(buckets)).astype(np.int64))
-            lang.append(lang_of[columns[0]])
-            joined = pc.binary_join_element_wise(*[table.take(pa.array(c)) for c in columns], b" ") if len(columns) > 1 else table.take(pa.array(columns[0]))
-            phrases.append(pc.binary_join_element_wise(joined, b"", b"\n"))
-        bucket, lang = np.concatenate(bucket), np.concatenate(lang)
-        order = np.lexsort((lang, bucket))
-        bucket, lang, numbers = bucket[order], lang[order], np.concatenate([c for _, c in levels])[order]
-        listed = pa.concat_arrays(phrases).take(pa.array(order))
-        offsets = np.frombuffer(listed.buffers()[1], np.int32)[listed.offset : listed.offset + len(listed) + 1]
-        data = listed.buffers()[2]
-        starts = np.flatnonzero(np.r_[True, np.diff(bucket) != 0]) if len(bucket) else np.zeros(0, np.int64)
-        rows = []
-        for start, end in zip(starts.tolist(), [*starts[1:].tolist(), len(bucket)]):
-            own, first = np.unique(lang[start:end], return_index=True)
-            text = data.slice(offsets[start], offsets[end] - offsets[start])
-            rows.append({
-                "bucket": int(bucket[start]), "langs": [langs[x] for x in own], "starts": first.tolist(), "size": len(text),
-                "phrases": pa.compress(text, codec="zstd", asbytes=True),
-                "counts": pa.compress(numbers[start:end].tobytes(), codec="zstd", asbytes=True), "n": end - start,
-            })
-        return pa.RecordBatch.from_pylist(rows, _PACKETS)
+        del words, at
+
+        columns, numbers = self._counted(stop, longest)
+        lang = lang_of[columns[0]]
+        keys = np.array([xxhash.xxh64_intdigest(x.encode()) for x in langs], np.uint64)[lang]
+        for c in columns:
+            has = np.flatnonzero(c >= 0)
+            keys[has] = mix64(keys[has] * _ODD + hashed[c[has]])
+        bucket = (keys % np.uint64(buckets)).astype(np.int64)
+        # by part and language within a bucket
+        run = (keys // np.uint64(buckets) % np.uint64(PARTS)).astype(np.int64) * len(langs) + lang
+        del keys, lang
+        order = np.lexsort((run, bucket))
+        bucket, run, numbers = bucket[order], run[order], numbers[order]
+        bounds = np.flatnonzero(np.diff(bucket, prepend=-1, append=-1))
+        starts, ends = bounds[:-1], bounds[1:]
+        # buckets whose phrases begin in the same stretch of the list
+        for group in np.split(np.arange(len(starts)), np.flatnonzero(np.diff(starts // SPELLED)) + 1):
+            if not len(group):
+                continue
+            first, last = starts[group[0]], ends[group[-1]]
+            own = order[first:last]
+            spelled = [table.take(pa.array(c[own], mask=c[own] < 0)) for c in columns]
+            joined = pc.binary_join_element_wise(*spelled, b" ", null_handling="skip")
+            listed = pc.binary_join_element_wise(joined, b"", b"\n")
+            offsets = np.frombuffer(listed.buffers()[1], np.int32)[listed.offset : listed.offset + len(listed) + 1]
+            data = listed.buffers()[2]
+            rows = []
+            for start, end in zip(starts[group].tolist(), ends[group].tolist()):
+                own_runs = run[start:end]
+                here = np.flatnonzero(np.bincount(own_runs % len(langs), minlength=len(langs)))
+                begin = np.searchsorted(own_runs, np.add.outer(np.arange(PARTS) * len(langs), here).ravel())
+                text = data.slice(offsets[start - first], offsets[end - first] - offsets[start - first])
+                rows.append({
+                    "bucket": int(bucket[start]), "langs": [langs[x] for x in here], "starts": begin.tolist(), "size": len(text),
+                    "phrases": pa.compress(text, codec="zstd", asbytes=True),
+                    "counts": pa.compress(numbers[start:end].tobytes(), codec="zstd", asbytes=True), "n": end - start,
+                })
+            yield pa.RecordBatch.from_pylist(rows, _PACKETS)
 
 
 _PACKETS = pa.schema([
-    ("bucket", pa.int64()), ("langs", pa.list_(pa.string())), ("starts", pa.list_(pa.int64())), ("size", pa.int64()),
+    ("bucket", pa.int64()), ("langs", pa.list_(pa.string())), ("starts", pa.list_(pa.int32())), ("size", pa.int64()),
     ("phrases", pa.binary()), ("counts", pa.binary()), ("n", pa.int64()),
 ])
-_PACKETS_DDL = "bucket long, langs array<string>, starts array<long>, size long, phrases binary, counts binary, n long"
+_PACKETS_DDL = "bucket long, langs array<string>, starts array<int>, size long, phrases binary, counts binary, n long"
+
+
+class _Unpacked:
+    """The phrases (with a line break at their ends) and counts of a packet, in order of part and language."""
 
+    def __init__(self, row: dict, known: dict[str, int]):
+        text = pa.decompress(row["phrases"], row["size"], codec="zstd")
+        ends = np.flatnonzero(np.frombuffer(text, np.uint8) == 10) + 1
+        offsets = pa.py_buffer(np.r_[0, ends].astype(np.int32).tobytes())
+        self.phrases = pa.Array.from_buffers(pa.binary(), row["n"], [None, offsets, text])
+        counts = pa.decompress(row["counts"], 8 * row["n"], codec="zstd")
+        self.counts = pa.Array.from_buffers(pa.int64(), row["n"], [None, counts])
+        self.starts = np.array([*row["starts"], row["n"]], np.int32)
+        self.langs = np.array([known.setdefault(lang, len(known)) for lang in row["langs"]], np.int32)
 
-def _unpacked(row: dict) -> pa.Table:
-    """lang, phrase (with a line break at its end) and count of a packet."""
-    text = pa.decompress(row["phrases"], row["size"], codec="zstd")
-    ends = np.flatnonzero(np.frombuffer(text, np.uint8) == 10) + 1
-    offsets = pa.py_buffer(np.r_[0, ends].astype(np.int32).tobytes())
-    phrases = pa.Array.from_buffers(pa.binary(), row["n"], [None, offsets, text])
-    counts = np.frombuffer(pa.decompress(row["counts"], 8 * row["n"], codec="zstd"), np.int64)
-    lengths = np.diff([*row["starts"], row["n"]])
-    langs = pa.DictionaryArray.from_arrays(np.repeat(np.arange(len(lengths)), lengths).astype(np.int32), pa.array(row["langs"]))
-    return pa.table({"lang": langs.cast(pa.string()), "phrase": phrases, "count": counts})
+    def part(self, i: int) -> pa.Table:
+        """Number of the language, phrase and count."""
+        bounds = self.starts[i * len(self.langs) : (i + 1) * len(self.langs) + 1]
+        start, n = int(bounds[0]), int(bounds[-1] - bounds[0])
+        langs = pa.array(np.repeat(self.langs, np.diff(bounds)))
+        return pa.table({"lang": langs, "phrase": self.phrases.slice(start, n), "count": self.counts.slice(start, n)})
 
 
 def phrase_counts(
@@ -212,22 +257,35 @@ def phrase_counts(
             for lang, chunk, frequency in zip(*(c.to_pylist() for c in batch.columns)):
                 step.add(lang, chunk, frequency)
                 if step.size >= step_words:
-                    yield step.packets(buckets, longest)
+                    yield from step.packets(buckets, longest)
                     step = _Step()
         if step.size:
-            yield step.packets(buckets, longest)
+            yield from step.packets(buckets, longest)
+        del step
+        pa.default_memory_pool().release_unused()
 
     def meet(packets: pa.Table) -> pa.Table:
         """The phrases of a bucket that occur often enough, and the number of its words."""
-        table = pa.concat_tables(_unpacked(row) for row in packets.to_pylist())
-        table = table.group_by(["lang", "phrase"]).aggregate([("count", "sum")]).rename_columns(["lang", "phrase", "count"])
-        words = pc.add(pc.count_substring(table.column("phrase"), b" "), 1)
-        table = table.append_column("words", words.cast(pa.int64()))
-        totals = table.filter(pc.equal(table.column("words"), 1)).group_by("lang").aggregate([("count", "sum")])
-        often = table.filter(pc.greater_equal(table.column("count"), least))
+        known: dict[str, int] = {}
+        unpacked = [_Unpacked(row, known) for batch in packets.to_batches() for row in batch.to_pylist()]
+        langs = pa.array(list(known), pa.string())
+        often, totals = [], []
+        for i in range(PARTS):
+            table = pa.concat_tables(x.part(i) for x in unpacked).combine_chunks()
+            table = table.group_by(["lang", "phrase"], use_threads=False).aggregate([("count", "sum")])
+            table = table.rename_columns(["lang", "phrase", "count"])
+            words = pc.add(pc.count_substring(table.column("phrase"), b" "), 1)
+            table = table.append_column("words", words.cast(pa.int64()))
+            totals.append(table.filter(pc.equal(table.column("words"), 1)).select(["lang", "count"]))
+            often.append(table.filter(pc.greater_equal(table.column("count"), least)))
+        del unpacked, table, words
+        pa.default_memory_pool().release_unused()
+        often, totals = pa.concat_tables(often), pa.concat_tables(totals)
+        totals = totals.group_by("lang", use_threads=False).aggregate([("count", "sum")])
         phrase = pc.binary_slice(often.column("phrase"), 0, -1).cast(pa.string())
+        lang, other = (langs.take(t.column("lang").combine_chunks()) for t in (often, totals))
         return pa.table({
-            "lang": pa.chunked_array([*often.column("lang").chunks, *totals.column("lang").chunks], pa.string()),
+            "lang": pa.chunked_array([lang, other], pa.string()),
             "phrase": pa.chunked_array([*phrase.chunks, pa.nulls(len(totals), pa.string())], pa.string()),
             "words": pa.chunked_array([*often.column("words").chunks, pa.array([0] * len(totals), pa.int64())], pa.int64()),
             "count": pa.chunked_array([*often.column("count").chunks, *totals.column("count_sum").chunks], pa.int64()),

@@ -1,7 +1,12 @@
 """Phrase collocations against brute force, and the parse they are counted over."""
 
+import gc
+import os
 import random
 import re
+import subprocess
+import sys
+import weakref
 from collections import Counter, defaultdict
 
 import pytest
@@ -105,3 +110,85 @@ def test_dictionary_counts_equal_chunks(spark):
     found = phrases.dictionary(documents(spark, rows)).collect()
     assert {(r["lang"], r["frequency"]) for r in found} >= {("en", 5), ("und", 1)}
     assert sum(r["frequency"] * (len(r["chunk"].split(b" ")) - 2) for r in found) == 6 * 60_000
+
+
+def random_chunks(rng, n):
+    return [(rng.choice(["en", "fr"]), " ".join(f"w{int(3000 * rng.random() ** 2)}" for _ in range(18)).encode()) for _ in range(n)]
+
+
+def test_a_step_is_free_once_left():
+    step = phrases._Step()
+    for lang, chunk in random_chunks(random.Random(1), 50):
+        step.add(lang, chunk, 1)
+    gc.disable()
+    try:
+        assert list(step.packets(4, 3))
+        left = weakref.ref(step)
+        del step
+        assert left() is None
+    finally:
+        gc.enable()
+
+
+# the functions that Spark gets, run over chunks of one bucket; prints what the bucket's packets and adding them up took
+MEETING = """
+import random, sys, types
+import pyarrow as pa
+from test_phrases import random_chunks
+from tarnwheel.llm import phrases
+class Frame:
+    given = []
+    agg = groupBy = lambda self, *a: self
+    first = lambda self: [1]
+    mapInArrow = applyInArrow = lambda self, f, ddl: self.given.append(f) or self
+phrases.F = types.SimpleNamespace(sum=str, octet_length=str)
+phrases.dictionary = lambda *a: Frame()
+phrases.phrase_counts(Frame(), step_words=1 << 16)
+local, meet = Frame.given
+langs, chunks = zip(*random_chunks(random.Random(2), 40_000))
+chunks = pa.record_batch({"lang": pa.array(langs), "chunk": pa.array(chunks, pa.binary()), "frequency": pa.array([1] * len(langs))})
+packets = pa.Table.from_batches(list(local([chunks])))
+del chunks
+rows = sum(packets["n"].to_pylist())
+pool = pa.default_memory_pool()
+# whatever was taken so far is taken again, so that the peak is that of adding up
+held = pa.allocate_buffer(pool.max_memory() - pool.bytes_allocated())
+before = pool.bytes_allocated()
+found = meet(packets)
+assert {None} < set(found["phrase"].to_pylist())
+print((pool.max_memory() - before) / rows)
+"""
+
+
+def test_a_bucket_is_added_up_in_little_memory():
+    env = os.environ | {"PYTHONPATH": os.pathsep.join(sys.path), "OMP_NUM_THREADS": "1"}
+    ran = subprocess.run([sys.executable, "-c", MEETING], env=env, capture_output=True, text=True, timeout=300)
+    assert ran.returncode == 0, ran.stderr
+    # bytes per listed phrase: some 30 when unpacked, and a part of them added up
+    assert float(ran.stdout) < 60, ran.stdout
+
+
+def test_parts_of_a_bucket_share_no_phrase():
+    rng, places, listed = random.Random(3), defaultdict(set), Counter()
+    chunks = random_chunks(rng, 400)
+    for half in (chunks[:250], chunks[250:]):
+        step = phrases._Step()
+        for lang, chunk in half:
+            step.add(lang, chunk, 2)
+        for batch in step.packets(3, 3):
+            for row in batch.to_pylist():
+                known = {}
+                packet = phrases._Unpacked(row, known)
+                for i in range(phrases.PARTS):
+                    for lang, phrase, n in zip(*(c.to_pylist() for c in packet.part(i).columns)):
+                        places[list(known)[lang], phrase].add((row["bucket"], i))
+                        listed[list(known)[lang], phrase.decode().rstrip("\n")] += n
+    assert all(len(p) == 1 for p in places.values()) and len({p for x in places.values() for p in x}) == 3 * phrases.PARTS
+    wanted = Counter()
+    for lang, chunk in chunks:
+        words = chunk.decode().split()
+        # the last two words begin no phrase of a chunk
+        for n in (1, 2, 3):
+            for i in range(len(words) - 2):
+                wanted[lang, " ".join(words[i : i + n])] += 2
+    assert listed == wanted

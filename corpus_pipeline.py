@@ -45,7 +45,9 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, ids, n_tokens and digests of every document, decoded back from its ids."""
     path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
-    return bpe.decode(bpe.encode(docs, path), path).select("doc_id", "ids", *bpe.digests())
+    # stored, so that a task runs one Python worker and not one for each step
+    encoded = stored(bpe.encode(docs, path), "pipeline-ids")
+    return bpe.decode(encoded, path).select("doc_id", "ids", *bpe.digests())
 
 
 def _prepared(stage: Callable) -> Callable:

@@ -76,6 +76,11 @@ class Encoder:
         known = self.pieces.__getitem__
         return np.frombuffer(b"".join([b"".join(map(known, self.splitter.pieces(part))) for part in cut(text)]), np.int32)
 
+    def forget(self) -> None:
+        """Drop what was remembered of the texts encoded so far; ids do not depend on it."""
+        self.pieces.clear()
+        self.merges.agreed.clear()
+
     def _piece(self, piece: str) -> list[int]:
         data = piece.encode("utf-8", "surrogatepass")
         whole = self.merges.ids.get(data)
@@ -157,9 +162,13 @@ def encode(docs: DataFrame, path: str, pattern: str = public_tokenizers.PATTERN)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = _encoder(path, pattern)
-        for batch in slices(batches):
-            ids = [encoder.encode(t) for t in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), _lists(ids)], ["doc_id", "ids"])
+        try:
+            for batch in slices(batches):
+                ids = [encoder.encode(t) for t in batch.column(1).to_pylist()]
+                yield pa.RecordBatch.from_arrays([batch.column(0), _lists(ids)], ["doc_id", "ids"])
+        finally:
+            # the worker lives on in other work, which needs the memory
+            encoder.forget()
 
     texts = docs.select(F.col("doc_id").cast("long"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
     return texts.mapInArrow(run, "doc_id long, ids array<int>")

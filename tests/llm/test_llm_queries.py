@@ -154,6 +154,13 @@ def test_pipeline_by_stages(spark, duck, tmp_path):
     assert all(r["ids"] == library_ids(texts[r["doc_id"]]) for r in kept["byte_bpe"][:20])
 
 
+def test_no_task_of_a_stage_runs_two_python_workers(spark, capsys):
+    """Each step of a task has a worker of its own, which lives on with all it holds."""
+    stage = dict(corpus_pipeline.STAGES)["byte_bpe"]
+    stage(spark, documents(spark), FOLDER).explain()
+    assert capsys.readouterr().out.count("MapInArrow") == 1
+
+
 def test_stages_bear_odd_rows_and_none(spark, tmp_path):
     for rows in (ROWS, []):
         docs = documents(spark, rows)

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from tarnwheel.llm import bpe, chat, importance, langid, lm_scoring, mixing, token_counts, topk_search
+from tarnwheel.llm.base import slices
 from tarnwheel.sources.tables import load_table
 
 FOLDER = "/root/testdata/sf0.001"
@@ -92,6 +93,38 @@ def test_bpe(spark):
 # ---- language ---------------------------------------------------------------
 
 
+def test_a_worker_forgets_what_it_encoded(spark):
+    """What an encoder remembers of texts goes with its task: workers live on in other work."""
+    path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+    rng = random.Random(4)
+    texts = [" ".join(f"w{rng.randrange(10**6)}" for _ in range(200)) for _ in range(64)]
+    assert bpe.encode(documents(spark, [(i, t, "en", "a") for i, t in enumerate(texts)]).repartition(16), path).count() == 64
+
+    def remembered(batches):
+        for _ in batches:
+            known = [bpe._encoder(path, public_tokenizers.PATTERN)] if bpe._encoder.cache_info().currsize else []
+            yield pa.RecordBatch.from_arrays([pa.array([sum(len(e.pieces) + len(e.merges.agreed) for e in known)], pa.int64())], ["n"])
+
+    assert {r["n"] for r in spark.range(0, 64, 1, 64).mapInArrow(remembered, "n long").collect()} == {0}
+
+
+def test_what_was_forgotten_changes_no_ids():
+    encoder = bpe._encoder(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
+    first = encoder.encode(LONG[:5000]).tolist()
+    assert encoder.pieces and encoder.merges.agreed
+    encoder.forget()
+    assert not encoder.pieces and not encoder.merges.agreed
+    assert encoder.encode(LONG[:5000]).tolist() == first
+
+
+def test_slices_give_unused_memory_back(monkeypatch):
+    freed = []
+    monkeypatch.setattr(pa, "default_memory_pool", lambda: type("Pool", (), {"release_unused": lambda self: freed.append(1)})())
+    batches = [pa.RecordBatch.from_arrays([pa.array(range(n))], ["n"]) for n in (5, 2)]
+    assert [b.num_rows for b in slices(iter(batches), 2)] == [2, 2, 1, 2]
+    assert len(freed) == 2
+
+
 def test_language_of_all_documents(spark):
     docs = load_table(spark, FOLDER, "documents")
     model = langid.train(docs.where(~langid.held_out()))

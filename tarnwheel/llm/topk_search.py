@@ -26,8 +26,12 @@ PIVOTS = 32
 QUERY_BLOCK = 8192
 CANDIDATE_BLOCK = 8192
 TILE = 256
-# candidates of the highest bounds that a query looks at first
+# queries whose differences of distances are held at once
+STRIP = 8
+# candidates of the highest bounds that a query looks at first, and how much larger each next slice is
 FIRST = 64
+GROWTH = 8
+LEAST = np.finfo(np.float64).min
 SCALE = 64
 SCHEMA = "query_id long, vec_id long, score long"
 
@@ -76,74 +80,113 @@ def _matrix(column: pa.Array | pa.ChunkedArray, width: int) -> np.ndarray:
 
 
 def _scores(q: np.ndarray, c: np.ndarray) -> np.ndarray:
-    """Exact inner products of whole-number vectors."""
+    """Exact inner products of whole-number vectors, in the narrowest type that holds them."""
     largest = np.abs(q).max(initial=0) * np.abs(c).max(initial=0) * q.shape[1]
+    if largest < 2**24:
+        return q.astype(np.float32) @ c.astype(np.float32).T
     if largest < 2**53:
-        return (q @ c.T).astype(np.int64)
+        return q @ c.T
     if largest < 2**63:
         return q.astype(np.int64) @ c.astype(np.int64).T
     raise OverflowError("inner products of these vectors do not fit 64 bits")
 
 
+def _bounds(q: np.ndarray, far: np.ndarray, c_norm: np.ndarray, c_far: np.ndarray) -> np.ndarray:
+    """For each query and candidate a number that their score does not exceed; ``c_far`` has a row per pivot.
+
+    Differences of distances are taken in single precision, for a few queries at a time, so
+    that they stay in the processor's cache. What rounding may have added to them is taken off.
+    """
+    narrow, c_narrow = far.astype(np.float32), c_far.astype(np.float32)
+    rounding, c_rounding = 2.0**-23 * far.max(axis=1), 2.0**-23 * c_far.max(axis=0)
+    norm = (q * q).sum(axis=1)
+    bounds = np.empty((len(q), len(c_norm)))
+    for start in range(0, len(q), STRIP):
+        strip = slice(start, start + STRIP)
+        bound = bounds[strip]
+        apart, gap = np.zeros(bound.shape, np.float32), np.empty(bound.shape, np.float32)
+        for mine, theirs in zip(narrow[strip].T, c_narrow):
+            np.subtract(mine[:, None], theirs, out=gap)
+            np.abs(gap, out=gap)
+            np.maximum(apart, gap, out=apart)
+        np.subtract(apart, rounding[strip, None] + c_rounding, out=bound)
+        np.maximum(bound, 0, out=bound)
+        bound *= -bound
+        bound += norm[strip, None] + c_norm
+        bound /= 2
+        bound += 0.5 + 1e-9 * np.abs(bound)  # scores are whole; rounding stays below this
+    return bounds
+
+
 def _evaluate(
     queries: pa.Table, candidates: pa.Table, k: int, tally: list[int] | None = None
 ) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
     """(query ids, candidate ids, scores): the k best of one block for each query, above its score to beat.
 
-    Each query takes its candidates in the order of their bounds, in slices that double from
-    FIRST. After a slice its k-th score so far is known; the query ends when the bound of its
-    next candidate lies below that. For a slice the queries of a tile that go on are multiplied
-    with those candidates that are open for one of them. ``tally`` gets the number of pairs that
+    Each query takes its candidates in the order of their bounds, in slices that grow from
+    FIRST by GROWTH. A slice ends between two bounds, and within it no order is needed. After
+    a slice the query's k-th score so far is known; the query ends when all bounds that are
+    left lie below that. For a slice the queries of a tile that go on are multiplied with
+    those candidates that are open for one of them. ``tally`` gets the number of pairs that
     were looked at and of those there are.
     """
     dim = queries.column("dim")[0].as_py()
     ids = candidates.column("vec_id").to_numpy()
     c, c_far = _matrix(candidates.column("v"), dim), _matrix(candidates.column("far"), len(candidates.column("far")[0]))
-    c_norm = (c * c).sum(axis=1)
-    all_q, all_far = _matrix(queries.column("v"), dim), _matrix(queries.column("far"), c_far.shape[1])
+    c_norm, c_far = (c * c).sum(axis=1), np.ascontiguousarray(c_far.T)
+    all_q, all_far = _matrix(queries.column("v"), dim), _matrix(queries.column("far"), len(c_far))
     q_ids = queries.column("vec_id").to_numpy()
     beat = queries.column("beat").to_numpy(zero_copy_only=False).astype(np.float64)
+    ends = _slice_ends(len(c), max(FIRST, k))
     for start in range(0, len(all_q), TILE):
         part = slice(start, start + TILE)
-        q, far, own = all_q[part], all_far[part], q_ids[part]
-        floor = np.nan_to_num(beat[part], nan=-np.inf)
-        apart = np.zeros((len(q), len(c)))
-        for p in range(far.shape[1]):
-            np.maximum(apart, np.abs(far[:, p, None] - c_far[None, :, p]), out=apart)
-        bound = ((q * q).sum(axis=1)[:, None] + c_norm[None] - apart * apart) / 2
-        bound += 0.5 + 1e-9 * np.abs(bound)  # scores are whole; rounding stays below this
+        q, own = all_q[part], q_ids[part]
+        bound = _bounds(q, all_far[part], c_norm, c_far)
         bound[own[:, None] == ids[None]] = -np.inf  # the query's own row
-        order = np.argsort(-bound, axis=1, kind="stable")
-        bound = np.take_along_axis(bound, order, axis=1)
-        kth, going = floor.copy(), np.arange(len(q))
-        found = [[(np.zeros(0, np.int64), np.zeros(0, np.int64))] for _ in q]
-        at, size, looked = 0, FIRST, 0
-        while at < len(c):
-            # exact stop: what comes next, and all after it, lies below the k-th score
-            going = going[(bound[going, at] >= kth[going]) & np.isfinite(bound[going, at])]
+        kth, above, going = np.nan_to_num(beat[part], nan=-np.inf), np.full(len(q), np.inf), np.arange(len(q))
+        rows, at, scores = (np.zeros(0, np.int64) for _ in range(3))
+        looked = 0
+        for end in ends:
+            # exact stop: all that is left has lower bounds than the last slice
+            going = going[kth[going] < above[going]]
             if not len(going):
                 break
-            ranks = slice(at, at + size)
-            is_open = (bound[going, ranks] >= kth[going, None]) & np.isfinite(bound[going, ranks])
-            columns, places = np.unique(order[going, ranks][is_open], return_inverse=True)
-            scores = _scores(q[going], c[columns])
-            ends = np.cumsum(is_open.sum(axis=1))
-            looked += int(ends[-1])
-            for row, (i, mine) in enumerate(zip(going, np.split(places, ends[:-1]))):
-                gained = scores[row, mine]
-                keep = gained >= kth[i]
-                found[i].append((columns[mine[keep]], gained[keep]))
-                all_scores = np.concatenate([x for _, x in found[i]])
-                if len(all_scores) >= k:
-                    kth[i] = max(kth[i], np.partition(all_scores, len(all_scores) - k)[len(all_scores) - k])
-            at, size = at + size, 2 * size
+            mine = bound if len(going) == len(q) else bound[going]
+            low = np.partition(mine, len(c) - end, axis=1)[:, len(c) - end] if end < len(c) else LEAST
+            is_open = mine >= np.maximum(np.maximum(kth[going], low), LEAST)[:, None]
+            is_open &= mine < above[going, None]
+            looked += np.count_nonzero(is_open)
+            columns = np.flatnonzero(is_open.any(axis=0))
+            gained = _scores(q[going], c[columns])
+            # compared in their own type; a k-th score beyond it lies above all scores of that type
+            reached = gained >= kth[going, None].astype(np.result_type(gained, np.float32))
+            hits = np.flatnonzero(reached & is_open.take(columns, axis=1))
+            row, column = np.divmod(hits, max(1, len(columns)))
+            rows, at = np.append(rows, going[row]), np.append(at, columns[column])
+            scores = np.append(scores, gained.ravel()[hits].astype(np.int64))
+            # the k best of each query so far, ties to the smaller id
+            order = np.lexsort((ids[at], -scores, rows))
+            place = np.arange(len(order)) - np.searchsorted(rows[order], rows[order])
+            order, place = order[place < k], place[place < k]
+            rows, at, scores = rows[order], at[order], scores[order]
+            full = place == k - 1
+            kth[rows[full]] = np.maximum(kth[rows[full]], scores[full])
+            above[going] = low
         if tally is not None:
             tally[0] += looked
             tally[1] += len(q) * len(c)
-        for i, parts in enumerate(found):
-            at, scores = (np.concatenate(x) for x in zip(*parts))
-            best = np.lexsort((ids[at], -scores))[:k]
-            yield np.full(len(best), own[i]), ids[at[best]], scores[best]
+        cuts = np.searchsorted(rows, np.arange(1, len(q)))
+        for i, mine, best in zip(own, np.split(ids[at], cuts), np.split(scores, cuts)):
+            yield np.full(len(mine), i), mine, best
+
+
+def _slice_ends(n: int, first: int) -> list[int]:
+    """How many of ``n`` candidates the slices up to each one hold."""
+    ends, size = [min(n, first)], first
+    while ends[-1] < n:
+        size *= GROWTH
+        ends.append(min(n, ends[-1] + size))
+    return ends
 
 
 def _meet(queries: DataFrame, candidates: DataFrame, k: int) -> DataFrame:

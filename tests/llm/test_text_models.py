@@ -412,6 +412,41 @@ def test_a_score_to_beat_stops_a_block():
     assert all((scores >= b).all() for (_, _, scores), b in zip(found, best))
 
 
+def test_a_block_is_multiplied_a_few_times_only(monkeypatch):
+    """Where pivots leave out next to nothing, slices must not repeat the work of a tile over and over."""
+    rng = np.random.default_rng(12)
+    data = rng.normal(size=(6000, 64))
+    whole, candidates, queries = search_tables(data / np.sqrt((data**2).sum(axis=1))[:, None], 256)
+    scores, made = topk_search._scores, []
+
+    def counted(q, c):
+        made.append(len(q) * len(c))
+        return scores(q, c)
+
+    monkeypatch.setattr(topk_search, "_scores", counted)
+    tally = [0, 0]
+    found = list(topk_search._evaluate(queries, candidates, 20, tally))
+    exact = (whole[:256] @ whole.T).astype(np.int64)
+    np.fill_diagonal(exact, -(2**62))
+    for (_, ids, got), row in zip(found, exact, strict=True):
+        order = np.lexsort((np.arange(6000), -row))[:20]
+        assert ids.tolist() == order.tolist() and got.tolist() == row[order].tolist()
+    assert tally[0] > 0.8 * tally[1] and sum(made) <= 4 * tally[1]
+
+
+@pytest.mark.parametrize("scale", [1, 3e4, 2e8])
+def test_bounds_hold_in_single_precision(scale):
+    """Also where distances to a far pivot lose more than whole units, and for equal vectors."""
+    rng = np.random.default_rng(6)
+    whole = np.floor(rng.normal(size=(500, 8)) * 64)
+    whole[::7] = np.floor(whole[::7] * scale)
+    whole[250:260] = whole[0]
+    far = np.sqrt(((whole[:, None] - whole[None, :32]) ** 2).sum(axis=2))
+    bounds = topk_search._bounds(whole[:100], far[:100], (whole**2).sum(axis=1), far.T)
+    exact = [[sum(int(a) * int(b) for a, b in zip(x, y)) for y in whole] for x in whole[:100]]
+    assert all(bound >= score for row, scores in zip(bounds.tolist(), exact) for bound, score in zip(row, scores))
+
+
 # ---- scoring ----------------------------------------------------------------
 
 
